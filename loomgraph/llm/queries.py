@@ -11,6 +11,7 @@ from .langid import identify
 from .licenses import scan
 from .mixing import mix
 from .runtime import table
+from .spm import encode, read_model
 from .warc import round_trip
 
 
@@ -18,6 +19,15 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """tokenizer: the path of a sentencepiece BPE model; the public 32k model if not given."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("piece_bpe_32k.model")
+    return encode(table(spark, sf_dir, "documents"), read_model(tokenizer), digests=True)
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -36,6 +46,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_mix": op6_mix,
     "op8_warc": op8_warc,
     "op9_langid": op9_langid,
