@@ -17,8 +17,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import maybe_in
+
 SALT = "second half"
-FILTER_BITS = 1 << 24
 _LOWEST = -(2**63)
 
 
@@ -48,20 +49,6 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn("_canon", canonical(F.col(text))).withColumn(out, digest(F.col("_canon"))).drop("_canon")
 
 
-def _maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key has its bit set in a bitmap over keys: all that are in keys, and few others.
-
-    Keeps the texts of other rows out of the shuffle of the join that follows. The bitmap is broadcast;
-    its size is fixed: FILTER_BITS / 32768 rows of 4 KB.
-    """
-    bit = lambda: F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
-    maps = keys.groupBy(F.bitmap_bucket_number(bit()).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit())).alias("_bits"))
-    at = F.bitmap_bit_position(bit())
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.getbit(byte, (at % 8).cast("int")) == 1
-    return rows.withColumn("_bucket", F.bitmap_bucket_number(bit())).join(F.broadcast(maps), "_bucket").filter(hit).drop("_bucket", "_bits")
-
-
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Groups of documents with equal canonical texts: doc_id, fingerprint, group_id, group_size.
 
@@ -72,7 +59,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """
     canon = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("canon", canonical(F.col("text"))).drop("text").withColumn("fingerprint", digest(F.col("canon")))
     sizes = canon.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    members = _maybe_in(canon, sizes, "fingerprint").join(sizes, "fingerprint")
+    members = maybe_in(canon, sizes, "fingerprint").join(sizes, "fingerprint")
     reps = members.filter(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("fingerprint").agg(F.min("canon").alias("rep_canon"))
     compared = members.join(reps, "fingerprint", "left").withColumn("same", F.coalesce(F.col("canon") == F.col("rep_canon"), F.lit(False)))
     rest = compared.filter(~F.col("same")).groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("other"), F.collect_set("doc_id").alias("ids"))

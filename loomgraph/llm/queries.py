@@ -13,6 +13,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .runtime import table
 from .spm import encode, read_model
+from .suffix import removal
 from .warc import round_trip
 
 
@@ -37,6 +38,10 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "pages")).drop("url")
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_mix": op6_mix,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc": op8_warc,
     "op9_langid": op9_langid,
     "op10_licenses": op10_licenses,

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILTER_BITS = 1 << 24
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,3 +60,19 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
 def whole_text(df: DataFrame, text: str = "text"):
     """The text column, null as the empty text."""
     return F.coalesce(df[text], F.lit(""))
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, *key: str, flag: str | None = None) -> DataFrame:
+    """The rows whose key has its bit set in a bitmap over keys: all that are in keys, and few others.
+
+    Keeps most other rows out of the shuffle of the join that follows. With flag, all rows, and the
+    answer as a column of that name. The bitmap is broadcast; its size is fixed: FILTER_BITS / 32768
+    rows of 4 KB. With very many keys it lets more rows through, and the join after it stays exact.
+    """
+    bit = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS)) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "_bucket", "left" if flag else "inner")
+    return (joined.withColumn(flag, hit) if flag else joined.filter(hit)).drop("_bucket", "_bits")
