@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprint import fingerprints
 from .langid import identify
 from .licenses import scan
+from .lm import score
 from .minhash import near_duplicates
 from .mixing import mix
 from .runtime import table
@@ -25,6 +26,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """tokenizer: the path of a sentencepiece BPE model; the public 32k model if not given."""
     if tokenizer is None:
@@ -57,6 +62,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_minhash": op2_minhash,
+    "op3_lm_scores": op3_lm_scores,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_mix": op6_mix,
     "op7_suffix_dedup": op7_suffix_dedup,
