@@ -68,12 +68,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     return ranked.withColumn("target", target).drop("_all", "_cap", "_free", "_weights", "_level")
 
 
-def mix(docs: DataFrame, size: Column | None = None, block_tokens: int = 64, docs_per_shard: int = 512, seed: int = 17, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: a row for each row of docs."""
+def mix(docs: DataFrame, size: Column | None = None, block_tokens: int = 64, docs_per_shard: int = 512, seed: int = 17, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, and the columns to carry: a row for each row of docs."""
     n = docs.count()
     shards = max(1, min(65536, math.ceil(n / docs_per_shard)))
     size = n_words(F.col("text")) if size is None else size
-    sized = docs.select("doc_id", "source", size.alias("size"), F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s"))
+    sized = docs.select("doc_id", "source", size.alias("size"), F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     sized = sized.withColumn("_dice", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     sized = sized.withColumn("shard", F.conv(F.substring("_dice", 1, 8), 16, 10).cast("long") % shards)
     source = ["s_null", "s"]
@@ -89,4 +89,25 @@ def mix(docs: DataFrame, size: Column | None = None, block_tokens: int = 64, doc
     words = F.least(F.col("quota") * block_tokens, F.floor(most * F.col("shard_size")).cast("long"))
     lap = lambda k: F.greatest(F.lit(0), F.least(F.col("size"), words - k * F.col("shard_size") - (F.col("_end") - F.col("size"))))
     taken = sum((lap(k) for k in range(1, math.ceil(most))), lap(0))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"_carry_{c}").alias(c) for c in carry])
+
+
+def take_mix(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them: whole copies, and of a partly taken document its first words.
+
+    The columns are those of docs; of a cut text the words are joined by single spaces and n_chars is
+    made to fit. Documents of which nothing is taken go.
+    """
+    # Columns of docs that share a name with one of the mix's own travel under another.
+    own = ("size", "source_size", "target", "taken")
+    names = {c: f"_docs_{c}" if c in own else c for c in docs.columns}
+    plain = docs.withColumnsRenamed(names)
+    rows = mix(plain, carry=tuple(n for c, n in names.items() if c not in ("doc_id", "source")), **options).filter("taken > 0")
+    rows = rows.withColumn("_whole", F.floor(F.col("taken") / F.col("size"))).withColumn("_rest", (F.col("taken") % F.col("size")).cast("int"))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
+    part = F.col("_copy") > F.col("_whole")
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest("_rest", F.lit(1))), " ")
+    rows = rows.withColumn("text", F.when(part, head).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(part, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])

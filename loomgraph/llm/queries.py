@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import neighbours
 from .fingerprint import fingerprints
 from .langid import identify
 from .licenses import scan
@@ -30,13 +31,21 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
-def op4_sentencepiece(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """tokenizer: the path of a sentencepiece BPE model; the public 32k model if not given."""
-    if tokenizer is None:
+def tokenizer(path: str | None = None) -> bytes:
+    """A sentencepiece BPE model; the public one of 32,000 pieces if no path is given."""
+    if path is None:
         import public_tokenizers
 
-        tokenizer = public_tokenizers.path("piece_bpe_32k.model")
-    return encode(table(spark, sf_dir, "documents"), read_model(tokenizer), digests=True)
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return read_model(path)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), tokenizer(), digests=True)
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_lm_scores": op3_lm_scores,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_neighbours": op5_neighbours,
     "op6_mix": op6_mix,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc": op8_warc,
