@@ -14,7 +14,7 @@ import numpy as np
 from .tokens import keys, mix
 
 SEED = 64
-PIECE = 1 << 22
+PIECE = 1 << 20
 _BYTE = keys(1 << 22, 256)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 _PLACE_BITS = np.uint64(24)

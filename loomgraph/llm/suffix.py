@@ -32,7 +32,7 @@ from .anchors import PIECE, Hashes, runs
 from .runtime import forget, maybe_in, written
 from .tokens import chunks
 
-LENGTH, CROWD, GROUP_BYTES = 200, 2000, 8 << 20
+LENGTH, CROWD, GROUP_BYTES = 200, 2000, 2 << 20
 _NO_ID = -(2**63)
 
 

@@ -42,7 +42,7 @@ def _places(n: int) -> np.ndarray:
     return _PLACE
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets): the texts of a batch in pieces of about `most` bytes.
 
     Null is the empty text. offsets are into bytes, one more than there are rows.
