@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .runtime import written
 
-TABLES, WIDTH, ROWS_PER_BUCKET, BLOCK = 2, 2.0, 1024, 4096
+TABLES, WIDTH, ROWS_PER_BUCKET, BLOCK = 2, 2.0, 4096, 4096
 SAMPLE, SAMPLE_QUERIES, GOAL, MOST_PROBES = 4096, 200, 0.95, 2048
 
 
