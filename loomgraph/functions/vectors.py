@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,13 +18,18 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normalized(a: Column) -> Column:
     """a scaled to length 1; a zero vector stays as it is."""
     length = F.sqrt(dot(a, a))
-    return F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(a)
+    # The length is repeated into an array so that it is computed once a row, not once an element.
+    return F.zip_with(a, F.array_repeat(F.when(length > 0, length).otherwise(1.0), F.size(a)), lambda x, n: x / n)
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: signed hashed word counts, scaled to length 1."""
-    words = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w != "")
-    spots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).cast("int").alias("at"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("by")))
-    zero = F.array_repeat(F.lit(0.0), size)
-    summed = F.transform(zero, lambda _, i: F.aggregate(F.filter(spots, lambda s: s["at"] == i), F.lit(0.0), lambda t, s: t + s["by"]))
-    return l2_normalized(summed)
+    """A deterministic stand-in for an embedding model: signed hashed word counts, in Arrow batches."""
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        def one(value: str | None) -> np.ndarray:
+            codes = np.array([zlib.crc32(w.encode()) for w in re.findall(r"\w+", (value or "").lower())], dtype=np.int64)
+            return np.bincount(codes % size, weights=np.where(codes >> 16 & 1, 1.0, -1.0), minlength=size)
+
+        return texts.map(one)
+
+    return embed(text)

@@ -1,8 +1,9 @@
 """Knowledge graphs as vertex and edge tables of many graphs at once.
 
 nodes: graph_id, ord, id, name, canonical_name, aliases, type, description, source_chunk_id,
-source_part_id, evidence. edges: graph_id, ord, id, source, target, relation, description, ... ord gives
-the order in which "first" is meant. Operators need only the columns that they name.
+source_part_id, evidence. edges: graph_id, ord, id, source, target, relation, description, ... ord, a
+distinct number for each row of a graph, gives the order in which "first" is meant. Operators need only
+the columns that they name.
 """
 
 from __future__ import annotations

@@ -61,6 +61,8 @@ def without_toc(rows: DataFrame, key: str = "doc_id", dotted: bool = True) -> Da
     line = F.col("line")
     marked = rows.withColumns({"title": any_of(line, [fixed.TOC_TITLE], whole=True), "entry": is_toc_line(line, dotted), "chapter": any_of(line, [fixed.CHAPTER_START])})
 
+    names = list(rows.columns)
+
     def each(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
         inside, seen, keep = False, 0, []
@@ -76,7 +78,7 @@ def without_toc(rows: DataFrame, key: str = "doc_id", dotted: bool = True) -> Da
                 keep.append(not entry)
                 continue
             keep.append(False)
-        return group.loc[keep, list(rows.columns)]
+        return group.loc[keep, names]
 
     # Only documents with a title line have blocks; the others need no order.
     titled = marked.groupBy(key).agg(F.max("title").alias("titled"))

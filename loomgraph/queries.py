@@ -11,7 +11,7 @@ from .functions import fixed
 from .functions.json import json_candidate
 from .functions.text import meaningful_chars, normalize_characters, normalize_name
 from .operators import chunking, conversation, graph, lines, quality, rag, structure
-from .plans import providers, workflow
+from .plans import document_graph, workflow
 from .sources.star_graph import SQL as STAR
 from .sources.star_graph import graph as star
 from .streaming import ingest
@@ -638,18 +638,9 @@ def plan_validation(spark, sf_dir):
 
 @query()
 def document_graphs(spark, sf_dir):
-    """Documents to final graphs: chunks, quality, extraction by the offline provider, repair, merge, report."""
-    checked = quality.with_quality(chunking.fixed_length(documents(spark, sf_dir), 2200, 120))
-    kept = checked.filter(quality.skip_reason(F.col("content"), F.col("level"), F.col("suggestion")).isNull())
-    asked = kept.select(F.col("doc_id").cast("string").alias("graph_id"), F.concat_ws("/", "doc_id", "chunk_id").alias("part_id"), "content")
-    nodes, edges = providers.extracted(providers.decide(asked, providers.Offline(), "extract", "content"), ["graph_id", "part_id"])
-    part = F.concat(F.regexp_extract("part_id", r"(\d+)$", 1).cast("long") * 100000 + F.col("ord")).cast("long")
-    nodes = graph.repaired_nodes(nodes.withColumn("ord", part)).withColumn("source_chunk_id", F.col("part_id"))
-    edges = graph.repaired_edges(edges.withColumn("ord", part), nodes)
-    nodes, edges = graph.global_ids(nodes, edges)
-    groups = graph.validated_groups(graph.proposed_merges(nodes), "node_ids", "canonical_name")
-    merged, links = graph.merged_nodes(nodes, groups), graph.deduplicated_edges(graph.remapped_edges(edges, groups))
-    return graph.graph_report(merged, links).select("graph_id", "node_count", "edge_count", "isolated_node_count", "score", "level")
+    """Documents to graphs by the offline provider, and the report on each graph."""
+    report = graph.graph_report(*document_graph.build(documents(spark, sf_dir)))
+    return report.select("graph_id", "node_count", "edge_count", "isolated_node_count", "score", "level")
 
 
 @query("SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -19,7 +19,7 @@ FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer}
 
 NODES = """
 SELECT c_mktsegment AS graph_id, c_custkey AS ord, concat('c', cast(c_custkey AS string)) AS id, c_name AS name, 'customer' AS type,
-       CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('balance ', cast(cast(c_acctbal AS int) AS string)) END AS description
+       CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('balance ', cast(cast(floor(c_acctbal) AS int) AS string)) END AS description
 FROM {customer}
 UNION ALL
 SELECT s.graph_id, 1000000000 + p_partkey, concat('p', cast(p_partkey AS string)), p_name, p_type, p_brand
