@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .runtime import forget, written
 
-MAX_ROWS, MAX_WORDS, MAX_GRAMS, MAX_MEMO, LONGEST = 20_000, 200_000, 50_000, 400_000, 4
+MAX_ROWS, MAX_WORDS, MAX_GRAMS, MAX_MEMO, LONGEST = 20_000, 100_000, 30_000, 200_000, 4
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -38,7 +38,7 @@ class Model:
     """Log frequencies by language: a row of the table for each word, and one for each n-gram."""
 
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], prior: np.ndarray):
-        self.languages, self.grams, self.prior = languages, {g: v.astype("float32") for g, v in grams.items()}, prior
+        self.languages, self.grams, self.prior = languages, grams, prior
         self.known = {w: i for i, w in enumerate(words)}
         self.table = np.array(list(words.values()), dtype="float32").reshape(len(words), len(languages))
 
@@ -49,13 +49,9 @@ class Model:
     def __setstate__(self, state):
         self.languages, self.prior, words, self.table, names, vectors = state
         self.known, self.grams = {w: i for i, w in enumerate(words)}, dict(zip(names, vectors, strict=True))
+        # A worker's copy grows by the unseen words that it meets.
         self.at, self.rows, self.own = dict(self.known), list(self.table), len(words)
 
-    def ready(self) -> Model:
-        """With a table that grows by the unseen words met on the way."""
-        self.__setstate__(self.__getstate__())
-        return self
-
     def back_off(self, word: str) -> np.ndarray:
         """Log likelihood of an unseen word: at each place, its longest known n-gram."""
         padded, found, n = f"<{word}>", np.zeros(len(self.languages), dtype="float32"), 0
@@ -84,21 +80,15 @@ class Model:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def _vectors(rows: list, languages: list[str], smooth: float) -> dict[str, np.ndarray]:
-    at = {x: i for i, x in enumerate(languages)}
-    table = np.full((len(rows), len(languages)), smooth)
-    for i, row in enumerate(rows):
-        for x, n in row["by"].items():
-            table[i, at[x]] += n
-    logs = np.log(table / table.sum(axis=0)) if rows else table
-    logs = logs - logs.mean(axis=1, keepdims=True) if rows else logs
-    return {row["unit"]: logs[i] for i, row in enumerate(rows)}
-
-
-def _most_frequent(counts: DataFrame, keep: int) -> list:
-    """Of (unit, lang, count): the keep most frequent units with their counts by language."""
-    rows = counts.groupBy("unit").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
-    return rows.orderBy(F.desc("n"), "unit").limit(keep).collect()
+def _most_frequent(counts: DataFrame, languages: list[str], keep: int, smooth: float) -> dict[str, np.ndarray]:
+    """Of (unit, lang, count): the log frequencies by language of the keep most frequent units."""
+    by = [F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
+    rows = counts.groupBy("unit").agg(F.sum("count").alias("n"), *by).orderBy(F.desc("n"), "unit").limit(keep).drop("n").toArrow()
+    if not rows.num_rows:
+        return {}
+    table = np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1) + smooth
+    logs = np.log(table / table.sum(axis=0))
+    return dict(zip(rows.column("unit").to_pylist(), (logs - logs.mean(axis=1, keepdims=True)).astype("float32"), strict=True))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
@@ -122,9 +112,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     short = [F.when(F.length("unit") + 2 >= size, cut(size)).otherwise(F.array().cast("array<string>")) for size in range(1, LONGEST + 1)]
     grams = words.select(F.explode(F.flatten(F.array(*short))).alias("unit"), "lang", "count").groupBy("unit", "lang").agg(F.sum("count").alias("count"))
     prior = np.log(np.array([(share[x] + 1) / (n + len(languages)) for x in languages])) if languages else np.zeros(0)
-    model = Model(languages, _vectors(_most_frequent(words, max_words), languages, 0.5), _vectors(_most_frequent(grams, max_grams), languages, 2.0), prior)
+    model = Model(languages, _most_frequent(words, languages, max_words, 0.5), _most_frequent(grams, languages, max_grams, 2.0), prior)
     forget(docs.sparkSession, words)
-    return model.ready()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
