@@ -105,6 +105,23 @@ _COMPACT = r"""SELECT doc_id, CASE WHEN length(t) > 2000 THEN substr(t, 1, 2000)
 SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS t FROM documents)"""
 
 
+_PLAIN = r"""regexp_replace(translate(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '－—–', '---'), '\n{3,}', chr(10) || chr(10), 'g')"""
+
+
+@query(rf"""WITH l AS (SELECT doc_id, list_transform(string_split({_PLAIN}, chr(10)), lambda x: {_trim("x")}) AS ls FROM documents),
+k AS (SELECT doc_id, list_filter(ls, lambda x: x = '' OR NOT {_TOC.replace("(d", "(translate(x, '…·', '..')").replace(" d,", " translate(x, '…·', '..'),")}) AS ls FROM l) SELECT doc_id, {_trim("array_to_string(ls, chr(10))")} AS text FROM k""")
+def chunking_texts(spark, sf_dir):
+    return lines.cleaned_for_chunking(documents(spark, sf_dir))
+
+
+@query()
+def clean_document_pages(spark, sf_dir):
+    """Documents as pages of five lines, cleaned as a whole."""
+    rows = lines.lines(documents(spark, sf_dir)).withColumn("page", F.floor(F.col("pos") / 5).cast("int"))
+    pages = lines.joined(rows, ["doc_id", "page"])
+    return lines.clean_pages(pages)
+
+
 @query(_COMPACT)
 def compact_documents(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", lines.compact(F.col("text"), 2000).alias("text"))

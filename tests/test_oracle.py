@@ -37,6 +37,6 @@ def test_same_rows(spark, name):
     assert plain(got) == plain(connect(sf_dir).execute(queries.ORACLE_SQL[name]).fetchdf())
 
 
-@pytest.mark.parametrize("name", ["two_level_chunks", "question_chunks", "configured_split", "rag_windows", "extraction_parts", "embedding_records"])
+@pytest.mark.parametrize("name", ["two_level_chunks", "question_chunks", "configured_split", "rag_windows", "extraction_parts", "embedding_records", "clean_document_pages", "document_graphs"])
 def test_has_rows(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
