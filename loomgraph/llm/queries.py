@@ -1,4 +1,4 @@
-"""The queries of this folder's operators, over whole tables, and their SQL."""
+"""The queries of this folder's operators, over whole tables. Their SQL is in oracles.py."""
 
 from __future__ import annotations
 
@@ -13,8 +13,9 @@ from .licenses import scan
 from .lm import score
 from .minhash import near_duplicates
 from .mixing import mix
+from .oracles import ORACLE_SQL
 from .runtime import table
-from .spm import encode, read_model
+from .spm import DIGESTS, encode, read_model
 from .suffix import removal
 from .warc import round_trip
 
@@ -41,7 +42,7 @@ def tokenizer(path: str | None = None) -> bytes:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), tokenizer(), digests=True)
+    return encode(table(spark, sf_dir, "documents"), tokenizer(), DIGESTS)
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,15 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op8_warc": """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
-q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest,
-             count(*) OVER g AS n, max(page_id) OVER g AS keep
-      FROM p WINDOW g AS (PARTITION BY sha1(body), octet_length(body)))
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id <> keep THEN keep END AS refers_to
-FROM q
-""",
-}
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer"]

@@ -21,12 +21,15 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
+
 MARK = "▁"
 _MARK = MARK.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -206,10 +209,10 @@ class Model:
 
     def units(self, normal: str) -> list[tuple[tuple[int, ...], str]]:
         """Of each cut of the normalised text: its ids, and the same as text."""
-        memo, found = self.memo, []
-        for unit in _UNITS.findall(normal):
-            got = memo.get(unit)
-            found.append(self._unit(unit) if got is None else got)
+        cuts = _UNITS.findall(normal)
+        found = list(map(self.memo.get, cuts))
+        if None in found:
+            found = [(self.memo.get(cut) or self._unit(cut)) if got is None else got for cut, got in zip(cuts, found, strict=True)]
         return found
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -244,31 +247,51 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, digests: bool = False) -> DataFrame:
-    """Encode every whole text.
+ROWS_AT_ONCE = 128
+#: What encode() can return besides doc_id.
+FIELDS = {"n_tokens": "long", "covered_bytes": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "starts": "array<int>", "ends": "array<int>", "decoded": "string"}
+DIGESTS = ("n_tokens", "covered_bytes", "ids_sha256", "decoded_sha256")
+
 
-    doc_id, n_tokens, covered_bytes (bytes of the text inside the pieces' spans), and ids, starts, ends
-    (the span of each id in the text's UTF-8 bytes) and decoded; with digests instead of these four
-    ids_sha256 (of the decimal ids joined by commas) and decoded_sha256.
+def encode(docs: DataFrame, model: bytes, fields: tuple[str, ...] = ("n_tokens", "covered_bytes", "ids", "starts", "ends", "decoded")) -> DataFrame:
+    """Encode every whole text: doc_id and the fields asked for.
+
+    ids with starts and ends: the span of each id in the text's UTF-8 bytes. covered_bytes: bytes of the
+    text inside spans. decoded: the ids turned into text again. ids_sha256 is of the decimal ids joined by
+    commas, decoded_sha256 of the decoded text in UTF-8.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
+    wanted, spanned = set(fields), bool({"covered_bytes", "starts", "ends"} & set(fields))
+    arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     sha = lambda data: hashlib.sha256(data).hexdigest()
 
+    def one(model: Model, processor, text: str) -> dict:
+        normal, start, end = model.normalise(text)
+        units = model.units(normal)
+        ids = list(chain.from_iterable([some for some, _ in units]))
+        row = {"n_tokens": len(ids), "ids": ids}
+        if spanned:
+            a, b = model.spans(ids, normal, start, end)
+            new = np.append(True, a[1:] != a[:-1]) if ids else np.zeros(0, bool)
+            row |= {"starts": a, "ends": b, "covered_bytes": int((b[np.append(new[1:], True)] - a[new]).sum()) if ids else 0}
+        if wanted & {"decoded", "decoded_sha256"}:
+            row["decoded"] = processor.decode(ids) if ids else ""
+            row["decoded_sha256"] = sha(row["decoded"].encode())
+        if "ids_sha256" in wanted:
+            row["ids_sha256"] = sha(",".join([x for _, x in units]).encode())
+        return row
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, processor = _loaded(shared.value)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                normal, start, end = model.normalise(text or "")
-                units = model.units(normal)
-                ids = [i for some, _ in units for i in some]
-                a, b = model.spans(ids, normal, start, end)
-                covered = int((b[np.append(a[1:] != a[:-1], True)] - a[np.append(True, a[1:] != a[:-1])]).sum()) if ids else 0
-                decoded = processor.decode(ids) if ids else ""
-                rows.append((doc_id, len(ids), covered, *((sha(",".join([x for _, x in units]).encode()), sha(decoded.encode())) if digests else (ids, a, b, decoded))))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), *([pa.string()] * 2 if digests else [pa.list_(pa.int32())] * 3 + [pa.string()])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
-
-    names = ["doc_id", "n_tokens", "covered_bytes", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "starts", "ends", "decoded"))]
-    kinds = ["long"] * 3 + (["string"] * 2 if digests else ["array<int>"] * 3 + ["string"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+        for whole in batches:
+            # A batch's tokens take many times the memory of its texts: a few rows at a time.
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                columns = {f: [] for f in fields}
+                for text in batch.column("text").to_pylist():
+                    row = one(model, processor, text or "")
+                    for f in fields:
+                        columns[f].append(row[f])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(columns[f], arrow[FIELDS[f]]) for f in fields)], names=["doc_id", *fields])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, ", ".join(["doc_id long", *(f"{f} {FIELDS[f]}" for f in fields)]))
