@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import forget, written
+from .runtime import forget, small_batches, written
 
 MAX_ROWS, MAX_WORDS, MAX_GRAMS, MAX_MEMO, LONGEST = 20_000, 100_000, 30_000, 200_000, 4
 UNKNOWN = "und"
@@ -49,8 +49,11 @@ class Model:
     def __setstate__(self, state):
         self.languages, self.prior, words, self.table, names, vectors = state
         self.known, self.grams = {w: i for i, w in enumerate(words)}, dict(zip(names, vectors, strict=True))
-        # A worker's copy grows by the unseen words that it meets.
-        self.at, self.rows, self.own = dict(self.known), list(self.table), len(words)
+        # A worker's copy takes up the unseen words that it meets, as far as its table goes.
+        self.own = len(words)
+        self.rows = np.zeros((self.own + MAX_MEMO, len(self.languages)), dtype="float32")
+        self.rows[: self.own] = self.table
+        self.at = dict(self.known)
 
     def back_off(self, word: str) -> np.ndarray:
         """Log likelihood of an unseen word: at each place, its longest known n-gram."""
@@ -66,16 +69,20 @@ class Model:
         words = _WORDS.findall(text.lower()) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        if len(self.at) > self.own + MAX_MEMO:
-            self.at, self.rows = dict(self.known), self.rows[: self.own]
-        at = list(map(self.at.get, words))
+        at, total = list(map(self.at.get, words)), self.prior.astype("float64")
         if None in at:
-            for word in {w for w, i in zip(words, at, strict=True) if i is None}:
-                self.at[word] = len(self.rows)
-                self.rows.append(self.back_off(word))
-            at = list(map(self.at.get, words))
-        rows = self.rows
-        total = self.prior + np.add.reduce([rows[i] for i in at], axis=0, dtype="float64")
+            unseen = {w for w, i in zip(words, at, strict=True) if i is None}
+            if len(self.at) + len(unseen) > len(self.rows):
+                self.at = dict(self.known)
+                unseen = set(words) - self.at.keys()
+            if len(self.at) + len(unseen) <= len(self.rows):
+                for word in unseen:
+                    self.rows[len(self.at)] = self.back_off(word)
+                    self.at[word] = len(self.at)
+            else:  # one text with more unseen words than the table holds
+                total = total + sum(self.back_off(w).astype("float64") for w in words if w in unseen)
+            at = [i for i in map(self.at.get, words) if i is not None]
+        total = total + self.rows[at].sum(axis=0, dtype="float64")
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -93,7 +100,7 @@ def _most_frequent(counts: DataFrame, languages: list[str], keep: int, smooth: f
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """A model learned from text and lang of rows that have both."""
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    labelled = small_batches(docs).filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     share = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     n, languages = sum(share.values()), sorted(share)
     if n > max_rows:
@@ -119,7 +126,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the columns pred and score (the chance of pred against the other languages)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

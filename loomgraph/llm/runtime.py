@@ -1,14 +1,15 @@
-"""What the operators of this folder share: tables, the shared folder, lineage cuts."""
+"""What the operators of this folder share: tables, the shared folder, filters before joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir, shared_path, written
+
 FILTER_BITS = 1 << 24
+BATCH_ROWS = 1000
+__all__ = ["FILTER_BITS", "WORD", "forget", "maybe_in", "shared_dir", "shared_path", "small_batches", "table", "written"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -16,36 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a session without that setting (tests in local mode) gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = context.get() if context.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables that written() made, once nothing reads them any more."""
     root = shared_dir(spark)
@@ -57,11 +28,6 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def whole_text(df: DataFrame, text: str = "text"):
-    """The text column, null as the empty text."""
-    return F.coalesce(df[text], F.lit(""))
-
-
 def maybe_in(rows: DataFrame, keys: DataFrame, *key: str, flag: str | None = None) -> DataFrame:
     """The rows whose key has its bit set in a bitmap over keys: all that are in keys, and few others.
 
@@ -76,3 +42,15 @@ def maybe_in(rows: DataFrame, keys: DataFrame, *key: str, flag: str | None = Non
     hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
     joined = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "_bucket", "left" if flag else "inner")
     return (joined.withColumn(flag, hit) if flag else joined.filter(hit)).drop("_bucket", "_bits")
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most BATCH_ROWS rows.
+
+    Texts are long: Spark's default of 10,000 rows is tens of MB in the JVM and again in each worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(key)) > BATCH_ROWS or int(conf.get(key)) <= 0:
+        conf.set(key, str(BATCH_ROWS))
+    return df

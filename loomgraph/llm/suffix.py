@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import PIECE, Hashes, runs
-from .runtime import forget, maybe_in, written
+from .runtime import forget, maybe_in, small_batches, written
 from .tokens import chunks
 
 LENGTH, CROWD, GROUP_BYTES = 200, 2000, 2 << 20
@@ -131,7 +131,7 @@ def _count(slices: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """id, th, starts, ends: of each text with repeated strings, byte stretches to remove (unordered, may overlap)."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     rows = _keyed(docs)
     every = written(window_runs(rows, length).withColumn("rid", F.xxhash64("id", "th", "first")), "runs")
     often = written(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "often")
