@@ -1,19 +1,19 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts words and pairs of neighbouring words over all training texts: every task sums its own,
-packs them by a hash into buckets, and each bucket is summed by itself; the number of buckets follows
-the bytes of text, so a bucket stays small. Counts are quantised to levels (1, 2, 3, then steps of 25 %)
-and an n-gram of level q puts its entries 1..q into a Bloom filter; probing 1, 2, 3, ... until an entry
-is missing gives the level back, never too low and seldom too high.
-
-The filter is broadcast: its size follows the n-grams to store up to MAX_FILTER_BYTES; beyond that, pairs
-of the lowest levels are left out until it fits, and a pair that isn't stored falls back on its word.
+Texts become groups of about GROUP tokens, kept as numbers into the group's own list of words. A group
+sends its distinct words and distinct pairs of neighbouring words, with their counts in training texts,
+to buckets by hash; the number of buckets follows the tokens, so a bucket stays small. A bucket sums the
+counts and quantises them to levels (1, 2, 3, then steps of 25 %); an n-gram of level q puts its entries
+1..q into the bucket's segment of a Bloom filter, and probing 1, 2, 3, ... until an entry is missing
+gives the level back, never too low and seldom too high.
+
+All n-grams are stored, those seen once too: a segment has the bits that its own entries need. So the
+filter grows with the n-grams and no machine holds all of it; each segment is probed where it was made
+and answers every group with a level for each n-gram that the group sent, and for words with the exact
+count besides, which base_score needs. The groups then sum the answers per text.
 The model is a Dirichlet-smoothed bigram over an add-one unigram, all counts from the filter:
 p(w|h) = (c(h,w) + MU*p(w)) / (c(h) + MU), p(w) = (c(w)+1) / (N+V+1).
 
-base_score needs exact word counts: the most frequent words (at most MAX_WORDS) are broadcast as sorted
-arrays, the others are found by a join, in which no word is frequent by construction.
-
 Defined results: a null or empty text is one end token; words that training has not seen count as 0; a
 null doc_id is never held out; rows with equal doc_id are all scored; without training rows N and V are
 0; an empty table gives an empty result; further columns are ignored.
@@ -36,14 +36,15 @@ from .runtime import forget, small_batches, written
 from .tokens import chunks, keys, mix, words
 
 MU = 1000.0
-MAX_FILTER_BYTES, MAX_WORDS, BUCKET_BYTES = 32 << 20, 2_000_000, 12 << 20
+#: Tokens of a group of texts, and of a bucket.
+GROUP, BUCKET = 2_000_000, 2_000_000
+#: Without effect since all counts come from the buckets; callers may still set it.
 FREQUENT = 3
 PROBES, FILL, STEP = 4, 0.3, 1.25
 END = np.uint64(0x0123456789ABCDEF)
 WORD, PAIR = 1, 2
 _PAIR = keys(1 << 23, 2)
 _LEVEL = keys(1 << 24, 256)
-FLUSH = 3_000_000
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -80,64 +81,104 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
 
 
+def _cut(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of hashes in the order of their buckets, and where each of the n buckets starts."""
+    at = _bucket(hashes, n)
+    order = np.argsort(at, kind="stable")
+    return order, np.searchsorted(at[order], np.arange(n + 1))
+
+
 def _pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted hashes of single ones, then of the others with their counts."""
-    one = counts == 1
-    return np.array([one.sum()], "<i8").tobytes() + hashes[one].tobytes() + hashes[~one].tobytes() + counts[~one].astype("<u4").tobytes()
+    """Hashes, their counts in a byte each, and in full those of 255 and more."""
+    return np.array([len(hashes)], "<i8").tobytes() + hashes.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ones = int(np.frombuffer(data, "<i8", 1)[0])
-    more = (len(data) - 8 - 8 * ones) // 12
-    hashes = np.frombuffer(data, np.uint64, ones + more, 8)
-    return hashes, np.concatenate([np.ones(ones, np.int64), np.frombuffer(data, "<u4", more, 8 + 8 * (ones + more)).astype(np.int64)])
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    counts = np.frombuffer(data, np.uint8, n, 8 + 8 * n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data[8 + 9 * n :], "<i8")
+    return np.frombuffer(data, np.uint64, n, 8), counts
+
+
+def _zip(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, small when most of them are."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _sum(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[order], counts[order]
-    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, int)
-    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+def _unzip(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
-def count_ngrams(docs: DataFrame, buckets: int) -> DataFrame:
-    """kind, bucket, n_tokens, n_distinct, grams (packed), levels: summed counts, pairs seen once left out."""
+_GROUPS = "g long, size long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, words binary, ids binary"
+
+
+def groups(rows: DataFrame) -> DataFrame:
+    """Rows of doc_id, held_out, text as groups: a list of words, most frequent first, and each token's number in it."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind in (WORD, PAIR):
-                hashes, n = np.unique(np.concatenate(held[kind]), return_counts=True) if held[kind] else (np.zeros(0, np.uint64), np.zeros(0, int))
-                at = _bucket(hashes, buckets)
-                order = np.argsort(at, kind="stable")
-                cut = np.searchsorted(at[order], np.arange(buckets + 1))
-                some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                packed = [_pack(hashes[order[cut[b] : cut[b + 1]]], n[order[cut[b] : cut[b + 1]]]) for b in some]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["kind", "bucket", "data"])
-                held[kind].clear()
-
-        held, size = {WORD: [], PAIR: []}, 0
+        def flush() -> pa.RecordBatch:
+            nonlocal made
+            kinds, of, n = np.unique(np.concatenate([x for x, _, _, _ in held]), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            ids, lists = rank[of], [[i for h in held for i in h[k]] for k in (1, 2, 3)]
+            g = (TaskContext.get().partitionId() << 40) + made
+            made += 1
+            held.clear()
+            types = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+            values = [pa.array([g]), pa.array([len(ids)]), *[pa.array([x], t) for x, t in zip(lists, types, strict=True)], pa.array([kinds[order].tobytes()], pa.binary()), pa.array([_zip(ids)], pa.binary())]
+            return pa.RecordBatch.from_arrays(values, names=[c.split()[0] for c in _GROUPS.split(", ")])
+
+        held, size, made = [], 0, 0
         for batch in batches:
-            for _, _, data, offsets in chunks(batch, "text"):
+            for a, b, data, offsets in chunks(batch, "text"):
                 some, ends = tokens(data, offsets)
-                held[WORD].append(some)
-                held[PAIR].append(pairs(some, ends))
+                held.append((some, batch.column("doc_id").slice(a, b - a).to_pylist(), batch.column("held_out").slice(a, b - a).to_pylist(), np.diff(ends).tolist()))
                 size += len(some)
-                if size >= FLUSH:
-                    yield from flush()
+                if size >= GROUP:
+                    yield flush()
                     size = 0
-        yield from flush()
+        if held:
+            yield flush()
+
+    return rows.select("doc_id", "held_out", "text").mapInArrow(each, _GROUPS)
 
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        kind = int(group["kind"].iloc[0])
-        parts = [_unpack(bytes(x)) for x in group["data"]]
-        hashes, n = _sum(np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]))
-        row = {"kind": kind, "bucket": int(group["bucket"].iloc[0]), "n_tokens": int(n.sum()), "n_distinct": len(n)}
-        keep = n > (kind == PAIR)
-        row |= {"grams": _pack(hashes[keep], n[keep]), "levels": np.bincount(level(n[keep]), minlength=256).tolist()}
-        return pd.DataFrame([row])
 
-    packed = docs.select("text").mapInArrow(each, "kind int, bucket int, data binary")
-    return packed.groupBy("kind", "bucket").applyInPandas(total, "kind int, bucket int, n_tokens long, n_distinct long, grams binary, levels array<long>")
+def _tokens_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A group's words, its tokens' numbers, its texts' bounds, its distinct pairs and its tokens' numbers among those."""
+    kinds, ids = np.frombuffer(row["words"], np.uint64), _unzip(row["ids"], row["size"])
+    ends = np.append(0, np.cumsum(row["n_tokens"]))
+    return kinds, ids, ends, *np.unique(pairs(kinds[ids], ends), return_inverse=True)
+
+
+def count_ngrams(parts: DataFrame, buckets: int) -> DataFrame:
+    """kind, bucket, g, data: the distinct n-grams of each group, with their counts in its training texts (0 too)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                kinds, ids, _, both, of = _tokens_of(row)
+                train = ~np.repeat(np.array(row["held_out"], bool), row["n_tokens"])
+                for kind, hashes, number in ((WORD, kinds, ids), (PAIR, both, of)):
+                    counts = np.bincount(number[train], minlength=len(hashes))
+                    order, cut = _cut(hashes, buckets)
+                    some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+                    packed = [_pack(hashes[order[cut[b] : cut[b + 1]]], counts[order[cut[b] : cut[b + 1]]]) for b in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([row["g"]] * len(some)), pa.array(packed, pa.binary())], names=["kind", "bucket", "g", "data"])
+
+    return parts.mapInArrow(each, "kind int, bucket int, g long, data binary")
+
+
+def _bucket_sums(data: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket's packed n-grams: the distinct ones, their counts, each one's number among those, and the bounds of the packs."""
+    packs = [_unpack(bytes(x)) for x in data]
+    hashes, of = np.unique(np.concatenate([h for h, _ in packs]), return_inverse=True)
+    # Sums of whole numbers below 2**53 are exact.
+    counts = np.bincount(of, weights=np.concatenate([c for _, c in packs]), minlength=len(hashes)).astype(np.int64)
+    return hashes, counts, of, np.append(0, np.cumsum([len(h) for h, _ in packs]))
 
 
 class Filter:
@@ -176,140 +217,120 @@ class Filter:
         return found
 
 
+def build_filter(hashes: np.ndarray, counts: np.ndarray) -> Filter:
+    """A segment that holds all n-grams with a count, in as many bits as they need."""
+    seen = counts > 0
+    levels = level(counts[seen])
+    made = Filter(1, int(levels.sum() * PROBES / -math.log(1 - FILL)) + 1024)
+    made.data = np.frombuffer(made.segment(hashes[seen], levels), np.uint8)
+    return made
+
+
+def log_probabilities(own: np.ndarray, end: float, both: np.ndarray, ends: np.ndarray, n_tokens: int, n_distinct: int) -> np.ndarray:
+    """log10 p(token | token before it) of each token, by the counts of tokens, of the end token, and of pairs."""
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[ends[:-1]] = end
+    plain = (own + 1) / (n_tokens + n_distinct + 1)
+    return np.log10((np.minimum(both, before) + MU * plain) / (before + MU))
+
+
 class Model:
-    def __init__(self, n_tokens: int, n_distinct: int, filters: dict[int, Filter], cutoff: int):
-        self.n_tokens, self.n_distinct, self.filters, self.cutoff = n_tokens, n_distinct, filters, cutoff
+    """The whole filter in one place."""
+
+    def __init__(self, n_tokens: int, n_distinct: int, filters: dict[int, dict[int, Filter]], buckets: int):
+        self.n_tokens, self.n_distinct, self.filters, self.buckets = n_tokens, n_distinct, filters, buckets
 
-    def _counts(self, kind: int, hashes: np.ndarray) -> np.ndarray:
+    def counts(self, kind: int, hashes: np.ndarray) -> np.ndarray:
         some, at = np.unique(hashes, return_inverse=True)
-        return COUNT[self.filters[kind].levels(some)][at]
+        found = np.zeros(len(some), np.int64)
+        order, cut = _cut(some, self.buckets)
+        for bucket, segment in self.filters[kind].items():
+            mine = order[cut[bucket] : cut[bucket + 1]]
+            found[mine] = segment.levels(some[mine])
+        return COUNT[found][at]
 
     def log_probabilities(self, some: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 p(token | token before it) of each token."""
-        own = self._counts(WORD, some)
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        before[ends[:-1]] = float(self._counts(WORD, np.array([END]))[0])
-        both = np.minimum(self._counts(PAIR, pairs(some, ends)), before)
-        plain = (own + 1) / (self.n_tokens + self.n_distinct + 1)
-        return np.log10((both + MU * plain) / (before + MU))
-
-
-def _fit_filter(levels: dict[int, np.ndarray], most_bits: int) -> tuple[dict[int, int], int]:
-    """Bits for each kind, and the smallest level of a pair that is stored."""
-    need = lambda counts, least: int((counts[least:] * np.arange(least, len(counts))).sum() * PROBES / -math.log(1 - FILL)) + 1024
-    for least in range(2, 255):
-        bits = {WORD: need(levels[WORD], 1), PAIR: need(levels[PAIR], least)}
-        if sum(bits.values()) <= most_bits:
-            return bits, least
-    return {WORD: most_bits // 2, PAIR: most_bits // 2}, 255
-
-
-def train(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> tuple[Model, DataFrame]:
-    """A model of the texts of docs, and the table of summed counts (in the shared folder)."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, math.ceil(total / BUCKET_BYTES))
-    grams = written(count_ngrams(docs, buckets), "ngrams")
-    # A row for each level at most.
-    by_level = grams.select("kind", F.posexplode("levels").alias("level", "n")).groupBy("kind", "level").agg(F.sum("n").alias("n")).filter("n > 0").collect()
-    levels = {kind: np.zeros(256, np.int64) for kind in (WORD, PAIR)}
-    for row in by_level:
-        levels[row["kind"]][row["level"]] = row["n"]
-    bits, least = _fit_filter(levels, 8 * max_filter_bytes)
-    filters = {kind: Filter(buckets, bits[kind]) for kind in bits}
-
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for kind, data in zip(batch["kind"], batch["grams"], strict=True):
-                hashes, n = _unpack(bytes(data))
-                q = level(n)
-                keep = q >= (least if kind == PAIR else 1)
-                out.append(filters[kind].segment(hashes[keep], q[keep]))
-            yield pd.DataFrame({"kind": batch["kind"], "bucket": batch["bucket"], "bits": out})
-
-    # All segments together hold max_filter_bytes at most.
-    rows = grams.select("kind", "bucket", "grams").mapInPandas(segments, "kind int, bucket int, bits binary").toArrow()
-    for some in filters.values():
-        some.data = np.zeros(buckets * some.bits // 8, np.uint8)
-    for kind, bucket, bits in zip(rows.column("kind").to_pylist(), rows.column("bucket").to_pylist(), rows.column("bits"), strict=True):
-        some = filters[kind]
-        some.data[bucket * some.bits // 8 :][: some.bits // 8] = np.frombuffer(bits.as_py(), np.uint8)
-    del rows
-    size = grams.filter(F.col("kind") == WORD).agg(F.sum("n_tokens"), F.sum("n_distinct")).first()
-    return Model(size[0] or 0, size[1] or 0, filters, least), grams
-
-
-def frequent_words(grams: DataFrame, most: int = MAX_WORDS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes and counts of words of at least FREQUENT (more, if over `most` words were so), and the least level."""
-    by = grams.filter(F.col("kind") == WORD).select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).filter("n > 0").orderBy(F.desc("level")).collect()
-    total, least = 0, 256
-    for row in by:
-        if row["level"] < FREQUENT or total + row["n"] > most:
-            break
-        total, least = total + row["n"], row["level"]
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for data in batch["grams"]:
-                hashes, n = _unpack(bytes(data))
-                keep = level(n) >= least
-                out.append(_pack(hashes[keep], n[keep]))
-            yield pd.DataFrame({"grams": out})
+        end = float(self.counts(WORD, np.array([END]))[0])
+        return log_probabilities(self.counts(WORD, some), end, self.counts(PAIR, pairs(some, ends)), ends, self.n_tokens, self.n_distinct)
 
-    parts = [_unpack(bytes(r["grams"])) for r in grams.filter(F.col("kind") == WORD).select("grams").mapInPandas(pick, "grams binary").collect()]
-    hashes = np.concatenate([h for h, _ in parts] or [np.zeros(0, np.uint64)])
-    order = np.argsort(hashes)
-    return hashes[order], np.concatenate([n for _, n in parts] or [np.zeros(0, np.int64)])[order].astype(np.int64), least
 
+def _n_buckets(parts: DataFrame) -> int:
+    return max(16, math.ceil((parts.agg(F.sum("size")).first()[0] or 0) / BUCKET))
 
-def _rare_words(grams: DataFrame, least: int) -> DataFrame:
-    """hash, n of the words below a level, a row each."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("grams").to_pylist():
-                hashes, n = _unpack(data)
-                keep = level(n) < least
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(n[keep])], names=["hash", "n"])
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """A model of all texts of docs on the driver, for tables whose model fits there (score needs no such model); and its segments."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = written(groups(rows), "lm-groups")
+    buckets = _n_buckets(parts)
+
+    def segment(group: pd.DataFrame) -> pd.DataFrame:
+        hashes, counts, _, _ = _bucket_sums(group["data"])
+        made = build_filter(hashes, counts)
+        return pd.DataFrame([{"kind": int(group["kind"].iloc[0]), "bucket": int(group["bucket"].iloc[0]), "n_tokens": int(counts.sum()), "n_distinct": int((counts > 0).sum()), "n_bits": made.bits, "bits": made.data.tobytes()}])
+
+    segments = written(count_ngrams(parts, buckets).groupBy("kind", "bucket").applyInPandas(segment, "kind int, bucket int, n_tokens long, n_distinct long, n_bits long, bits binary"), "lm-filter")
+    filters, size = {WORD: {}, PAIR: {}}, [0, 0]
+    for row in segments.collect():
+        made = filters[row["kind"]][row["bucket"]] = Filter(1, row["n_bits"])
+        made.bits, made.data = row["n_bits"], np.frombuffer(bytes(row["bits"]), np.uint8)
+        if row["kind"] == WORD:
+            size = [size[0] + row["n_tokens"], size[1] + row["n_distinct"]]
+    forget(docs.sparkSession, parts)
+    return Model(*size, filters, buckets), segments
+
 
-    return grams.filter(F.col("kind") == WORD).select("grams").mapInArrow(each, "hash long, n long")
+def answers(parts: DataFrame, buckets: int) -> DataFrame:
+    """kind, bucket, g, levels, counts (of words), n_tokens, n_distinct: what each bucket's segment answers to each group.
+
+    n_tokens and n_distinct are the bucket's, on the first of its rows, and 0 on the others.
+    """
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        kind = int(group["kind"].iloc[0])
+        hashes, counts, of, cut = _bucket_sums(group["data"])
+        found = build_filter(hashes, counts).levels(hashes).astype(np.uint8)
+        out = group[["kind", "bucket", "g"]].copy()
+        out["levels"] = [found[of[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        out["counts"] = [counts[of[a:b]].tobytes() if kind == WORD else b"" for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        first = np.arange(len(out)) == 0
+        out["n_tokens"], out["n_distinct"] = first * int(counts.sum()), first * int((counts > 0).sum())
+        return out
+
+    return count_ngrams(parts, buckets).groupBy("kind", "bucket").applyInPandas(answer, "kind int, bucket int, g long, levels binary, counts binary, n_tokens long, n_distinct long")
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """op3's rows: learned from the documents outside the fold, scored for all."""
     spark = small_batches(docs).sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    model, grams = train(rows.filter(~F.col("held_out")))
-    common, counts, least = frequent_words(grams)
-    shared = spark.sparkContext.broadcast((model, common, counts))
-    floor = math.log10(model.n_tokens + model.n_distinct + 1)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, common, counts = shared.value
-        made = 0
-        for batch in batches:
-            for a, b, data, offsets in chunks(batch, "text"):
-                some, ends = tokens(data, offsets)
-                kinds, of = np.unique(some, return_inverse=True)
-                at = np.minimum(np.searchsorted(common, kinds), max(0, len(common) - 1))
-                hit = common[at] == kinds if len(common) else np.zeros(len(kinds), bool)
-                n = np.where(hit, counts[at], 0)[of] if len(common) else np.zeros(len(of), np.int64)
-                total = lambda x, e=ends: np.add.reduceat(x, e[:-1])
-                rare = some.view(np.int64)
-                left = [rare[x:y][n[x:y] == 0] for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                uid = (TaskContext.get().partitionId() << 40) + made + np.arange(b - a)
-                made += b - a
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid), batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(np.diff(ends)), pa.array(total((n > 0).astype(np.int64))), pa.array(total(np.log10(n + 1.0)) - floor * np.diff(ends)), pa.array(total(model.log_probabilities(some, ends))), pa.array(left, pa.list_(pa.int64()))],
-                    names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "left"],
-                )
-
-    first = written(rows.mapInArrow(each, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, left array<long>"), "scored")
-    left = first.select("uid", F.explode("left").alias("hash")).join(_rare_words(grams, least), "hash").groupBy("uid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))
-    joined = first.drop("left").join(left, "uid", "left")
-    out = joined.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score")
+    parts = written(groups(rows), "lm-groups")
+    buckets = _n_buckets(parts)
+    told = written(answers(parts, buckets), "lm-answers")
+    n_tokens, n_distinct = (x or 0 for x in told.filter(F.col("kind") == WORD).agg(F.sum("n_tokens"), F.sum("n_distinct")).first())
+    floor = math.log10(n_tokens + n_distinct + 1)
+
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        def back(kind: int, column: str, dtype: type, hashes: np.ndarray) -> np.ndarray:
+            """The buckets' answers in the order of hashes."""
+            mine = sorted((b, x) for k, b, x in zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column(column).to_pylist(), strict=True) if k == kind)
+            out = np.empty(len(hashes), dtype)
+            out[_cut(hashes, buckets)[0]] = np.frombuffer(b"".join(x for _, x in mine), dtype)
+            return out
+
+        row = left.to_pylist()[0]
+        kinds, ids, ends, both, of = _tokens_of(row)
+        n = back(WORD, "counts", np.int64, kinds)
+        about = COUNT[back(WORD, "levels", np.uint8, kinds)]
+        end = float(about[kinds == END][0])
+        logs = log_probabilities(about[ids], end, COUNT[back(PAIR, "levels", np.uint8, both)][of], ends, n_tokens, n_distinct)
+        total = lambda x: np.add.reduceat(x, ends[:-1])
+        values = [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"]), pa.array(np.diff(ends)), pa.array(total((n > 0).astype(np.int64)[ids])), pa.array(np.full(len(ends) - 1, n_tokens)), pa.array(total(np.log10(n + 1.0)[ids]) - floor * np.diff(ends)), pa.array(total(logs))]
+        return pa.table(values, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    told_few = told.select("g", "kind", "bucket", "levels", "counts")
+    out = parts.groupBy("g").cogroup(told_few.groupBy("g")).applyInArrow(each, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     done = written(out, "lm-scores")
-    forget(spark, first, grams)
+    forget(spark, parts, told)
     return done

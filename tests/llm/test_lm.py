@@ -57,3 +57,18 @@ def test_model_beats_base_on_repeated_phrases(documents):
 
 def test_odd(odd):
     assert lm.score(odd).count() == 8 and lm.score(odd.limit(0)).count() == 0
+
+
+def test_all_pairs_are_stored(documents, monkeypatch):
+    """Pairs seen once count, and a text's score is that of the model of all n-grams however many groups and buckets there are."""
+    rows = [(i, " ".join(f"w{(i * 31 + k * k) % 211}" for k in range(60)), "en", "a") for i in range(50)]
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    model, _ = lm.train(documents(train))
+    hashed = {i: lm.tokens(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)])) for i, x, _, _ in rows}
+    assert all((model.counts(lm.PAIR, lm.pairs(*hashed[i])) >= 1).all() for i, _, _, _ in train)
+    want = {i: model.log_probabilities(*t).sum() for i, t in hashed.items()}
+    for group, bucket in ((2_000_000, 2_000_000), (200, 100)):
+        monkeypatch.setattr(lm, "GROUP", group)
+        monkeypatch.setattr(lm, "BUCKET", bucket)
+        got = {r["doc_id"]: r["score"] for r in lm.score(documents(rows)).collect()}
+        assert all(abs(got[i] - want[i]) < 0.02 * abs(want[i]) for i in want)
