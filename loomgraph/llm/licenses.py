@@ -3,13 +3,16 @@
 A text's words are lower-cased (A-Z) runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. Phrases are found
 wherever their words stand one after another, over the whole text.
 
-The join: each line of a text is a block, the set of its words; a template matches a block that holds at
-least `threshold` of the template's distinct words. Words are ordered by how many blocks of the whole
-corpus hold them, rarest first. Of a template with t words and need n = ceil(threshold*t), one of the
-first t-n+1 must be in every matching block (prefix filter); a block needs n words (length filter); a
+The join: a template matches a run of words, whatever line ends stand in it, of at most SPREAD times the
+template's own words, that holds at least `threshold` of the template's distinct words. All runs of that
+length are covered; labels and score follow from them. Besides, each line of a text is a block, the set
+of its words, and `blocks` lists the templates met by single lines of any length. Words are ordered by
+how many lines of the whole corpus hold them, rarest first. Of a template with t words and need n = ceil(threshold*t), one of the
+first t-n+1 must be in every matching run or block (prefix filter), so that only words around those are
+looked at; a block needs n words (length filter); a
 shared word at place i of the template leaves at most the t-i-1 later ones (positional filter), so the
 scan stops as soon as the need is out of reach. What passes is verified by counting. The filters only
-ever drop blocks that can't match, so the result is that of comparing every block with every template.
+ever drop what can't match, so the result is that of comparing every run and block with every template.
 
 Defined results: a null text is empty; a text without words has no places, labels or score; the labels
 are distinct, sorted and comma-joined ('' if none); rows with equal doc_id are all kept; an empty table
@@ -19,6 +22,7 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +42,8 @@ TEMPLATES = {
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
 }
 THRESHOLD = 0.8
+#: The longest run that may match, as a multiple of the template's words.
+SPREAD = 2
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: The same, with the line ends kept.
@@ -88,6 +94,7 @@ class Join:
             for place, word in enumerate(line[: len(line) - need + 1]):
                 self.prefix.setdefault(word, []).append((label, place))
         self.rare = frozenset(self.prefix)
+        self.span = {label: SPREAD * len(words(templates[label])) for label in self.ordered}
 
     def matches(self, block: frozenset[bytes] | set[bytes]) -> dict[str, float]:
         """label: containment, for each template that the block meets."""
@@ -110,6 +117,53 @@ class Join:
         return found
 
 
+    def runs(self, split: list[bytes]) -> list[tuple[int, int, str, float]]:
+        """(first word, last word, label, containment) of the runs that templates match; of overlapping runs the fullest, then the shortest."""
+        at: dict[bytes, list[int]] = {}
+        for word in self.rare.intersection(split):
+            for label, _ in self.prefix[word]:
+                at.update((w, []) for w in self.ordered[label][0])
+        for n, word in enumerate(split):
+            if word in at:
+                at[word].append(n)
+        found = []
+        for label, (line, need) in self.ordered.items():
+            rare = sorted(n for word in line[: len(line) - need + 1] for n in at.get(word, ()))
+            if not rare or sum(1 for word in line if at[word]) < need:
+                continue
+            span, hits = self.span[label], sorted((n, word) for word in line for n in at[word])
+            places = [n for n, _ in hits]
+            areas: list[list[int]] = []
+            for n in rare:
+                if areas and n - span < areas[-1][1]:
+                    areas[-1][1] = n + span
+                else:
+                    areas.append([n - span, n + span])
+            for start, end in areas:
+                best, until = None, -1
+                inside: Counter[bytes] = Counter()
+                first = bisect_right(places, start)
+                for last in range(first, bisect_left(places, end)):
+                    n, word = hits[last]
+                    inside[word] += 1
+                    # From the left: words out of reach, and words that come again.
+                    while places[first] <= n - span or inside[hits[first][1]] > 1:
+                        inside[hits[first][1]] -= 1
+                        if not inside[hits[first][1]]:
+                            del inside[hits[first][1]]
+                        first += 1
+                    if len(inside) < need:
+                        continue
+                    this = (len(inside), places[first] - n, places[first], n)
+                    if best and places[first] > until:
+                        found.append((best[2], best[3], label, best[0] / len(line)))
+                        best = None
+                    best, until = max(best or this, this, key=lambda x: x[:2]), n
+                if best:
+                    found.append((best[2], best[3], label, best[0] / len(line)))
+        return sorted(found)
+
+
 def _places(joined: bytes, phrase: bytes) -> list[int]:
     """Numbers of the words at which phrase starts; joined has a space before and after each word."""
     found, at, word, done = [], joined.find(phrase), 0, 0
@@ -122,16 +176,18 @@ def _places(joined: bytes, phrase: bytes) -> list[int]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks, runs.
 
-    blocks: the matching blocks as (line, label, containment). score: the largest containment, or 1 if
-    a phrase was found, else 0.
+    runs: the matching runs as (first word, last word, label, containment). score: the largest
+    containment of a run, or 1 if a phrase was found, else 0. blocks: the lines that match by themselves,
+    as (line, label, containment).
     """
     templates, phrases = templates or TEMPLATES, phrases or PHRASES
     join = docs.sparkSession.sparkContext.broadcast(Join(templates, document_frequency(docs, templates), threshold))
     sought = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
     block = pa.struct([("line", pa.int32()), ("label", pa.string()), ("containment", pa.float64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("blocks", pa.list_(block))])
+    run = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("label", pa.string()), ("containment", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("blocks", pa.list_(block)), ("runs", pa.list_(run))])
 
     def row(doc_id: int, text: bytes, index: Join) -> tuple:
         lines = text.translate(_LINES)
@@ -142,14 +198,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
             if phrase in joined:
                 places += _places(joined, phrase)
                 base.add(label)
-        blocks = []
+        blocks, runs = [], []
         if not index.rare.isdisjoint(split):
+            runs = [{"first": a, "last": b, "label": label, "containment": c} for a, b, label, c in index.runs(split)]
             for n, line in enumerate(lines.split(b"\n")):
                 if not index.rare.isdisjoint(some := line.split()):
                     blocks += [{"line": n, "label": label, "containment": c} for label, c in sorted(index.matches(frozenset(some)).items())]
-        labels = base | {b["label"] for b in blocks}
-        score = max([1.0 if base else 0.0, *(b["containment"] for b in blocks)])
-        return doc_id, len(split), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks
+        labels = base | {r["label"] for r in runs}
+        score = max([1.0 if base else 0.0, *(r["containment"] for r in runs)])
+        return doc_id, len(split), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks, runs
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = join.value
@@ -157,5 +214,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
             rows = [row(i, t, index) for i, t in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    out = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line int, label string, containment double>>"
+    out = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line int, label string, containment double>>, runs array<struct<first int, last int, label string, containment double>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, out)

@@ -66,7 +66,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).drop("blocks")
+    return scan(table(spark, sf_dir, "documents")).drop("blocks", "runs")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

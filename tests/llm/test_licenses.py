@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 from loomgraph.llm import licenses
 
@@ -33,3 +34,31 @@ def test_templates_are_found_in_themselves(documents):
 def test_odd(odd):
     got = licenses.scan(odd).collect()
     assert len(got) == 8 and all(r["score"] == 0 for r in got) and licenses.scan(odd.limit(0)).count() == 0
+
+
+def test_wrapped_notices_and_long_lines(documents):
+    grant = licenses.TEMPLATES["mit-grant"].split()
+    filler = [f"w{i}" for i in range(200)]
+    scattered = filler[:50] + ["released"] + filler[:50] + ["under", "the"] + filler[:50] + ["mit"] + filler + ["license", "w"]
+    texts = ["\n".join(" * " + " ".join(grant[i : i + n]) for i in range(0, len(grant), n)) for n in (1, 4, 13)]
+    texts += [" ".join(scattered), " ".join([*scattered, *"released under the mit license".split(), *filler]), "a\n".join(scattered)]
+    got = licenses.scan(documents(texts)).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == ["mit-grant"] * 3 + ["", "mit", ""] and [r["score"] for r in got] == [1.0, 1.0, 1.0, 0.0, 1.0, 0.0]
+    assert [(r["first"], r["last"]) for r in got[4]["runs"]] == [(len(scattered), len(scattered) + 4)]
+
+
+def test_runs_equal_trying_every_window(documents):
+    pool = "licensed under the apache license version mit released x1 x2 x3 x4 x5 x6 x7 cc by nc 4 0 2".split()
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(pool) + rng.choice(["", "\n"]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    templates = {k: v for k, v in licenses.TEMPLATES.items() if k in ("apache-2.0", "mit", "cc-by-nc-4.0")}
+    sides = {k: (set(licenses.words(v)), licenses.SPREAD * len(licenses.words(v))) for k, v in templates.items()}
+    for threshold in (0.6, 0.8):
+        for r, text in zip(licenses.scan(documents(texts), templates, {"no such": "no"}, threshold).orderBy("doc_id").collect(), texts, strict=True):
+            some, want = licenses.words(text), {}
+            for k, (side, span) in sides.items():
+                most = max((len(side & set(some[i : i + span])) for i in range(len(some))), default=0)
+                if most >= math.ceil(threshold * len(side) - 1e-9):
+                    want[k] = most / len(side)
+            assert r["labels"] == ",".join(sorted(want)) and r["score"] == max(want.values(), default=0)
+            assert all(x["last"] - x["first"] < sides[x["label"]][1] for x in r["runs"])
