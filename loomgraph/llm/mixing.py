@@ -7,6 +7,10 @@ sources, then over the shards of each source. Inside a shard, documents stand in
 run of words cut into blocks; a quota of q takes its first q blocks, going round a second time if q
 exceeds the blocks there are. So no document is taken more than twice, and reruns agree.
 
+Shards follow the number of all documents, but a source has at most one for each BLOCKS_A_SHARD blocks of
+its own words: a quota is whole blocks and a shard gives twice its words at most, so up to about half a
+block a shard is not taken, and only in sources whose target is above their size.
+
 Defined results: a null text has size 0 and gets taken 0; a null source is a source of its own and
 comes last; sources whose words are all missing get target 0; rows with equal doc_id are kept and
 ordered by size; an empty table gives an empty result; further columns of the input are ignored.
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 from .runtime import WORD
 
 WEIGHTS = (3, 1, 2)
+BLOCKS_A_SHARD = 64
 
 
 def n_words(text: Column) -> Column:
@@ -76,16 +81,21 @@ def mix(docs: DataFrame, size: Column | None = None, block_tokens: int = 64, doc
     sized = docs.select("doc_id", "source", size.alias("size"), F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     sized = sized.withColumn("_dice", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     sized = sized.withColumn("shard", F.conv(F.substring("_dice", 1, 8), 16, 10).cast("long") % shards)
-    source = ["s_null", "s"]
-    by_shard = sized.groupBy(*source, "shard").agg(F.sum("size").alias("shard_size"))
-    targets = source_targets(by_shard.groupBy(*source).agg(F.sum("shard_size").alias("source_size")), weights, share, most)
+    # Documents without words add nothing to a shard; where they are many they stay spread.
+    sized = sized.withColumn("_some", F.coalesce(F.col("size") > 0, F.lit(False)))
+    source, fine = ["s_null", "s"], ["shard", "_some"]
+    by_fine = sized.groupBy(*source, *fine).agg(F.sum("size").alias("fine_size"))
+    targets = source_targets(by_fine.groupBy(*source).agg(F.sum("fine_size").alias("source_size")), weights, share, most)
     everything = Window.partitionBy(F.lit(0))
     targets = targets.withColumn("_blocks", F.floor(F.sum("target").over(everything) / block_tokens + 0.5).cast("long")).withColumn("_one", F.lit(0))
     targets = sainte_lague(targets, ["_one"], ["rank"], "target", "_blocks").withColumnRenamed("quota", "source_blocks").drop("_one", "_blocks")
-    quotas = by_shard.join(targets, source)
-    quotas = sainte_lague(quotas, source, ["shard"], "shard_size", "source_blocks").select(*source, "shard", "shard_size", "source_size", "target", "quota")
-    run = Window.partitionBy(*source, "shard").orderBy(F.substring("_dice", 9, 24), "doc_id", "size")
-    placed = sized.join(quotas, [*source, "shard"]).withColumn("_end", F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    own_shards = F.greatest(F.lit(1), F.least(F.lit(shards), F.floor(F.col("source_size") / (block_tokens * BLOCKS_A_SHARD))))
+    by_fine = by_fine.join(targets, source).withColumn("_own", F.when(F.col("_some"), F.col("shard") % own_shards).otherwise(F.col("shard")))
+    by_shard = by_fine.groupBy(*source, "_own").agg(F.sum("fine_size").alias("shard_size"), *[F.first(c).alias(c) for c in ("source_size", "target", "source_blocks")])
+    quotas = sainte_lague(by_shard, source, ["_own"], "shard_size", "source_blocks").select(*source, "_own", "shard_size", "source_size", "target", "quota")
+    quotas = by_fine.select(*source, *fine, "_own").join(quotas, [*source, "_own"])
+    run = Window.partitionBy(*source, "_own").orderBy(F.substring("_dice", 9, 24), "doc_id", "size")
+    placed = sized.join(quotas, [*source, *fine]).withColumn("_end", F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)))
     words = F.least(F.col("quota") * block_tokens, F.floor(most * F.col("shard_size")).cast("long"))
     lap = lambda k: F.greatest(F.lit(0), F.least(F.col("size"), words - k * F.col("shard_size") - (F.col("_end") - F.col("size"))))
     taken = sum((lap(k) for k in range(1, math.ceil(most))), lap(0))

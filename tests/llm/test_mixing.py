@@ -57,3 +57,14 @@ def test_odd(odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 8 and all(r["taken"] == 0 for r in rows if r["size"] == 0)
     assert mixing.mix(odd.limit(0)).count() == 0
+
+
+def test_short_texts_among_many_shards(documents):
+    """A source whose texts stand one to a shard of the whole table still gets its target."""
+    texts = [(i, "w " * 10, "en", "a") for i in range(400)] + [(1000 + i, "w " * 300, "en", "b") for i in range(400)] + [(2000 + i, "", "en", "a") for i in range(50)]
+    rows = mixing.mix(documents(texts), docs_per_shard=1).collect()
+    assert len(rows) == len(texts)
+    for s in "ab":
+        some = [r for r in rows if r["source"] == s]
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in some)
+        assert abs(sum(r["taken"] for r in some) - some[0]["target"]) <= 0.02 * some[0]["target"] + 64
