@@ -96,7 +96,11 @@ def _cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, k: int) -> Hashing | None:
-    """Functions and number of probes, from a bounded sample of rows (vec_id, v)."""
+    """Functions and number of probes, from a bounded sample of rows (vec_id, v).
+
+    While the visits allowed don't reach GOAL of the sample's neighbours, there is a function less a
+    table; without any, all rows are compared.
+    """
     about = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size")).first()
     if not about["n"]:
         return None
@@ -111,16 +115,23 @@ def fit(rows: DataFrame, k: int) -> Hashing | None:
     scores = queries @ vectors.T
     scores[np.arange(len(queries)), np.arange(len(queries))] = -2
     near = np.argsort(-scores, axis=1)[:, :k]
-    places = hashing.places(vectors)
-    keys = hashing.keys(np.floor(places))
-    most = min(MOST_PROBES, 3**m)
-    rank = np.full(near.shape, most)
-    for t in range(hashing.tables):
-        for q in range(len(queries)):
-            at = {key: i for i, key in reversed(list(enumerate(hashing.keys(hashing.visits(places[t, q], most)).tolist())))}
-            rank[q] = np.minimum(rank[q], [at.get(x, most) for x in keys[t, near[q]].tolist()])
-    hashing.probes = int(min(most, np.sort(rank.ravel())[min(rank.size - 1, math.ceil(GOAL * rank.size))] + 1))
-    return hashing
+    while m:
+        hashing = Hashing(about["size"], m)
+        places = hashing.places(vectors)
+        keys = hashing.keys(np.floor(places))
+        most = min(MOST_PROBES, 3**m)
+        rank = np.full(near.shape, most)
+        for t in range(hashing.tables):
+            for q in range(len(queries)):
+                at = {key: i for i, key in reversed(list(enumerate(hashing.keys(hashing.visits(places[t, q], most)).tolist())))}
+                rank[q] = np.minimum(rank[q], [at.get(x, most) for x in keys[t, near[q]].tolist()])
+        # A rank of `most` is that of a neighbour in no visited bucket.
+        last = np.sort(rank.ravel())[min(rank.size - 1, math.ceil(GOAL * rank.size))]
+        if last < most:
+            hashing.probes = int(last + 1)
+            return hashing
+        m -= 1
+    return Hashing(about["size"], 0)
 
 
 def _copies(rows: DataFrame, keep: int) -> DataFrame:

@@ -50,3 +50,15 @@ def test_visits_are_in_order():
     cells = hashing.visits(place, 81)
     cost = [sum((place[j] - np.floor(place[j]) if c < np.floor(place[j]) else 1 - place[j] + np.floor(place[j])) ** 2 * (c != np.floor(place[j])) for j, c in enumerate(row)) for row in cells]
     assert len({tuple(c) for c in cells}) == len(cells) == 81 and cost == sorted(cost)
+
+
+def test_goal_is_met_when_visits_are_few(spark, monkeypatch):
+    """Where the visits allowed don't reach the goal there are fewer functions, not fewer neighbours."""
+    monkeypatch.setattr(ann, "ROWS_PER_BUCKET", 8)
+    monkeypatch.setattr(ann, "MOST_PROBES", 4)
+    data = np.random.default_rng(4).standard_normal((600, 16)).astype(np.float32).astype(float)
+    got = {}
+    for r in ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], ROWS), every=20).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute(dict(enumerate(data)), 5, 20)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
