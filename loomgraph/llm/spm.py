@@ -5,11 +5,12 @@ double-array trie over UTF-8 bytes; where nothing matches, one character stays a
 spaces, and records for each normalised byte the original byte range it came from. BPE merges run over
 the normalised text, and every piece is projected to the span of original bytes that its normalised
 bytes came from. No piece of a model has the space mark after another character, so merges never cross
-the start of a run of spaces: the text is cut there, and what a cut yields is remembered.
+the start of a run of spaces: the text is cut there, and each distinct unit between cuts is merged,
+projected and decoded once (by the library, whose decode() of a text is that of its units in a row).
 
 Defined results: a null or empty text has no pieces; the dummy prefix belongs to no original byte; a
-character that the model doesn't know becomes its UTF-8 bytes' pieces (or the unknown piece, in models
-without byte pieces); rows with equal doc_id are all kept; an empty table gives an empty result;
+character that the model doesn't know becomes its UTF-8 bytes' pieces (in models without byte pieces a
+run of unknown characters is one unknown piece); rows with equal doc_id are all kept; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -21,7 +22,6 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import small_batches
+from .tokens import chunks
 
 MARK = "▁"
 _MARK = MARK.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MAX_MEMO = 400_000
+MAX_MEMO = 300_000
 
 
 class CharsMap:
@@ -69,6 +70,7 @@ class Model:
     """A sentencepiece BPE model, from the bytes of its file."""
 
     def __init__(self, blob: bytes):
+        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -94,7 +96,11 @@ class Model:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has the space mark inside")
         self.width = np.array([len(p.piece.encode()) if k == NORMAL else 1 for p, k in zip(proto.pieces, kinds, strict=True)])
-        self.memo: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=blob)
+        # A piece that decodes to one character.
+        self.anchor = next((i for p, i in self.ids.items() if len(p) == 1 and p != MARK), None)
+        self._forget()
 
     # ---- normalising ----
 
@@ -191,7 +197,7 @@ class Model:
             offer(i)
         return [p for p in parts if p is not None]
 
-    def _unit(self, unit: str) -> tuple[tuple[int, ...], str]:
+    def _unit(self, unit: str) -> tuple[int, ...]:
         ids: list[int] = []
         for piece in self._merge(unit):
             if (i := self.ids.get(piece)) is not None:
@@ -200,45 +206,149 @@ class Model:
                 ids += [self.bytes[b] for b in piece.encode()]
             else:
                 ids.append(self.unknown)
-        found = tuple(ids), ",".join(map(str, ids))
-        if len(unit) <= 64:
-            if len(self.memo) >= MAX_MEMO:
-                self.memo.clear()
-            self.memo[unit] = found
-        return found
-
-    def units(self, normal: str) -> list[tuple[tuple[int, ...], str]]:
-        """Of each cut of the normalised text: its ids, and the same as text."""
-        cuts = _UNITS.findall(normal)
-        found = list(map(self.memo.get, cuts))
-        if None in found:
-            found = [(self.memo.get(cut) or self._unit(cut)) if got is None else got for cut, got in zip(cuts, found, strict=True)]
+        return tuple(ids)
+
+    def _known(self, unit: str) -> tuple[int, ...]:
+        if (found := self.memo.get(unit)) is None:
+            found = self._unit(unit)
+            if len(unit) <= 64:
+                if len(self.memo) >= MAX_MEMO:
+                    self.memo.clear()
+                self.memo[unit] = found
         return found
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
         """ids, and the original byte span [start, end) of each."""
         normal, start, end = self.normalise(text)
-        ids = [i for some, _ in self.units(normal) for i in some]
-        return ids, *self.spans(ids, normal, start, end)
+        ids = [i for unit in _UNITS.findall(normal) for i in self._known(unit)]
+        a, b = self.spans(ids, normal, start, end)
+        some, keep = self._joined(np.array(ids, np.int64), np.array([0, len(ids)]))
+        return some.tolist(), a[keep], b[np.append(np.flatnonzero(keep)[1:], len(ids)) - 1] if len(some) else b
 
     def spans(self, ids: list[int], normal: str, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not ids:
             return np.zeros(0, int), np.zeros(0, int)
-        width = self.width[ids]
+        width = self.width[list(ids)]
         if not self.bytes and self.unknown in ids:  # an unknown piece is one character of any width
             width = np.array([len(p.encode()) for u in _UNITS.findall(normal) for p in self._merge(u)])
         stop = np.cumsum(width)
         return start[stop - width], end[stop - 1]
 
+    def _joined(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids with neighbouring unknown pieces of a text as one, and which are kept (the first of each)."""
+        keep = np.ones(len(ids), bool)
+        if not self.bytes and len(ids):
+            keep[1:] = (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)
+            keep[bounds[:-1][bounds[:-1] < len(ids)]] = True
+        return ids[keep], keep
+
+    # ---- many texts at a time ----
+
+    @property
+    def plain(self) -> bool:
+        """Whether normalising does no more than escape spaces, and each character has pieces of its own."""
+        return self.map is None and not self.squeeze and self.escape and bool(self.bytes) and self.anchor is not None
+
+    def _learn(self, unit: bytes, prefix: bool) -> int:
+        """The row of the table of units for a unit that isn't in it: ids, their spans in its bytes, digits, decoded."""
+        text = unit.decode("utf-8", "replace")
+        normal = (MARK if prefix else "") + text.replace(" ", MARK)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        at = np.repeat(np.arange(len(raw)), np.where(raw == 32, 3, 1))
+        start = np.concatenate([np.zeros(3 * prefix, int), at])
+        end = np.concatenate([np.zeros(3 * prefix, int), at + 1])
+        # In front of a mark the prefix is a unit's first mark; other units start with their own.
+        ids = [i for u in _UNITS.findall(normal) for i in self._known(u)]
+        found, n = (ids, *self.spans(ids, normal, start, end)), self.filled
+        while n + len(ids) > self.flat.shape[1]:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)], axis=1)
+        if self.rows == len(self.size):
+            self.size, self.at = np.append(self.size, np.zeros_like(self.size)), np.append(self.at, np.zeros_like(self.at))
+        for k in range(3):
+            self.flat[k, n : n + len(ids)] = found[k]
+        row = self.rows
+        self.size[row], self.at[row] = len(ids), n
+        self.rows, self.filled = row + 1, n + len(ids)
+        self.told.append("".join([f"{i}," for i in ids]).encode())
+        # Behind another piece a unit's leading space stays, as it does in the decoded whole.
+        self.text.append((self.processor.decode(ids) if prefix else self.processor.decode([self.anchor, *ids])[1:]).encode())
+        self.known[prefix][unit] = row
+        return row
+
+    def encode_many(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.LargeBinaryArray, pa.LargeBinaryArray]:
+        """(ids, starts, ends, bounds, digits, decoded) of texts that lie end to end; only for plain models.
+
+        The texts are cut into units; each distinct unit is merged and decoded once, and its pieces with
+        their spans are laid out for all its places together. A text's ids as digits with a comma after
+        each, and its decoded bytes, are the values of digits and decoded one after another.
+        """
+        n_texts = len(offsets) - 1
+        none = pa.array([b""] * n_texts, pa.large_binary())
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n_texts + 1, np.int64), none, none
+        if self.rows > MAX_MEMO or self.filled > 16 * MAX_MEMO:
+            self._forget()
+        mark = data == 32
+        if len(data) > 2:
+            literal = np.flatnonzero((data[:-2] == _MARK[0]) & (data[1:-1] == _MARK[1]) & (data[2:] == _MARK[2]))
+            for k in range(3):
+                mark[literal + k] = True
+        first = mark.copy()
+        first[1:] &= ~mark[:-1]
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        first[heads] = True
+        cuts = np.flatnonzero(first)
+        edges = np.append(cuts, len(data))
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        kind = units.indices.to_numpy().astype(np.int64)
+        names = _values(units.dictionary)
+        rows = list(map(self.known[False].get, names))
+        if None in rows:
+            rows = [self._learn(u, False) if row is None else row for u, row in zip(names, rows, strict=True)]
+        if self.prefix:  # the first unit of a text has the dummy prefix
+            at_head = np.searchsorted(cuts, heads)
+            some, of = np.unique(kind[at_head], return_inverse=True)
+            known = self.known[True]
+            rows += [known[u] if u in known else self._learn(u, True) for u in [names[k] for k in some.tolist()]]
+            kind[at_head] = len(names) + of
+        pick = pa.array(kind)
+        digits, decoded = (pa.array([x[row] for row in rows], pa.large_binary()).take(pick) for x in (self.told, self.text))
+        row = np.array(rows)[kind]
+        n = self.size[row]
+        stop = np.cumsum(n)
+        place = np.arange(stop[-1]) + np.repeat(self.at[row] - (stop - n), n)
+        text = np.searchsorted(offsets, cuts, "right") - 1
+        base = np.repeat(cuts - offsets[text], n)
+        ids, starts, ends = self.flat[0][place], self.flat[1][place] + base, self.flat[2][place] + base
+        at = np.searchsorted(cuts, offsets)
+        bounds = np.append(0, stop)[at]
+        return ids, starts, ends, bounds, _runs(digits, at), _runs(decoded, at)
+
+    def _forget(self) -> None:
+        self.rows = self.filled = 0
+        self.size, self.at, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros((3, 1 << 14), np.int64)
+        self.told, self.text, self.known = [], [], ({}, {})
+
+
+def _values(some: pa.LargeBinaryArray) -> list[bytes]:
+    """As to_pylist(), many times as fast for short values."""
+    at = np.frombuffer(some.buffers()[1], np.int64, len(some) + 1, some.offset * 8).tolist()
+    raw = some.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _runs(values: pa.LargeBinaryArray, bounds: np.ndarray) -> pa.LargeBinaryArray:
+    """The values from each bound to the next as one."""
+    at = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, values.offset * 8)[bounds]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), values.buffers()[2]])
+
 
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 @lru_cache(2)
-def _loaded(blob: bytes) -> tuple:
-    import sentencepiece
-
-    return Model(blob), sentencepiece.SentencePieceProcessor(model_proto=blob)
+def _loaded(blob: bytes) -> Model:
+    return Model(blob)
 
 
 def read_model(path: str) -> bytes:
@@ -247,7 +357,7 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-ROWS_AT_ONCE = 128
+PIECE = 2 << 20
 #: What encode() can return besides doc_id.
 FIELDS = {"n_tokens": "long", "covered_bytes": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "starts": "array<int>", "ends": "array<int>", "decoded": "string"}
 DIGESTS = ("n_tokens", "covered_bytes", "ids_sha256", "decoded_sha256")
@@ -261,37 +371,48 @@ def encode(docs: DataFrame, model: bytes, fields: tuple[str, ...] = ("n_tokens",
     commas, decoded_sha256 of the decoded text in UTF-8.
     """
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
-    wanted, spanned = set(fields), bool({"covered_bytes", "starts", "ends"} & set(fields))
-    arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
-    sha = lambda data: hashlib.sha256(data).hexdigest()
-
-    def one(model: Model, processor, text: str) -> dict:
-        normal, start, end = model.normalise(text)
-        units = model.units(normal)
-        ids = list(chain.from_iterable([some for some, _ in units]))
-        row = {"n_tokens": len(ids), "ids": ids}
-        if spanned:
-            a, b = model.spans(ids, normal, start, end)
-            new = np.append(True, a[1:] != a[:-1]) if ids else np.zeros(0, bool)
-            row |= {"starts": a, "ends": b, "covered_bytes": int((b[np.append(new[1:], True)] - a[new]).sum()) if ids else 0}
-        if wanted & {"decoded", "decoded_sha256"}:
-            row["decoded"] = processor.decode(ids) if ids else ""
-            row["decoded_sha256"] = sha(row["decoded"].encode())
+    wanted = set(fields)
+
+    def together(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple:
+        if model.plain:
+            return model.encode_many(data, offsets)
+        raw = data.tobytes()
+        each = [model.encode(raw[a:b].decode("utf-8", "replace")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        told = ["".join([f"{i}," for i in ids]).encode() for ids, _, _ in each]
+        text = [model.processor.decode(ids).encode() if ids else b"" for ids, _, _ in each]
+        return *(np.concatenate([np.asarray(x[k], np.int64) for x in each]) for k in range(3)), np.append(0, np.cumsum([len(x[0]) for x in each])), pa.array(told, pa.large_binary()), pa.array(text, pa.large_binary())
+
+    def columns(model: Model, data: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
+        ids, starts, ends, bounds, told, text = together(model, data, offsets)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32()))
+        sha = lambda some: pa.array([hashlib.sha256(x).hexdigest() for x in some], pa.string())
+        out = {"n_tokens": pa.array(np.diff(bounds))}
+        if {"ids", "starts", "ends"} & wanted:
+            out |= {"ids": lists(ids), "starts": lists(starts), "ends": lists(ends)}
+        if "covered_bytes" in wanted:
+            # Pieces of one original byte run share its span, which counts once.
+            covered = np.zeros(len(ids) + 1, np.int64)
+            if len(ids):
+                new = np.append(True, starts[1:] >= ends[:-1])
+                new[bounds[:-1][bounds[:-1] < len(ids)]] = True
+                last = np.append(np.flatnonzero(new)[1:], len(ids)) - 1
+                covered[1:][last] = ends[last] - starts[new]
+            covered = np.cumsum(covered)
+            out["covered_bytes"] = pa.array(covered[bounds[1:]] - covered[bounds[:-1]])
         if "ids_sha256" in wanted:
-            row["ids_sha256"] = sha(",".join([x for _, x in units]).encode())
-        return row
+            out["ids_sha256"] = sha(x[:-1] for x in told.to_pylist())
+        if "decoded" in wanted:
+            out["decoded"] = text.cast(pa.large_string()).cast(pa.string())
+        if "decoded_sha256" in wanted:
+            out["decoded_sha256"] = sha(text.to_pylist())
+        return out
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, processor = _loaded(shared.value)
-        for whole in batches:
-            # A batch's tokens take many times the memory of its texts: a few rows at a time.
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                columns = {f: [] for f in fields}
-                for text in batch.column("text").to_pylist():
-                    row = one(model, processor, text or "")
-                    for f in fields:
-                        columns[f].append(row[f])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(columns[f], arrow[FIELDS[f]]) for f in fields)], names=["doc_id", *fields])
+        model = _loaded(shared.value)
+        for batch in batches:
+            # A batch's tokens take many times the memory of its texts: about PIECE bytes at a time.
+            for a, b, data, offsets in chunks(batch, "text", PIECE):
+                found = columns(model, data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(found[f] for f in fields)], names=["doc_id", *fields])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, ", ".join(["doc_id long", *(f"{f} {FIELDS[f]}" for f in fields)]))
