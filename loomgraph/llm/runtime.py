@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..sources.tables import shared_dir, shared_path, written
 
 FILTER_BITS = 1 << 24
 BATCH_ROWS = 1000
-__all__ = ["FILTER_BITS", "WORD", "forget", "maybe_in", "shared_dir", "shared_path", "small_batches", "table", "written"]
+__all__ = ["FILTER_BITS", "WORD", "forget", "maybe_in", "shared_dir", "shared_path", "small_batches", "table", "unused", "written"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,6 +30,17 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names with as many underscores in front as it takes to differ from all names taken (in any case)."""
+    low, found = {x.lower() for x in taken}, []
+    for name in names:
+        while (name := f"_{name}").lower() in low:
+            pass
+        found.append(name)
+        low.add(name.lower())
+    return found
+
+
 def maybe_in(rows: DataFrame, keys: DataFrame, *key: str, flag: str | None = None) -> DataFrame:
     """The rows whose key has its bit set in a bitmap over keys: all that are in keys, and few others.
 
@@ -35,13 +48,14 @@ def maybe_in(rows: DataFrame, keys: DataFrame, *key: str, flag: str | None = Non
     answer as a column of that name. The bitmap is broadcast; its size is fixed: FILTER_BITS / 32768
     rows of 4 KB. With very many keys it lets more rows through, and the join after it stays exact.
     """
+    bucket, bits = unused([*rows.columns, *keys.columns], "bucket", "bits")
     bit = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS)) + 1
-    maps = keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+    maps = keys.groupBy(F.bitmap_bucket_number(bit).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias(bits))
     at = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "_bucket", "left" if flag else "inner")
-    return (joined.withColumn(flag, hit) if flag else joined.filter(hit)).drop("_bucket", "_bits")
+    joined = rows.withColumn(bucket, F.bitmap_bucket_number(bit)).join(F.broadcast(maps), bucket, "left" if flag else "inner")
+    return (joined.withColumn(flag, hit) if flag else joined.filter(hit)).drop(bucket, bits)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

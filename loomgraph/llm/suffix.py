@@ -3,12 +3,14 @@
 A byte goes if a string of LENGTH bytes that covers it also starts anywhere else, in the same text or in
 another; strings never cross texts, and are judged on the input.
 
-Equal strings are brought together by their anchors (see anchors.py): runs of neighbouring windows with
-one anchor are compared as a whole first. A run whose whole stretch of bytes stands elsewhere is
-repeated in all its windows. Runs with equal anchors but different stretches, which is where a repeated
-passage begins or ends, are cut out of their texts and compared window by window, in groups of a bounded
-number of bytes; anchors with more than CROWD different stretches have their windows counted by a
-distributed sum instead. So the result is exact, whatever the sizes of groups of copies.
+The corpus's suffixes are shared out by anchors (see anchors.py): runs of neighbouring windows with one
+anchor, cut out of their texts, go to one group wherever they stand, so equal strings of LENGTH bytes
+always meet, and a group is of a bounded number of bytes. Runs of equal bytes (told by 64-bit hashes of
+their anchor and of all their bytes) enter once, with their number. In a group, each shard of the
+documents has its own Burrows-Wheeler transform of its runs; the transforms are merged by refining
+their interleave (see transforms.py), and the strings that share LENGTH bytes are the repeated ones.
+Anchors with more than CROWD different runs, more than a group should hold, have their windows counted by
+a distributed sum of their hashes instead; so nothing is left out, whatever the sizes of groups of copies.
 
 Defined results: a null text is empty; a text shorter than LENGTH bytes is kept whole; overlapping
 occurrences count; equal rows are occurrences of each other (also with equal doc_id); a null doc_id is
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import PIECE, Hashes, runs
-from .runtime import forget, maybe_in, small_batches, written
+from .runtime import forget, maybe_in, small_batches, unused, written
 from .tokens import chunks
+from .transforms import Shards
 
-LENGTH, CROWD, GROUP_BYTES = 200, 2000, 2 << 20
+LENGTH, CROWD, GROUP_BYTES, SHARDS = 200, 2000, 1 << 20, 4
 _NO_ID = -(2**63)
 
 
@@ -60,8 +63,8 @@ def window_runs(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted (id, th, first, count, key, alone) with the bytes under each run's windows."""
-    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("first", "count", "key", "alone")).alias("runs"))
+    """wanted (id, th, first, count, key, span, n) with the shard of its text and the bytes under each run's windows."""
+    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("first", "count", "key", "span", "n")).alias("runs"))
     texts = maybe_in(rows.select("id", "th", "text"), lists, "id", "th").join(lists, ["id", "th"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,12 +72,14 @@ def _cut(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for k in range(0, whole.num_rows, 200):
                 batch = whole.slice(k, 200)
                 out = []
-                for i, h, text, some in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                    out += [(i, h, r["first"], r["key"], r["alone"], text[r["first"] : r["first"] + r["count"] - 1 + length]) for r in some]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["id", "th", "first", "key", "alone", "data"])
+                for shard, text, some in zip(batch.column("shard").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                    out += [(r["key"], r["span"], r["n"], shard, text[r["first"] : r["first"] + r["count"] - 1 + length]) for r in some]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["key", "span", "n", "shard", "data"])
 
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-    return texts.mapInArrow(each, "id long, th long, first int, key long, alone boolean, data binary")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    # Rows with equal id and text are one text here: their runs are in lists once.
+    texts = texts.select(F.pmod(F.xxhash64("id", "th"), F.lit(SHARDS)).cast("int").alias("shard"), "text", "runs")
+    return texts.mapInArrow(each, "key long, span long, n long, shard int, data binary")
 
 
 def _windows(data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +95,8 @@ def _windows(data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
 
 def _spread(which: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows in ascending order as (which, start, end) of the stretches they cover together."""
+    if not len(which):
+        return which, place, place
     new = np.ones(len(which), bool)
     new[1:] = (which[1:] != which[:-1]) | (place[1:] > place[:-1] + length)
     first = np.flatnonzero(new)
@@ -97,19 +104,21 @@ def _spread(which: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarr
     return which[first], place[first], place[last] + length
 
 
-def _compare(slices: DataFrame, groups: int, length: int) -> DataFrame:
-    """id, th, start, end: the repeated windows of the lone slices, compared in groups of whole keys."""
+def _merge(slices: DataFrame, groups: int, length: int) -> DataFrame:
+    """key, span, start, end: the repeated stretches of the slices, by merging transforms in groups of whole keys."""
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
-        hashes, which, place = _windows(list(map(bytes, group["data"])), length)
-        _, of, n = np.unique(hashes, return_inverse=True, return_counts=True)
-        hit = (n[of] > 1) & group["alone"].to_numpy(bool)[which]
-        which, start, end = _spread(which[hit], place[hit], length)
-        first = group["first"].to_numpy(np.int64)[which]
-        return pd.DataFrame({"id": group["id"].to_numpy()[which], "th": group["th"].to_numpy()[which], "start": first + start, "end": first + end})
+        often = group["n"].to_numpy() > 1
+        which, place = Shards(list(map(bytes, group["data"])), group["shard"].to_numpy(), length).repeated()
+        which, start, end = _spread(which[~often[which]], place[~often[which]], length)
+        # A run that stands in several places is repeated as a whole.
+        size = group["data"].map(len).to_numpy()
+        all_of = np.flatnonzero(often)
+        which, start, end = np.concatenate([which, all_of]), np.concatenate([start, 0 * all_of]), np.concatenate([end, size[all_of]])
+        return pd.DataFrame({"key": group["key"].to_numpy()[which], "span": group["span"].to_numpy()[which], "start": start, "end": end})
 
-    shard = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("shard")
-    return slices.groupBy(shard).applyInPandas(each, "id long, th long, start long, end long")
+    number = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("number")
+    return slices.groupBy(number).applyInPandas(each, "key long, span long, start long, end long")
 
 
 def _count(slices: DataFrame, length: int) -> DataFrame:
@@ -121,43 +130,39 @@ def _count(slices: DataFrame, length: int) -> DataFrame:
                 batch = whole.slice(k, 500)
                 hashes, which, place = _windows(batch.column("data").to_pylist(), length)
                 take = lambda name, w=which, b=batch: b.column(name).take(pa.array(w))
-                start = take("first").to_numpy().astype(np.int64) + place
-                yield pa.RecordBatch.from_arrays([take("id"), take("th"), take("alone"), pa.array(start), pa.array(hashes.view(np.int64))], names=["id", "th", "alone", "start", "hash"])
+                yield pa.RecordBatch.from_arrays([take("key"), take("span"), take("n"), pa.array(place), pa.array(hashes.view(np.int64))], names=["key", "span", "n", "start", "hash"])
 
-    rows = slices.mapInArrow(each, "id long, th long, alone boolean, start long, hash long")
-    often = rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.filter("alone").join(often, "hash", "left_semi").select("id", "th", "start", (F.col("start") + length).alias("end"))
+    rows = slices.mapInArrow(each, "key long, span long, n long, start long, hash long")
+    # Written, so that the join's sides can both be dealt anew where a hash has many rows.
+    often = written(rows.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash"), "often")
+    return rows.join(often, "hash", "left_semi").select("key", "span", "start", (F.col("start") + length).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """id, th, starts, ends: of each text with repeated strings, byte stretches to remove (unordered, may overlap)."""
     spark = small_batches(docs).sparkSession
     rows = _keyed(docs)
-    every = written(window_runs(rows, length).withColumn("rid", F.xxhash64("id", "th", "first")), "runs")
+    every = written(window_runs(rows, length), "runs")
     often = written(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "often")
     some = written(maybe_in(every, often, "key"), "some")
     forget(spark, every, often)
-    kinds = some.groupBy("key", "span").agg(F.count("*").alias("n"), F.min("rid").alias("rep"))
-    about = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
-    kinds = kinds.join(about, "key").filter("n > 1 or kinds > 1")
-    known = written(some.join(kinds, ["key", "span"]), "known")
-    forget(spark, some)
-    whole = known.filter("n > 1").select("id", "th", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") - 1 + length).cast("long").alias("end"))
-    mixed = known.filter((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("rid") == F.col("rep"))))
-    size = mixed.agg(F.sum(F.col("count") + length - 1), F.max("kinds")).first()
-    found = whole
-    if size[0]:
-        crowded = size[1] > CROWD
-        slices = _cut(rows, mixed.select("id", "th", "first", "count", "key", (F.col("n") == 1).alias("alone")), length)
-        if crowded:
-            slices = written(slices, "slices")
-            crowd = mixed.filter(F.col("kinds") > CROWD).select("key").distinct()
-            found = found.unionByName(_count(slices.join(crowd, "key", "left_semi"), length))
-            slices = slices.join(crowd, "key", "left_anti")
-        found = found.unionByName(_compare(slices, max(1, math.ceil(size[0] / GROUP_BYTES)), length))
-    found = found.groupBy("id", "th").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    kinds = written(some.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "first", "count")).alias("at")), "kinds")
+    about = kinds.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1").drop("total")
+    wanted = written(kinds.join(about, "key").select("key", "span", "n", "kinds", "at.*"), "wanted")
+    size = wanted.agg(F.sum(F.col("count") + length - 1), F.max("kinds")).first()
+    if not size[0]:
+        return spark.createDataFrame([], "id long, th long, starts array<long>, ends array<long>")
+    slices, crowded = _cut(rows, wanted.drop("kinds"), length), size[1] > CROWD
+    if crowded:
+        slices = written(slices, "slices")
+        crowd = wanted.filter(F.col("kinds") > CROWD).select("key").distinct()
+        told = _merge(slices.join(crowd, "key", "left_anti"), max(1, math.ceil(size[0] / GROUP_BYTES)), length).unionByName(_count(slices.join(crowd, "key", "left_semi"), length))
+    else:
+        told = _merge(slices, max(1, math.ceil(size[0] / GROUP_BYTES)), length)
+    told = written(told, "told")
+    found = some.join(told, ["key", "span"]).groupBy("id", "th").agg(F.collect_list(F.col("first") + F.col("start")).alias("starts"), F.collect_list(F.col("first") + F.col("end")).alias("ends"))
     out = written(found, "spans")
-    forget(spark, known, *([slices] if size[0] and crowded else []))
+    forget(spark, some, kinds, wanted, told, *([slices] if crowded else []))
     return out
 
 
@@ -203,27 +208,29 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A character goes if all its bytes go. Documents that lose all their text are dropped.
     """
-    spans = repeated_spans(docs, length).withColumnsRenamed({c: f"_{c}" for c in ("id", "th", "starts", "ends")})
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = maybe_in(rows, spans, "_id", "_th", flag="_maybe")
+    # Columns of this function's own get names that docs doesn't have.
+    own = dict(zip(("id", "th", "starts", "ends", "maybe", "hit"), unused(docs.columns, "id", "th", "starts", "ends", "maybe", "hit"), strict=True))
+    spans = repeated_spans(docs, length).withColumnsRenamed(own)
+    rows = docs.withColumn(own["id"], F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(own["th"], F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = maybe_in(rows, spans, own["id"], own["th"], flag=own["maybe"])
     names = docs.columns
-    clean = rows.filter(~F.col("_maybe")).select(*names)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_hit", T.BooleanType())])
+    clean = rows.filter(~F.col(own["maybe"])).select(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(own["hit"], T.BooleanType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "_starts", "_ends")), strict=True):
+            for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", own["starts"], own["ends"])), strict=True):
                 if starts:
                     data = text.encode()
                     inner = lambda at, step, d=data: next(i for i in range(at, at + 5 * step, step) if i >= len(d) or d[i] & 0xC0 != 0x80)
                     text = _kept(data, [(a, b) for a, b in ((inner(a, 1), inner(b, -1)) for a, b in _merged(starts, ends)) if a < b]).decode()
                 texts.append(text)
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(s) for s in batch.column("_starts").to_pylist()])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(s) for s in batch.column(own["starts"]).to_pylist()])], names=schema.names)
 
-    cut = rows.filter("_maybe").join(spans, ["_id", "_th"], "left").select(*names, "_starts", "_ends").mapInArrow(each, schema)
-    cut = cut.filter(~(F.col("_hit") & (F.length(F.trim("text")) == 0)))
+    cut = rows.filter(own["maybe"]).join(spans, [own["id"], own["th"]], "left").select(*names, own["starts"], own["ends"]).mapInArrow(each, schema)
+    cut = cut.filter(~(F.col(own["hit"]) & (F.length(F.trim("text")) == 0)))
     if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.when(F.col("_hit"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        cut = cut.withColumn("n_chars", F.when(F.col(own["hit"]), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(cut.select(*names))

@@ -1,6 +1,10 @@
+import collections
+import math
+import unicodedata
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomgraph.llm import langid
 
@@ -25,10 +29,73 @@ def test_held_out_accuracy(documents):
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got) and all(0 <= r["score"] <= 1 for r in got.values())
 
 
-def test_backs_off_to_grams(documents):
-    model = langid.fit(documents(rows(60)))
-    (pred,) = langid.predict(documents(["katzenmatten interessen"]), model).collect()
-    assert "katzenmatten" not in model.known and pred["lang_pred"] == "de"
+def plain_words(text):
+    """Runs of letters and marks that hold a letter, in simple lower case."""
+    out, word = [], ""
+    for c in [*text, " "]:
+        if c.isalpha() or unicodedata.category(c)[0] == "M":
+            word += c.lower() if len(c.lower()) == 1 else c
+        else:
+            out += [word] if any(map(str.isalpha, word)) else []
+            word = ""
+    return out
+
+
+def cuts(word, size):
+    padded = ["<", *word, ">"]
+    return [tuple(padded[i : i + size]) for i in range(len(padded) - size + 1)]
+
+
+def brute(rows, texts):
+    """The same model with dictionaries, word by word."""
+    langs = sorted({lang for _, _, lang, _ in rows})
+    known, short = {x: collections.Counter() for x in langs}, {x: collections.Counter() for x in langs}
+    for _, text, lang, _ in rows:
+        for w in plain_words(text):
+            known[lang][w] += 1
+            short[lang].update(g for size in (1, 2, 3, 4) for g in cuts(w, size))
+    log = lambda c, unit, smooth: {x: math.log((c[x][unit] + smooth) / (sum(c[x].values()) + smooth * len(set().union(*c.values())))) for x in langs}
+    out = []
+    for text in texts:
+        total = {x: math.log((sum(r[2] == x for r in rows) + 1) / (len(rows) + len(langs))) for x in langs}
+        some = plain_words(text or "")
+        for w in some:
+            if any(known[x][w] for x in langs):
+                parts = [log(known, w, 0.5)]
+            else:
+                padded = ["<", *w, ">"]
+                longest = [next((tuple(padded[i : i + k]) for k in (4, 3, 2, 1) if i + k <= len(padded) and any(short[x][tuple(padded[i : i + k])] for x in langs)), None) for i in range(len(padded))]
+                parts = [log(short, g, 2.0) for g in longest if g]
+            for x in langs:
+                total[x] += sum(p[x] for p in parts) / (math.sqrt(len(parts)) if parts else 1)
+        best = max(langs, key=lambda x: total[x])
+        out.append((best, 1 / sum(math.exp(total[x] - total[best]) for x in langs)) if some else ("und", 0.0))
+    return out
+
+
+def test_against_dictionaries(documents):
+    train = [*rows(40), (900, "Élan ÇA ça नमस्ते", "fr", "s"), (901, "Ωμέγα ΣΑΣ", "el", "s")]
+    texts = ["Die Katzen matten", "catlike interesting", "ça va élans", "ΩΜΈΓΑ x", "e\u0301lan नमस्", "x" * 50, "zz qq", "\u0301\u0301", "½ 5", None, "cat katze " * 3, "İx"]
+    model = langid.fit(documents(train))
+    got = [(r["lang_pred"], r["score"]) for r in langid.predict(documents(texts), model).orderBy("doc_id").collect()]
+    want = brute(train, texts)
+    assert [x for x, _ in got] == [x for x, _ in want] and np.allclose([y for _, y in got], [y for _, y in want], atol=1e-5)
+
+
+def test_ties_and_clashing_names(documents):
+    model = langid.fit(documents([(1, "aa", "x", "s"), (2, "aa", "b", "s")]))
+    docs = documents(["aa", None, "aa"]).withColumns({"score": F.lit("mine"), "_pred": F.lit(1), "_score": F.lit(2)})
+    got = langid.predict(docs, model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["b", "und", "b"] and [round(r["score"], 6) for r in got] == [0.5, 0.0, 0.5]
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns and {r["score"] for r in kept.collect()} == {"mine"}
+
+
+def test_many_languages(documents):
+    some = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} same", f"l{i:03}", "s") for i in range(300)]
+    model = langid.fit(documents(some))
+    got = langid.predict(documents(some), model).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
 
 
 def test_stage_keeps_clean_documents(documents):
@@ -38,4 +105,6 @@ def test_stage_keeps_clean_documents(documents):
 
 
 def test_odd(odd):
-    assert langid.identify(odd).count() == 8 and langid.identify(odd.limit(0)).count() == 0
+    got = langid.identify(odd).collect()
+    assert len(got) == 8 and {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 7)} == {"und"} and langid.identify(odd.limit(0)).count() == 0
+    assert all(r["score"] == 0 for r in got if r["lang_pred"] == "und") and {r["held_out"] for r in got if r["doc_id"] is None} == {False}

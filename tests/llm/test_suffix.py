@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import suffix
+from loomgraph.llm.transforms import Shards
 
 
 def brute(texts, length):
@@ -66,3 +68,37 @@ def test_odd(odd):
     assert suffix.removal(odd.limit(0)).count() == 0
     assert suffix.without_repeats(odd).columns == odd.columns
     assert suffix.without_repeats(odd.limit(0)).agg(F.count("*")).first()[0] == 0
+
+
+def test_merged_transforms_against_all_pairs():
+    dice = random.Random(3)
+    for _ in range(120):
+        length, letters = dice.choice([5, 8, 12, 16, 24, 40]), dice.choice([b"ab", b"abcdefgh", bytes(range(256))])
+        some = lambda n, letters=letters: bytes(dice.choice(letters) for _ in range(n))
+        base = [some(120) for _ in range(3)]
+        strings = []
+        for _ in range(dice.randrange(1, 14)):
+            at = dice.randrange(100)
+            strings.append(some(dice.randrange(30)) + dice.choice(base)[at : at + dice.randrange(20 + length)] + some(dice.randrange(30)))
+        shards = Shards(strings, np.array([dice.randrange(dice.choice([1, 2, 4])) for _ in strings]), length)
+        seen = {}
+        for i, x in enumerate(strings):
+            for k in range(len(x) - length + 1):
+                seen.setdefault(x[k : k + length], []).append((i, k))
+        which, place = shards.repeated()
+        assert list(zip(which.tolist(), place.tolist(), strict=True)) == sorted(w for v in seen.values() if len(v) > 1 for w in v)
+        rank = shards.transform()
+        for b in set(shards.shard.tolist()):  # each shard's ranks are those of its own suffixes, as far as the length
+            at = np.flatnonzero(shards.shard == b)
+            whole = [strings[shards.which[q]][q - shards.starts[shards.which[q]] :][:length] for q in at if q + length <= shards.ends[shards.which[q]]]
+            ranks = [rank[q] for q in at if q + length <= shards.ends[shards.which[q]]]
+            assert [x for _, x in sorted(zip(ranks, whole, strict=True))] == sorted(whole)
+
+
+def test_columns_with_clashing_names(spark, documents):
+    passage = "".join(f"w{i} " for i in range(80))
+    docs = documents(["before " + passage, "ü" + passage, "clean text"])
+    for names in (["_id", "_th", "_bucket", "_bits"], ["starts", "_starts", "_ends", "_hit", "_maybe", "ID"]):
+        more = docs.withColumns({n: F.lit(7) for n in names})
+        out = suffix.without_repeats(more)
+        assert out.columns == more.columns and [r["text"] for r in out.orderBy("doc_id").collect()] == [r["text"] for r in suffix.without_repeats(docs).orderBy("doc_id").collect()]
