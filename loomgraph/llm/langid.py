@@ -170,6 +170,14 @@ class Model:
         return [self.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, chance, 0.0)
 
 
+def _sums(unit: np.ndarray, of: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (unit, of) with the sums of n, and a place of each."""
+    order = np.lexsort((of, unit))
+    unit, of, n = unit[order], of[order], n[order]
+    first = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (of[1:] != of[:-1]))[: len(unit)])
+    return unit[first], of[first], np.add.reduceat(n, first) if len(first) else n, order[first]
+
+
 def _units(counts: DataFrame, kind: int, languages: list[str], smooth: float) -> Units:
     """Of (kind, unit, lang, n): log frequencies by language, counts smoothed by half an occurrence or so."""
     rows = counts.filter(F.col("kind") == kind).select("unit", "lang", "n").toArrow()
@@ -196,15 +204,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             for a, b, data, offsets in chunks(batch, "text", 2 << 20):
                 names, lang = np.unique(batch.column("lang").slice(a, b - a).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
                 codes, starts, lengths, at = words(data, offsets)
-                units = [(0, _hashes(codes, starts, lengths), lang[at])]
-                units += [(1, h, lang[at][word]) for h, word, _ in (grams(codes, starts, lengths, k) for k in range(1, LONGEST + 1))]
-                for kind in (0, 1):
-                    unit = np.concatenate([u for k, u, _ in units if k == kind])
-                    of = np.concatenate([x for k, _, x in units if k == kind])
-                    order = np.lexsort((of, unit))
-                    unit, of = unit[order], of[order]
-                    first = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (of[1:] != of[:-1]))[: len(unit)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), pa.array(unit[first].view(np.int64)), pa.array(names[of[first]].tolist(), pa.string()), pa.array(np.diff(np.append(first, len(unit))))], names=["kind", "unit", "lang", "n"])
+                unit, of, n, first = _sums(_hashes(codes, starts, lengths), lang[at], np.ones(len(starts), np.int64))
+                # The n-grams of each distinct word, as often as the word stands there.
+                starts, lengths = starts[first], lengths[first]
+                short = [(h, of[word], n[word]) for h, word, _ in (grams(codes, starts, lengths, k) for k in range(1, LONGEST + 1))]
+                for kind, (some, where, times) in enumerate([(unit, of, n), _sums(*(np.concatenate(x) for x in zip(*short, strict=True)))[:3]]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some.view(np.int64)), pa.array(names[where].tolist(), pa.string()), pa.array(times)], names=["kind", "unit", "lang", "n"])
 
     counts = written(labelled.select("text", "lang").mapInArrow(count, "kind int, unit long, lang string, n long").groupBy("kind", "unit", "lang").agg(F.sum("n").alias("n")), "langid-units")
     prior = np.log(np.array([(share[x]["n"] + 1) / (n + len(languages)) for x in languages])) if languages else np.zeros(0)

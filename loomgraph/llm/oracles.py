@@ -30,20 +30,28 @@ def _seats(votes: str, group: str, key: str, vote: str, seats: str) -> str:
 
 OP6 = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS dice FROM documents),
-e AS (SELECT d.*, source IS NULL AS s_null, coalesce(source, '') AS s, CAST('0x' || substr(dice, 1, 8) AS BIGINT) % (SELECT greatest(1, least(65536, CAST(ceil(count(*) / 512.0) AS BIGINT))) FROM documents) AS shard FROM d),
-by_shard AS (SELECT s_null, s, shard, sum(size) AS shard_size FROM e GROUP BY ALL),
-src AS (SELECT *, row_number() OVER (ORDER BY s_null, s) - 1 AS rank FROM (SELECT s_null, s, sum(shard_size) AS source_size FROM by_shard GROUP BY s_null, s)),
+n AS (SELECT greatest(1, CAST(ceil(count(*) / 512.0) AS BIGINT)) AS shards FROM documents),
+e AS (SELECT d.*, source IS NULL AS s_null, coalesce(source, '') AS s, CAST('0x' || substr(dice, 1, 8) AS BIGINT) % (SELECT shards FROM n) AS shard FROM d),
+src AS (SELECT *, row_number() OVER (ORDER BY s_null, s) - 1 AS rank FROM (SELECT s_null, s, CAST(sum(size) AS BIGINT) AS source_size FROM e GROUP BY s_null, s)),
 w AS (SELECT *, CAST([3, 1, 2][1 + rank % 3] AS DOUBLE) AS weight, 2.0 * source_size AS cap FROM src),
 f AS (SELECT *, 1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS free, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS weights FROM w WINDOW b AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lv AS (SELECT arg_min(free / weights, cap / weight + rank * 1e-9) AS level FROM f WHERE cap > free / weights * weight),
 t AS (SELECT rank, s_null, s, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, CAST(level * weight AS DOUBLE)) END AS target, 0 AS one FROM f, lv),
 t2 AS (SELECT *, CAST(floor(sum(target) OVER () / 64 + 0.5) AS BIGINT) AS blocks FROM t),
 q1 AS ({_seats("t2", "one", "rank", "target", "blocks")}),
-v AS (SELECT b.*, t2.rank, source_size, target, coalesce(q1.quota, 0) AS source_blocks FROM by_shard b JOIN t2 ON b.s_null = t2.s_null AND b.s = t2.s LEFT JOIN q1 ON q1.rank = t2.rank),
-q2 AS ({_seats("v", "rank", "shard", "shard_size", "source_blocks")}),
-p AS (SELECT e.doc_id, e.size, v.source_size, v.target, v.shard_size, coalesce(q2.quota, 0) AS quota, sum(e.size) OVER (PARTITION BY e.s_null, e.s, e.shard ORDER BY substr(dice, 9, 24), e.doc_id, e.size ROWS UNBOUNDED PRECEDING) - e.size AS start
-      FROM e JOIN v ON e.s_null = v.s_null AND e.s = v.s AND e.shard = v.shard LEFT JOIN q2 ON q2.rank = v.rank AND q2.shard = v.shard),
-k AS (SELECT *, least(quota * 64, 2 * shard_size) AS words FROM p)
+o AS (SELECT e.*, t2.rank, source_size, target, coalesce(q1.quota, 0) AS source_blocks, greatest(1, least((SELECT shards FROM n), source_size // 4096)) AS own_shards
+      FROM e JOIN t2 ON e.s_null = t2.s_null AND e.s = t2.s LEFT JOIN q1 ON q1.rank = t2.rank),
+g AS (SELECT *, shard % own_shards AS own, (shard % own_shards) % CAST(ceil(sqrt(own_shards)) AS BIGINT) AS grp FROM o),
+by_own AS (SELECT rank, grp, own, any_value(target) AS target, any_value(source_blocks) AS source_blocks, sum(size) AS shard_size FROM g GROUP BY ALL),
+by_grp AS (SELECT rank, grp, any_value(source_blocks) AS source_blocks, sum(shard_size) AS group_size FROM by_own GROUP BY ALL),
+q2 AS ({_seats("by_grp", "rank", "grp", "group_size", "source_blocks")}),
+v AS (SELECT b.*, coalesce(q2.quota, 0) AS group_blocks FROM by_own b LEFT JOIN q2 ON q2.rank = b.rank AND q2.grp = b.grp),
+q3 AS ({_seats("v", "rank, grp", "own", "shard_size", "group_blocks")}),
+w1 AS (SELECT v.*, least(coalesce(q3.quota, 0) * 64, 2 * shard_size) AS words FROM v LEFT JOIN q3 ON q3.rank = v.rank AND q3.grp = v.grp AND q3.own = v.own),
+w2 AS (SELECT *, 2 * shard_size - words AS room, CAST(floor(target) AS BIGINT) - sum(words) OVER (PARTITION BY rank) AS rest FROM w1),
+w3 AS (SELECT *, words + greatest(0, least(room, rest - coalesce(sum(room) OVER b, 0))) - greatest(0, least(words, -rest - coalesce(sum(words) OVER b, 0))) AS last FROM w2 WINDOW b AS (PARTITION BY rank ORDER BY grp, own ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT g.doc_id, g.size, g.source_size, g.target, w3.shard_size, w3.last AS words, sum(g.size) OVER (PARTITION BY g.rank, g.own ORDER BY substr(dice, 9, 24), g.doc_id, g.size ROWS UNBOUNDED PRECEDING) - g.size AS start
+      FROM g JOIN w3 ON w3.rank = g.rank AND w3.own = g.own)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target, CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - shard_size - start)) AS BIGINT) AS taken FROM k
 """
 

@@ -1,3 +1,6 @@
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import mixing
@@ -30,7 +33,7 @@ def test_targets(documents):
         some = [r for r in rows if r["source"] == s]
         assert {r["source_size"] for r in some} == {total}
         assert all(abs(r["target"] - want[s]) < 1e-6 * want[s] for r in some)
-        assert abs(sum(r["taken"] for r in some) - want[s]) <= 0.02 * want[s] + 8
+        assert abs(sum(r["taken"] for r in some) - want[s]) < 1
     again = mixing.mix(documents(texts), block_tokens=8).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in rows)
 
@@ -67,4 +70,27 @@ def test_short_texts_among_many_shards(documents):
     for s in "ab":
         some = [r for r in rows if r["source"] == s]
         assert all(0 <= r["taken"] <= 2 * r["size"] for r in some)
-        assert abs(sum(r["taken"] for r in some) - some[0]["target"]) <= 0.02 * some[0]["target"] + 64
+        assert abs(sum(r["taken"] for r in some) - some[0]["target"]) < 1
+
+
+@pytest.mark.parametrize("rows", [[(1, "a b c", "en", "a"), (2, "d e f", "en", "b")], [(i, f"w{i}", "en", f"s{i}") for i in range(7)], [(1, "w " * 500, "en", "a"), (2, "one", "en", "b"), (3, "two words", "en", "c"), (4, "", "en", "d")]])
+def test_small_sources_get_their_targets(documents, rows):
+    """However far below a block a target is."""
+    got = mixing.mix(documents(rows)).collect()
+    sizes = {}
+    for r in got:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+    want = water(sizes)
+    for s in sizes:
+        some = [r for r in got if r["source"] == s]
+        assert sum(r["taken"] for r in some) == math.floor(want[s] + 1e-9) and all(0 <= r["taken"] <= 2 * r["size"] for r in some)
+    out = mixing.take_mix(documents(rows))
+    assert out.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
+
+
+def test_columns_with_clashing_names(documents):
+    docs = documents([(i, "a b c d " * 9, "en", "s") for i in range(9)])
+    more = docs.withColumns({c: F.lit(5) for c in ("_whole", "_rest", "_copy", "target", "_docs_text", "_text", "taken", "rank")})
+    out = mixing.take_mix(more)
+    assert out.columns == more.columns and sorted(r["text"] for r in out.collect()) == sorted(r["text"] for r in mixing.take_mix(docs).collect())
+    assert {tuple(r) for r in out.select("_whole", "_docs_text", "taken").collect()} == {(5, 5, 5)}
