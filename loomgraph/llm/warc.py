@@ -11,8 +11,9 @@ Tasks write under a name of their own and move the file into place, so a repeate
 Revisits: of records with equal payloads (SHA-1 and length) of at least REVISIT_FROM bytes, that with
 the largest page_id is the response and the others refer to it. Defined results: a null html is the
 empty payload; a null url is left out; a null page_id is written as null and is never referred to
-unless all its group's are null; rows with equal page_id are all kept, one of them as response; an
-empty table gives an empty result; further columns are ignored.
+unless all its group's are null; rows with equal page_id are all kept, one of them as response (that with
+the largest url; of rows equal in that too, any one); an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import shared_path
+from .runtime import shared_path, written
 
 REVISIT_FROM = 1000
 PIECE = 1 << 20
@@ -143,18 +144,32 @@ def normalise(source: str, target: str) -> int:
 # ---- Spark jobs ----
 
 
+SALTS = 16
+
+
 def with_revisits(pages: DataFrame, at_least: int = REVISIT_FROM) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
-    payload = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
+
+    Which page is the response of equal payloads is found among rows without payloads. These meet their
+    response's name in SALTS shares, so that a payload of a third of all pages isn't one task.
+    """
+    payload = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     sized = payload.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    # Map-side sums first: a payload that most pages share costs a row for each task.
-    first = sized.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
-    first = first.filter((F.col("n") > 1) & (F.col("payload_bytes") >= at_least)).select("payload_digest", "payload_bytes", "keep")
-    # A page_id that stands on several such rows must still leave one response only.
-    twice = sized.join(first, ["payload_digest", "payload_bytes"]).filter(F.col("page_id").eqNullSafe(F.col("keep"))).groupBy("payload_digest", "payload_bytes").agg(F.max(F.coalesce("url", F.lit(""))).alias("keep_url"))
-    joined = sized.join(first.join(twice, ["payload_digest", "payload_bytes"], "left"), ["payload_digest", "payload_bytes"], "left")
-    response = F.col("keep_url").isNull() | (F.col("page_id").eqNullSafe(F.col("keep")) & (F.coalesce("url", F.lit("")) == F.col("keep_url")))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("keep")).alias("refers_to"))
+    by, names = ["payload_digest", "payload_bytes"], ["page_id", "url"]
+    kinds = sized.filter(F.col("payload_bytes") >= at_least).groupBy(*by, *names).agg(F.count("*").alias("n"))
+    # A null counts as smaller than any value.
+    first = kinds.groupBy(*by).agg(F.max(F.struct(*names, "n")).alias("keep"), F.sum("n").alias("all")).filter(F.col("all") > 1)
+    first = written(first.select(*by, F.col("keep.page_id").alias("keep"), F.col("keep.url").alias("keep_url"), F.col("keep.n").alias("alike")), "warc-first")
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = sized.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, [*by, "salt"], "left").drop("salt")
+    response = F.col("alike").isNull() | (F.col("page_id").eqNullSafe(F.col("keep")) & F.col("url").eqNullSafe(F.col("keep_url")))
+    told = joined.withColumn("record_type", F.when(response, "response").otherwise("revisit"))
+    if first.filter("alike > 1").take(1):  # rows alike in all: one is the response, the others revisit it
+        alike = (F.col("record_type") == "response") & (F.coalesce("alike", F.lit(1)) > 1)
+        each = told.filter(alike).groupBy(*[c for c in told.columns if c not in ("payload", "record_type")]).agg(F.min("payload").alias("payload"), F.count("*").alias("times"))
+        each = each.withColumn("record_type", F.explode(F.concat(F.array(F.lit("response")), F.array_repeat(F.lit("revisit"), F.col("times").cast("int") - 1)))).drop("times")
+        told = told.filter(~alike).unionByName(each)
+    return told.select("page_id", "url", "payload", *by[::-1], "record_type", F.when(F.col("record_type") == "revisit", F.col("keep")).alias("refers_to"))
 
 
 def write_monolithic(rows: DataFrame, folder: str, roll_at: int = ROLL_AT) -> DataFrame:
