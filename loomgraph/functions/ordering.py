@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 RANGES = 64
 
 
@@ -19,8 +21,10 @@ def numbered(rows: DataFrame, by: list[str], order: str = "ord", out: str = "n")
     """rows with their number from 1 in each group, by order (a distinct number in each group).
 
     Each group is cut at quantiles of order; a running sum over the pieces' sizes gives where each piece
-    starts, so the numbering of one large group is shared by up to RANGES tasks.
+    starts, so the numbering of one large group is shared by up to RANGES tasks. The rows are read three
+    times, so they are written first.
     """
+    rows = written(rows, "numbered")
     cuts = rows.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("_cuts"))
     cut = rows.join(cuts, by).withColumn("_piece", F.size(F.filter("_cuts", lambda x: x <= F.col(order)))).drop("_cuts")
     sizes = cut.groupBy(*by, "_piece").agg(F.count("*").alias("_size"))

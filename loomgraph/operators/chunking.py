@@ -43,31 +43,39 @@ def _chunks(rows: DataFrame, split_type: str | Column, chunk_id: Column) -> Data
     return out.withColumns({"chunk_id": chunk_id, "split_type": kind, "start_char": F.col("start"), "end_char": F.col("stop"), "char_count": F.length("content")}).select(*COLUMNS)
 
 
-def _pieces(docs: DataFrame, patterns: list[str], parents: list[str] | None = None) -> DataFrame:
+Patterns = list[str] | Column
+
+
+def _any(patterns: Patterns | None) -> bool:
+    return isinstance(patterns, Column) or bool(patterns)
+
+
+def _pieces(docs: DataFrame, patterns: Patterns, parents: Patterns | None = None) -> DataFrame:
     """doc_id, i, title, start, stop, raw (and parent_title): the text from each boundary to the next."""
     found = docs.select("doc_id", "text", boundaries(F.col("text"), patterns).alias("bounds"))
     rows = spans(found).join(docs.select("doc_id", "text"), "doc_id")
     rows = rows.withColumn("stop", F.coalesce("stop", F.length("text"))).withColumn("raw", F.expr("substr(text, start + 1, stop - start)")).drop("text")
-    if parents:
+    if _any(parents):
         above = spans(docs.select("doc_id", boundaries(F.col("text"), parents).alias("bounds"))).select("doc_id", "title", "start", F.lit("parent").alias("kind"))
         both = rows.withColumn("kind", F.lit("own")).unionByName(above, allowMissingColumns=True)
         rows = both.withColumn("parent_title", last_before("parent", "title")).filter("kind = 'own'").drop("kind")
     return rows
 
 
-def fixed_length(docs: DataFrame, max_chars: int = fixed.CHUNK_CHARS, overlap: int = fixed.CHUNK_OVERLAP) -> DataFrame:
+def fixed_length(docs: DataFrame, max_chars: int | Column = fixed.CHUNK_CHARS, overlap: int | Column = fixed.CHUNK_OVERLAP) -> DataFrame:
     """Sliding windows of max_chars; the overlap is held below max_chars."""
-    overlap = max(0, min(overlap, max_chars - 1))
-    step = max_chars - overlap
+    size = max_chars if isinstance(max_chars, Column) else F.lit(max_chars)
+    over = F.greatest(F.lit(0), F.least(overlap if isinstance(overlap, Column) else F.lit(overlap), size - 1))
     n = F.length("text")
-    last = F.greatest(F.lit(0), F.ceil((n - max_chars) / step)).cast("int")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    rows = rows.select("doc_id", (F.col("k") + 1).alias("i"), (F.col("k") * step).alias("start"), F.least("n", F.col("k") * step + max_chars).alias("stop"), F.expr(f"substr(text, k * {step} + 1, {max_chars})").alias("raw"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), size.alias("size"), (size - over).alias("step"))
+    last = F.greatest(F.lit(0), F.ceil((n - F.col("size")) / F.col("step"))).cast("int")
+    rows = rows.select("doc_id", "text", "size", "step", n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    rows = rows.select("doc_id", (F.col("k") + 1).alias("i"), (F.col("k") * F.col("step")).alias("start"), F.least("n", F.col("k") * F.col("step") + F.col("size")).alias("stop"), F.expr("substr(text, k * step + 1, size)").alias("raw"))
     rows = rows.withColumn("title", F.format_string("fixed_chunk_%04d", "i"))
     return _chunks(rows, "fixed_length", F.format_string("fixed_%04d", "i"))
 
 
-def by_headings(docs: DataFrame, patterns: list[str], kind: str = "heading_regex", parents: list[str] | None = None) -> DataFrame:
+def by_headings(docs: DataFrame, patterns: Patterns, kind: str = "heading_regex", parents: Patterns | None = None) -> DataFrame:
     """From each heading to the next; text before the first is left out."""
     rows = _pieces(docs, patterns, parents)
     return _chunks(rows, kind, F.concat(F.format_string(f"{kind}_%04d_", "i"), slug(F.col("title"))))
@@ -77,11 +85,14 @@ def generic_headings(docs: DataFrame) -> DataFrame:
     return by_headings(docs, fixed.GENERIC_HEADINGS, "generic_heading")
 
 
-def two_level(docs: DataFrame, primary: list[str], secondary: list[str]) -> DataFrame:
+def two_level(docs: DataFrame, primary: Patterns, secondary: Patterns) -> DataFrame:
     """Primary headings, cut again by secondary ones inside their trimmed text; those without stay whole."""
     outer = _pieces(docs, primary).withColumn("content", uni_trim(F.col("raw"))).filter("content <> ''")
-    if not secondary:
+    if not _any(secondary):
         return _chunks(outer.drop("content"), "two_level_regex", F.concat(F.format_string("two_level_%04d_", "i"), slug(F.col("title"))))
+    if isinstance(secondary, Column):
+        outer = outer.join(docs.select("doc_id", secondary.alias("_secondary")), "doc_id")
+        secondary = F.col("_secondary")
     inner = outer.withColumn("bounds", boundaries(F.col("content"), secondary))
     whole = inner.filter(F.size("bounds") == 0)
     alone = _chunks(whole.drop("content"), "primary_only", F.concat(F.format_string("two_level_%04d_", "i"), slug(F.col("title"))))
@@ -93,13 +104,15 @@ def two_level(docs: DataFrame, primary: list[str], secondary: list[str]) -> Data
     return _chunks(rows, "two_level_regex", F.concat(F.format_string("two_level_%04d_%04d_", "p", "i"), slug(F.col("title")))).unionByName(alone)
 
 
-def by_questions(docs: DataFrame, chapters: list[str] | None = None, sections: list[str] | None = None, questions: list[str] | None = None) -> DataFrame:
+def by_questions(docs: DataFrame, chapters: Patterns | None = None, sections: Patterns | None = None, questions: Patterns | None = None) -> DataFrame:
     """Questions under chapters and sections: each ends at the next boundary of any kind.
 
     Only documents with a chapter and a question; a question before the first chapter is left out but
     keeps its number; a section stays the context of later questions until the next section.
     """
-    kinds = {"chapter": chapters or fixed.CHAPTERS, "section": sections or fixed.SECTIONS, "question": questions or fixed.QUESTIONS}
+    given = {"chapter": (chapters, fixed.CHAPTERS), "section": (sections, fixed.SECTIONS), "question": (questions, fixed.QUESTIONS)}
+    usual = lambda p, d: F.when(F.size(p) > 0, p).otherwise(F.array(*map(F.lit, d))) if isinstance(p, Column) else p or d
+    kinds = {k: usual(p, d) for k, (p, d) in given.items()}
     parts = [spans(docs.select("doc_id", boundaries(F.col("text"), p).alias("bounds"))).select("doc_id", "i", "title", "start", F.lit(k).alias("kind")) for k, p in kinds.items()]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     after = F.expr("min(start) over (partition by doc_id order by start range between 1 following and unbounded following)")
@@ -117,6 +130,7 @@ def split(docs: DataFrame, config: SplitConfig) -> DataFrame:
         "chapter_section_question": lambda d: by_questions(d, config.chapter_patterns, config.section_patterns, config.question_patterns),
         "fixed_length": lambda d: fixed_length(d, config.max_chars, config.overlap),
     }
+    modes["three_level_regex"] = modes["chapter_section_question"]
     fallbacks = {"generic_heading": [generic_headings, modes["fixed_length"]], "fixed_length": [modes["fixed_length"]]}
     steps = [modes[config.split_mode]] if config.split_mode in modes else []
     steps += fallbacks.get(config.fallback_method, []) if config.fallback_enabled else []
@@ -139,12 +153,3 @@ def split_report(chunks: DataFrame) -> DataFrame:
         F.min("char_count").alias("min_chars"),
         F.array_join(F.transform(first, lambda x: x["chunk_id"]), ",").alias("first_chunks"),
     )
-
-
-def rag_mode(config: SplitConfig) -> str:
-    """The splitter that structure_then_window stands for: the finest that has patterns."""
-    if config.split_mode != "structure_then_window":
-        return config.split_mode
-    if config.chapter_patterns and config.question_patterns:
-        return "chapter_section_question"
-    return "two_level_regex" if config.secondary_patterns else "heading_regex" if config.primary_patterns else "fixed_length"

@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.ordering import keep_first, numbered
@@ -56,8 +57,10 @@ def constrained(nodes: DataFrame, edges: DataFrame, types: list[str] = (), relat
         kinds = kept.select(*by, "id", "type")
         for end in ("source", "target"):
             rows = rows.join(kinds.withColumnsRenamed({"id": end, "type": f"_{end}_type"}), [*by, end])
-        allowed = F.array(*[F.array(*map(F.lit, t)) for t in triples])
-        rows = rows.filter(F.array_contains(allowed, F.array("_source_type", "relation", "_target_type")))
+        allowed = edges.sparkSession.createDataFrame(sorted(set(triples)), "_source_type string, relation string, _target_type string")
+        # The caller's list is broadcast as long as it is a list that a person may write.
+        allowed = F.broadcast(allowed) if len(triples) <= 10_000 else allowed
+        rows = rows.join(allowed, ["_source_type", "relation", "_target_type"], "left_semi")
     return kept, rows.select(*edges.columns)
 
 
@@ -83,15 +86,49 @@ def global_ids(nodes: DataFrame, edges: DataFrame, part: str = "part_id") -> tup
     return new.drop("_local"), renumbered(rows, "re").select(*edges.columns)
 
 
+def _distinct(value: Column, kind: T.DataType, path: str, key: str) -> tuple[Column, list[tuple[str, str, Column, Column]]]:
+    """value with repeated elements of the array fields in it dropped, and (key, path, before, after) of each such field."""
+    if isinstance(kind, T.ArrayType):
+        if not isinstance(kind.elementType, (T.ArrayType, T.StructType)):
+            return value, []
+        clean = F.transform(value, lambda x: _distinct(x, kind.elementType, "", "")[0])
+        found = []
+        for i, (k, at, _, _) in enumerate(_distinct(F.lit(None), kind.elementType, f"{path}[]", key)[1]):
+            total = lambda n, i=i: F.aggregate(F.transform(value, lambda x: _distinct(x, kind.elementType, "", "")[1][i][n]), F.lit(0), lambda s, y: s + F.coalesce(y, F.lit(0)))
+            found.append((k, at, total(2), total(3)))
+        return clean, found
+    if isinstance(kind, T.StructType):
+        fields, found = [], []
+        for f in kind.fields:
+            clean, inner = _field(value[f.name], f.dataType, f"{path}.{f.name}" if path else f.name, f.name)
+            fields.append(clean.alias(f.name))
+            found += inner
+        return F.when(value.isNotNull(), F.struct(*fields)), found
+    return value, []
+
+
+def _field(value: Column, kind: T.DataType, path: str, key: str) -> tuple[Column, list[tuple[str, str, Column, Column]]]:
+    clean, found = _distinct(value, kind, path, key)
+    if isinstance(kind, T.ArrayType):
+        once = F.array_distinct(clean)
+        return once, [*found, (key, path, F.coalesce(F.size(value), F.lit(0)), F.coalesce(F.size(once), F.lit(0)))]
+    return clean, found
+
+
 def distinct_values(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Array columns with repeated values dropped (first kept), and per graph and column what was removed."""
-    arrays = [c for c, kind in rows.dtypes if kind.startswith("array")]
-    stats = [F.struct(F.lit(c).alias("key"), F.coalesce(F.size(c), F.lit(0)).alias("before"), F.coalesce(F.size(F.array_distinct(c)), F.lit(0)).alias("after")) for c in arrays]
-    clean = rows.withColumns({c: F.array_distinct(c) for c in arrays})
+    """Array fields, at any depth, with repeated values dropped (first kept), and per graph and field what was removed.
+
+    Elements are compared as wholes, after the fields inside them are cleaned. A field is named by its key
+    and its path, where [] stands for any element.
+    """
+    clean, stats = {}, []
+    for f in rows.schema.fields:
+        clean[f.name], found = _field(F.col(f.name), f.dataType, f.name, f.name)
+        stats += [F.struct(F.lit(k).alias("key"), F.lit(at).alias("path"), before.alias("before"), after.alias("after")) for k, at, before, after in found]
     if not stats:
-        return clean, rows.sparkSession.createDataFrame([], "graph_id string, key string, before long, after long, removed long")
+        return rows, rows.sparkSession.createDataFrame([], "graph_id string, key string, path string, before long, after long, removed long")
     long = rows.select("graph_id", F.inline(F.array(*stats)))
-    return clean, long.groupBy("graph_id", "key").agg(F.sum("before").alias("before"), F.sum("after").alias("after"), F.sum(F.col("before") - F.col("after")).alias("removed"))
+    return rows.withColumns(clean), long.groupBy("graph_id", "key", "path").agg(F.sum("before").alias("before"), F.sum("after").alias("after"), F.sum(F.col("before") - F.col("after")).alias("removed"))
 
 
 def edited_instances(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,6 +149,14 @@ def without_node(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     return nodes.join(gone, ["graph_id", "id"], "left_anti"), edges
 
 
+def without_type(triples: DataFrame, types: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
+    """Ontology triples (graph_id, from, relation, to) without those of removed entity types (graph_id, type) or relation types (graph_id, relation)."""
+    if types is not None:
+        for end in ("from", "to"):
+            triples = triples.join(types.select("graph_id", F.col("type").alias(end)), ["graph_id", end], "left_anti")
+    return triples if relations is None else triples.join(relations.select("graph_id", "relation"), ["graph_id", "relation"], "left_anti")
+
+
 # ---- merging nodes ----
 
 
@@ -133,9 +178,9 @@ def proposed_merges(nodes: DataFrame) -> DataFrame:
 def validated_groups(groups: DataFrame, members: str, names: str, single_differs: bool = False) -> DataFrame:
     """Groups with members of earlier accepted groups dropped, if two or more are left.
 
-    A group that fails doesn't use its members up, so the outcome depends on all groups of a graph before
-    it: one graph's groups run in order in a task. single_differs: a group of one member stays if it
-    differs from the group's name.
+    Groups that share no member with another are judged one by one. A group that fails doesn't use its
+    members up, so for the others the outcome depends on all groups before: those of one graph run in order
+    in a task. single_differs: a group of one member stays if it differs from the group's name.
     """
 
     def each(graph: pd.DataFrame) -> pd.DataFrame:
@@ -151,7 +196,13 @@ def validated_groups(groups: DataFrame, members: str, names: str, single_differs
         return out
 
     rows = groups.withColumn(names, truncated(collapse_space(F.coalesce(names, F.lit(""))), fixed.NAME_TEXT))
-    return rows.groupBy("graph_id").applyInPandas(each, rows.schema)
+    each_one = rows.select("graph_id", "group_ord", F.explode(F.array_distinct(members)).alias("_member"))
+    shared = each_one.groupBy("graph_id", "_member").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    clash = each_one.join(shared, ["graph_id", "_member"], "left_semi").select("graph_id", "group_ord").distinct()
+    own = rows.join(clash, ["graph_id", "group_ord"], "left_anti").withColumn(members, F.array_distinct(members))
+    size = F.size(members)
+    sound = (F.col(names) != "") & ((size > 1) | ((size == 1) & (F.get(members, F.lit(0)) != F.col(names)) if single_differs else F.lit(False)))
+    return own.filter(sound).select(*rows.columns).unionByName(rows.join(clash, ["graph_id", "group_ord"], "left_semi").select(*rows.columns).groupBy("graph_id").applyInPandas(each, rows.schema))
 
 
 def merge_map(groups: DataFrame) -> DataFrame:
@@ -241,7 +292,8 @@ def cleaned_relations(edges: DataFrame, renames: DataFrame | None, prefix: str =
     """Edges renamed through a map, then deduplicated; without a map (ontology mode) only the latter."""
     if renames is None:
         return deduplicated_edges(edges, prefix)
-    rows = edges.join(renames, (edges.graph_id == renames.graph_id) & (edges.relation == renames.old_relation), "left").select(*[edges[c] for c in edges.columns if c != "relation"], F.coalesce("new_relation", edges.relation).alias("relation"))
+    names = renames.select("graph_id", F.col("old_relation").alias("relation"), "new_relation")
+    rows = edges.join(names, ["graph_id", "relation"], "left").withColumn("relation", F.coalesce("new_relation", "relation"))
     return deduplicated_edges(rows.select(*edges.columns), prefix)
 
 
@@ -258,11 +310,21 @@ def source_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return count(nodes, "node_source_chunk_count").join(count(edges, "edge_source_chunk_count"), "graph_id", "full").fillna(0)
 
 
-def duplicate_names(nodes: DataFrame) -> DataFrame:
-    """graph_id, name, type, n: names that stand on several nodes of a type."""
+def _named(nodes: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif(plain(F.col("canonical_name")), F.lit("")), plain(F.col("name"))) if "canonical_name" in nodes.columns else plain(F.col("name"))
-    rows = nodes.select("graph_id", name.alias("name"), nonblank_or(F.col("type"), fixed.OTHER_TYPE).alias("type"), "id").filter("name <> '' and id <> ''")
-    return rows.groupBy("graph_id", "name", "type").agg(F.count("*").alias("n")).filter("n > 1")
+    return nodes.select("graph_id", "ord", name.alias("name"), nonblank_or(F.col("type"), fixed.OTHER_TYPE).alias("type"), plain(F.col("id")).alias("id")).filter("name <> '' and id <> ''")
+
+
+def duplicate_names(nodes: DataFrame) -> DataFrame:
+    """graph_id, name, type, n, place: names that stand on several nodes of a type, most frequent first, ties by first appearance."""
+    found = _named(nodes).groupBy("graph_id", "name", "type").agg(F.count("*").alias("n"), F.min("ord").alias("_first")).filter("n > 1")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("n"), "_first"))).drop("_first")
+
+
+def duplicate_name_nodes(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """The nodes of duplicate_names, a row each (graph_id, name, type, n, place, ord, id); most: of the first names only."""
+    found = duplicate_names(nodes) if most is None else duplicate_names(nodes).filter(F.col("place") <= most)
+    return _named(nodes).join(found, ["graph_id", "name", "type"]).select("graph_id", "name", "type", "n", "place", "ord", "id")
 
 
 def edge_flags(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -304,13 +366,27 @@ def sparse_items(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "graph_id", "left").fillna(0)
 
 
+#: What lowers the score, the points an item (or the share of isolated nodes), the most, and the reason given.
+DEDUCTIONS = {
+    "invalid_edge_count": (8, 30, "存在指向不存在节点的边"),
+    "self_loop_edge_count": (4, 30, "存在自环边"),
+    "duplicate_edge_count": (3, 30, "存在重复边"),
+    "missing_relation_edge_count": (2, 30, "存在关系名称缺失的边"),
+    "isolated_node_count": (40, 20, "孤立节点占比较高"),
+    "vague_edge_count": (2, 10, "存在宽泛关系"),
+    "no_edges": (30, 30, "图谱没有关系边"),
+}
+
+
 def quality_score(analysis: DataFrame) -> DataFrame:
-    """analysis (edge_analysis with vague_edge_count) with score and level."""
-    lost = sum((F.least(F.lit(30), F.col(f"{c}_edge_count") * w) for c, w in (("invalid", 8), ("self_loop", 4), ("duplicate", 3), ("missing_relation", 2))), F.lit(0))
-    isolated = F.when(F.col("node_count") > 0, F.least(F.lit(20.0), F.col("isolated_node_count") / F.col("node_count") * 40).cast("int")).otherwise(0)
-    empty = F.when((F.col("node_count") > 0) & (F.col("edge_count") == 0), 30).otherwise(0)
-    score = F.greatest(F.lit(0), F.least(F.lit(100), 100 - lost - isolated - F.least(F.lit(10), F.col("vague_edge_count") * 2) - empty)).cast("int")
-    rows = analysis.withColumn("score", score)
+    """analysis (edge_analysis with vague_edge_count) with deductions (reason, count, penalty; in fixed order), score and level."""
+    count = {c: F.col(c) for c in DEDUCTIONS if c != "no_edges"} | {"no_edges": ((F.col("node_count") > 0) & (F.col("edge_count") == 0)).cast("long")}
+    parts = []
+    for c, (points, most, reason) in DEDUCTIONS.items():
+        lost = F.when(F.col("node_count") > 0, F.least(F.lit(float(most)), count[c] / F.col("node_count") * points).cast("int")).otherwise(0) if c == "isolated_node_count" else F.least(F.lit(most), count[c] * points).cast("int")
+        parts.append(F.struct(F.lit(reason).alias("reason"), count[c].cast("long").alias("count"), lost.alias("penalty")))
+    rows = analysis.withColumn("deductions", F.filter(F.array(*parts), lambda x: x["penalty"] > 0))
+    rows = rows.withColumn("score", F.greatest(F.lit(0), 100 - F.aggregate("deductions", F.lit(0), lambda s, x: s + x["penalty"])))
     return rows.withColumn("level", F.when(F.col("score") >= 85, "good").when(F.col("score") >= 65, "review").otherwise("poor"))
 
 
@@ -378,4 +454,5 @@ def render(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     have = set(edges.columns)
     points = nodes.select("graph_id", "id", nonblank_or(F.col("label") if "label" in nodes.columns else F.col("name"), F.col("id")).alias("label"), nonblank_or(F.col("type"), "未分类").alias("type"))
     end = lambda a, b: F.col(a) if a in have else F.col(b)
-    return points, edges.select("graph_id", "id", end("from", "source").alias("source"), end("to", "target").alias("target"), end("label", "relation").alias("label"))
+    numbered_id = nonblank_or(F.col("id"), F.concat(F.lit("edge-"), F.col("ord").cast("string"))) if "ord" in have else F.col("id")
+    return points, edges.select("graph_id", numbered_id.alias("id"), end("from", "source").alias("source"), end("to", "target").alias("target"), end("label", "relation").alias("label"))

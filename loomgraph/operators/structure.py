@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,34 +17,40 @@ from .lines import lines
 BOUNDARY = "array<struct<title:string,start:int,end:int>>"
 
 
-def boundaries(text: Column, patterns: list[str], most_title: int = fixed.TITLE_LENGTH) -> Column:
+@lru_cache(4096)
+def _compiled(pattern: str) -> re.Pattern | None:
+    try:
+        return re.compile(pattern, re.MULTILINE) if pattern else None
+    except re.error:
+        return None
+
+
+def boundaries(text: Column, patterns: list[str] | Column, most_title: int = fixed.TITLE_LENGTH) -> Column:
     """Matches of any pattern in the whole text, where ^ and $ stand at line ends, by start and end.
 
-    Patterns are Python's and may come from users, so they run in an Arrow batch UDF; a pattern that
-    doesn't compile is skipped, blank and over-long titles too, and equal spans count once.
+    Patterns are Python's and may come from users, one list for all texts or a column of lists, so they run
+    in an Arrow batch UDF; a pattern that doesn't compile is skipped, blank and over-long titles too, and
+    equal spans count once.
     """
 
+    def one(value: str | None, some: Iterable[str]) -> list[dict]:
+        found = {}
+        for p in filter(None, map(_compiled, some)):
+            for m in p.finditer(value or ""):
+                title = m.group().strip()
+                if title and len(title) <= most_title:
+                    found.setdefault((m.start(), m.end()), title)
+        return [{"title": found[span], "start": span[0], "end": span[1]} for span in sorted(found)]
+
     @F.pandas_udf(BOUNDARY)
     def scan(texts: pd.Series) -> pd.Series:
-        usable = []
-        for p in patterns:
-            try:
-                usable += [re.compile(p, re.MULTILINE)] if p else []
-            except re.error:
-                continue
-
-        def one(value: str | None) -> list[dict]:
-            found = {}
-            for p in usable:
-                for m in p.finditer(value or ""):
-                    title = m.group().strip()
-                    if title and len(title) <= most_title:
-                        found.setdefault((m.start(), m.end()), title)
-            return [{"title": found[span], "start": span[0], "end": span[1]} for span in sorted(found)]
-
-        return texts.map(one)
-
-    return scan(text)
+        return texts.map(lambda value: one(value, patterns))
+
+    @F.pandas_udf(BOUNDARY)
+    def scan_own(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([one(value, () if some is None else some) for value, some in zip(texts, lists, strict=True)], dtype=object)
+
+    return scan_own(text, patterns) if isinstance(patterns, Column) else scan(text)
 
 
 def spans(docs: DataFrame, found: str = "bounds", key: str = "doc_id") -> DataFrame:

@@ -17,13 +17,17 @@ from . import providers
 
 def extract(docs: DataFrame, provider: providers.Provider) -> tuple[DataFrame, DataFrame]:
     """Raw nodes and edges (graph_id, part_id, ord, ...) of the chunks worth asking about."""
-    checked = quality.with_quality(chunking.fixed_length(docs, fixed.PART_CHARS, fixed.PART_OVERLAP))
+    return from_chunks(quality.with_quality(chunking.fixed_length(docs, fixed.PART_CHARS, fixed.PART_OVERLAP)), provider)
+
+
+def from_chunks(checked: DataFrame, provider: providers.Provider) -> tuple[DataFrame, DataFrame]:
+    """The same of chunks with their quality; a part whose request fails has no nodes and no edges."""
     kept = checked.filter(quality.skip_reason(F.col("content"), F.col("level"), F.col("suggestion")).isNull())
     asked = kept.select(F.col("doc_id").cast("string").alias("graph_id"), F.concat_ws("/", "doc_id", "chunk_id").alias("part_id"), "content")
-    decided = providers.decide(asked, provider, "extract", "content", shared_path(docs.sparkSession, "replies"))
+    decided = providers.decide(asked, provider, "extract", "content", shared_path(checked.sparkSession, "replies"))
     nodes, edges = providers.extracted(decided, ["graph_id", "part_id"])
     # Order over a graph: by chunk, then by place in the reply.
-    order = F.regexp_extract("part_id", r"(\d+)$", 1).cast("long") * 100_000 + F.col("ord")
+    order = F.coalesce(F.nullif(F.regexp_extract("part_id", r"_(\d{4})(?:_|$)", 1), F.lit("")).cast("long"), F.lit(0)) * 100_000 + F.col("ord")
     return nodes.withColumn("ord", order), edges.withColumn("ord", order)
 
 

@@ -22,14 +22,20 @@ class Provider(Protocol):
 
 
 class Offline:
-    """Rules in place of a model: capitalised words as entities, neighbours in a sentence as relations."""
+    """Rules in place of a model: capitalised words as entities, neighbours in a sentence as relations.
+
+    most: how many names of a part become entities, the most frequent ones.
+    """
+
+    def __init__(self, most: int = 12):
+        self.most = most
 
     def reply(self, task: str, request: str) -> str:
         return json.dumps(getattr(self, task)(request), ensure_ascii=False)
 
     def extract(self, text: str) -> dict:
         names = Counter(re.findall(r"[^\W\d_]{3,}", text))
-        top = [w for w, _ in sorted(names.items(), key=lambda x: (-x[1], x[0])) if w[0].isupper()][:12]
+        top = [w for w, _ in sorted(names.items(), key=lambda x: (-x[1], x[0])) if w[0].isupper()][: self.most]
         ids = {w: f"n{i + 1}" for i, w in enumerate(top)}
         seen, edges = set(), []
         for sentence in re.split(r"[.!?。！？]", text):
@@ -42,7 +48,11 @@ class Offline:
 
     def strategy(self, text: str) -> dict:
         headings = len(re.findall(r"(?m)^第\S{1,8}[章节]", text))
-        return {"split_mode": "heading_regex" if headings > 1 else "fixed_length", "primary_patterns": [r"^第\S{1,8}[章节].{0,80}$"] if headings > 1 else []}
+        config = {"split_mode": "heading_regex", "primary_start_patterns": [r"^第\S{1,8}[章节].{0,80}$"]} if headings > 1 else {"split_mode": "fixed_length"}
+        return {"executable_split_config": config}
+
+    def ontology(self, text: str) -> dict:
+        return {"entity_types": ["term"], "relation_types": ["follows"], "relations": [{"from": "term", "relation": "follows", "to": "term"}]}
 
 
 def decide(rows: DataFrame, provider: Provider, task: str, request: str, path: str | None = None) -> DataFrame:

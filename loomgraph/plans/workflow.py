@@ -9,6 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.json import json_candidate
+from ..functions.text import collapse_space, truncated, uni_trim
+from ..sources.tables import written
+
 # ---- fixed values: stages in order, their other names and titles ----
 STAGES = ["pdf_to_text", "ontology_draft", "split_strategy", "chunking", "graph_extraction", "exact_cleaning", "semantic_node_merge", "relation_cleaning", "quality_report", "final_graph"]
 ALIASES = {
@@ -25,18 +29,73 @@ ALIASES = {
 TITLES = dict(zip(["文本提取", "本体草案生成", "切分策略选择", "执行切分", "本体实例化", "重复内容清理", "相近节点合并", "关系清洗", "质量报告", "最终图谱生成"], STAGES, strict=True))
 
 
-def safe_id(name: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9_\-]+", "_")
+# ---- fixed values: texts of plans and contexts ----
+FEATURES = {"knowledge-graph": "知识图谱构建"}
+GENERAL_STEPS = ["clarify_scope", "process_content", "review_result"]
+DEFAULT_STEP, DEFAULT_DESCRIPTION = "步骤 {}", "完成该阶段处理并产出可审核结果。"
+DEFAULT_SUMMARY, START_QUESTION = "已根据当前意图生成 workflow，等待用户确认是否开始。", "是否开始这个流程？"
+NO_SUMMARY, NO_GOAL = "当前未获取到足够的文档内容，后续将仅基于用户已确认目标进行保守处理。", "基于当前文档构建可审核的知识图谱。"
+
+
+def identifier(name: Column) -> Column:
+    """Lower case, runs of anything but a-z and 0-9 as one underscore, none at either end."""
+    return F.regexp_replace(F.regexp_replace(F.lower(uni_trim(name)), "[^a-z0-9]+", "_"), r"^_+|_+\z", "")
 
 
 def stage_of(step_id: Column, title: Column | None = None) -> Column:
-    """The stage that a step names by its id, an alias or its title; null if none."""
+    """The stage that a step names by its id, an alias, a skill's key or its title; null if none."""
     known = F.create_map(*[F.lit(x) for pair in {**ALIASES, **{s: s for s in STAGES}}.items() for x in pair])
-    found = F.try_element_at(known, safe_id(step_id))
+    found = F.try_element_at(known, identifier(step_id))
     if title is None:
         return found
     titles = F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair])
-    return F.coalesce(found, F.try_element_at(titles, F.trim(title)))
+    return F.coalesce(found, F.try_element_at(titles, F.regexp_replace(title, r"(?U)[\s\x1c-\x1f]+", "")))
+
+
+def step_ids(step_id: Column, place: Column) -> Column:
+    """Ids that are safe in names of files: of a-z, 0-9, _ and -; step_<place> for those with nothing left."""
+    safe = F.regexp_replace(F.regexp_replace(F.lower(uni_trim(step_id)), r"[^a-z0-9_\-]+", "_"), r"^_+|_+\z", "")
+    return F.coalesce(F.nullif(safe, F.lit("")), F.concat(F.lit("step_"), place.cast("string")))
+
+
+def normalized_steps(steps: DataFrame) -> DataFrame:
+    """Proposed steps (plan_id, pos, id, title, description) with safe ids and defaults; pos from 1."""
+    place = F.row_number().over(Window.partitionBy("plan_id").orderBy("pos"))
+    rows = steps.withColumn("pos", place)
+    title = uni_trim(F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit(DEFAULT_STEP.format("")), F.col("pos").cast("string"))))
+    told = uni_trim(F.coalesce(F.nullif("description", F.lit("")), F.lit(DEFAULT_DESCRIPTION)))
+    return rows.select("plan_id", "pos", step_ids(F.col("id"), F.col("pos")).alias("id"), title.alias("title"), told.alias("description"))
+
+
+def with_fallback(plans: DataFrame, steps: DataFrame) -> DataFrame:
+    """Steps of every plan (plan_id, message, feature): those proposed, or else the fallback's.
+
+    The fallback is the ten stages if the feature or the message is about knowledge graphs, else three
+    general steps, the second named after the feature.
+    """
+    own = normalized_steps(steps.join(plans.select("plan_id"), "plan_id", "left_semi"))
+    graphs = (F.coalesce("feature", F.lit("")) == "knowledge-graph") | F.coalesce("message", F.lit("")).rlike("知识图谱|抽取")
+    stages = F.array(*[F.struct(F.lit(i + 1).alias("pos"), F.lit(stage).alias("id"), F.lit(title).alias("title")) for i, (title, stage) in enumerate(TITLES.items())])
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in FEATURES.items() for x in pair]), F.col("feature")), F.nullif("feature", F.lit("")))
+    titles = [F.lit("确认目标与输入"), F.coalesce(label, F.lit("执行核心处理")), F.lit("审核与确认")]
+    general = F.array(*[F.struct(F.lit(i + 1).alias("pos"), F.lit(step).alias("id"), titles[i].alias("title")) for i, step in enumerate(GENERAL_STEPS)])
+    rest = plans.join(own.select("plan_id").distinct(), "plan_id", "left_anti")
+    return own.select("plan_id", "pos", "id", "title").unionByName(rest.select("plan_id", F.inline(F.when(graphs, stages).otherwise(general))))
+
+
+def context(replies: DataFrame) -> DataFrame:
+    """document_summary and user_goal of each request: a reply's if it has both, else from what the request holds.
+
+    replies: reply (JSON or null), message, preview, summary, goal, and further columns that are kept.
+    """
+    short = lambda c, n: truncated(collapse_space(F.coalesce(c, F.lit(""))), n)
+    some = F.from_json(json_candidate(F.col("reply")), "document_summary string, user_goal string")
+    told, asked = short(some["document_summary"], 4000), short(some["user_goal"], 1200)
+    whole = F.coalesce((told != "") & (asked != ""), F.lit(False))
+    first = lambda n, default, *cs: F.coalesce(*[F.nullif(short(F.nullif(c, F.lit("")), n), F.lit("")) for c in cs], F.lit(default))
+    goal = F.coalesce(F.nullif("message", F.lit("")), F.col("goal"))
+    own = [c for c in replies.columns if c not in ("reply", "message", "preview", "summary", "goal")]
+    return replies.select(*own, F.when(whole, told).otherwise(first(1600, NO_SUMMARY, F.col("preview"), F.col("summary"))).alias("document_summary"), F.when(whole, asked).otherwise(first(800, NO_GOAL, goal)).alias("user_goal"))
 
 
 def validated_plans(steps: DataFrame) -> DataFrame:
@@ -52,10 +111,17 @@ def validated_plans(steps: DataFrame) -> DataFrame:
     return found.select("plan_id", "n_steps", error.alias("error"))
 
 
+def _stored(spark: SparkSession, table: DataFrame, path: str) -> DataFrame:
+    table.write.mode("overwrite").parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Stage:
+    """run gets the context and returns a table, or tables by name."""
+
     name: str
-    run: Callable[[dict], DataFrame]
+    run: Callable[[dict], DataFrame | dict[str, DataFrame]]
     needs: tuple[str, ...] = ()
 
 
@@ -75,8 +141,8 @@ class Workflow:
             raise ValueError("a plan needs steps")
         order, chosen = list(self.stages), []
         for name in names:
-            plain = re.sub(r"[^a-z0-9_\-]+", "_", name.strip().lower())
-            stage = ALIASES.get(plain, TITLES.get(name.strip(), plain))
+            plain = re.sub("[^a-z0-9]+", "_", name.strip().lower()).strip("_")
+            stage = ALIASES.get(plain, TITLES.get("".join(name.split()), plain))
             if stage not in self.stages:
                 raise ValueError(f"unknown step: {name}")
             if stage in chosen:
@@ -87,7 +153,7 @@ class Workflow:
         return chosen
 
     def run(self, spark: SparkSession, names: list[str], context: dict, approved: bool = True, folder: str | None = None) -> tuple[dict, list[dict]]:
-        """The context with a table for each stage, and what each step did."""
+        """The context with a table for each stage, and what each step did; tables are written to folder, or to the shared one."""
         if not approved:
             raise ValueError("the plan isn't approved")
         done = []
@@ -97,9 +163,10 @@ class Workflow:
                 raise ValueError(f"{name} needs {', '.join(missing)}")
             if name not in context:
                 table = stage.run(context)
-                if folder:
-                    table.write.mode("overwrite").parquet(f"{folder}/{name}")
-                    table = spark.read.parquet(f"{folder}/{name}")
+                if folder is None:  # stages are planned one by one either way
+                    table = {part: written(df, name) for part, df in table.items()} if isinstance(table, dict) else written(table, name)
+                else:
+                    table = {part: _stored(spark, df, f"{folder}/{name}/{part}") for part, df in table.items()} if isinstance(table, dict) else _stored(spark, table, f"{folder}/{name}")
                 context = {**context, name: table}
             done.append({"stage": name, "success": True, "output_path": f"{folder}/{name}" if folder else None})
         return context, done

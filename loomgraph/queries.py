@@ -72,10 +72,25 @@ def noise_line_filter(spark, sf_dir):
     return lines.noise_filter(lines.lines(documents(spark, sf_dir)))
 
 
-@query(f"WITH {_LINES}, m AS (SELECT doc_id, pos, line, translate(line, '…·', '..') AS d FROM lines) SELECT doc_id, pos, line FROM m WHERE NOT {_TOC}")
+#: Tables of contents in front of two thirds of the documents: one that stays open up to a chapter, one that closes at once.
+_CONTENTS = ["目 录\n甲 ........ 1\n乙 ........ 2\n丙 ........ 3\n", "目录\n甲 ........ 1\n"]
+_WITH_CONTENTS = f"(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {_lit(_CONTENTS[0])} || text || {_lit(chr(10) + '第一章 X' + chr(10) + '尾')} WHEN 1 THEN {_lit(_CONTENTS[1])} || text ELSE text END AS text FROM documents)"
+_TITLE = f"regexp_full_match(d, {_lit(fixed.TOC_TITLE)})"
+_CHAPTER = _found("line", [fixed.CHAPTER_START])
+
+
+def _with_contents(spark, sf_dir) -> DataFrame:
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(_CONTENTS[0]), "text", F.lit("\n第一章 X\n尾"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(_CONTENTS[1]), "text")).otherwise(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", text.alias("text"))
+
+
+@query(f"""WITH {_LINES.replace("FROM documents", f"FROM {_WITH_CONTENTS}")}, m AS (SELECT doc_id, pos, line, translate(line, '…·', '..') AS d FROM lines),
+k AS (SELECT doc_id, pos, line, {_TITLE} AS title, {_TOC} AS entry, {_CHAPTER} AS chapter FROM m),
+t AS (SELECT *, max(CASE WHEN title THEN pos END) OVER w AS head, count(*) FILTER (entry AND NOT title) OVER w AS entries FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+c AS (SELECT *, head IS NOT NULL AND NOT title AND NOT entry AND (chapter OR entries - first_value(entries) OVER (PARTITION BY doc_id, head ORDER BY pos) < 3) AS closer FROM t)
+SELECT doc_id, pos, line FROM (SELECT *, bool_or(closer) OVER (PARTITION BY doc_id, head ORDER BY pos) AS closed FROM c) WHERE NOT title AND NOT entry AND (head IS NULL OR closed)""")
 def toc_removal(spark, sf_dir):
-    """No document of the tables has a title line of a table of contents, so the SQL needs no blocks."""
-    return lines.without_toc(lines.lines(documents(spark, sf_dir)))
+    return lines.without_toc(lines.lines(_with_contents(spark, sf_dir)))
 
 
 @query(f"""WITH {_LINES}, p AS (SELECT doc_id, line, pos // 5 AS page FROM lines),
@@ -114,7 +129,18 @@ def chunking_texts(spark, sf_dir):
     return lines.cleaned_for_chunking(documents(spark, sf_dir))
 
 
-@query()
+_FURNITURE = f"({_found('line', ['-?\\s*\\d+\\s*-?', '第\\s*\\d+\\s*页', '(?i)Page\\s*\\d+', '[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+'], True)} OR {_found('line', fixed.USELESS_KEYWORDS)})"
+_NOISE = f"({_found('line', fixed.NOISE_LINES, True)} OR (regexp_full_match(line, '[A-Z\\s]+') AND length(line) > 10))"
+_NORMAL = f"translate(line, {_lit(''.join(fixed.CHARACTERS))}, {_lit(''.join(fixed.CHARACTERS.values()))})"
+
+
+@query(f"""WITH {_LINES}, a AS (SELECT doc_id, pos, pos // 5 AS page, {_trim(_NORMAL)} AS line FROM lines), b AS (SELECT * FROM a WHERE line <> '' AND NOT {_FURNITURE}),
+n AS (SELECT doc_id, count(DISTINCT page) AS all_pages FROM b GROUP BY doc_id),
+r AS (SELECT doc_id, line FROM (SELECT doc_id, line, count(DISTINCT page) AS pages FROM b WHERE length(line) <= 60 GROUP BY doc_id, line) JOIN n USING (doc_id) WHERE pages >= greatest(3.0, 0.25 * all_pages)),
+t AS (SELECT * FROM (SELECT *, translate(line, '…·', '..') AS d FROM b ANTI JOIN r USING (doc_id, line)) WHERE NOT ({_TITLE} OR ({_found("d", [fixed.TOC_PAGE_AT_END])} AND {_found("d", [fixed.TOC_LEADER])}))),
+s AS (SELECT doc_id, pos, line, CASE WHEN lag(line) OVER w IS NULL OR {_STANDALONE} OR {_STANDALONE.replace("(line", "(lag(line) OVER w")} OR regexp_matches(lag(line) OVER w, '[{fixed.SENTENCE_ENDS}]$') THEN 1 ELSE 0 END AS start FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+g AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM s), l AS (SELECT doc_id, g, string_agg(line, '' ORDER BY pos) AS line FROM g GROUP BY doc_id, g)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY g) AS text FROM l WHERE NOT {_NOISE} GROUP BY doc_id""")
 def clean_document_pages(spark, sf_dir):
     """Documents as pages of five lines, cleaned as a whole."""
     rows = lines.lines(documents(spark, sf_dir)).withColumn("page", F.floor(F.col("pos") / 5).cast("int"))
@@ -127,12 +153,17 @@ def compact_documents(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", lines.compact(F.col("text"), 2000).alias("text"))
 
 
-@query(rf"""SELECT doc_id, 'text' AS method, length(text) AS n FROM documents WHERE len(regexp_extract_all(text, {_lit(fixed.MEANINGFUL)})) >= 20
-UNION ALL SELECT d.doc_id, 'text', length(text) FROM documents d WHERE len(regexp_extract_all(text, {_lit(fixed.MEANINGFUL)})) < 20""")
+_MEANING = f"len(regexp_extract_all(coalesce(x, ''), {_lit(fixed.MEANINGFUL)}))"
+
+
+@query(f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, 12) ELSE text END AS own, CASE WHEN doc_id % 2 = 0 THEN text ELSE '?' END AS ocr FROM documents),
+m AS (SELECT *, {_MEANING.replace("(x,", "(own,")} AS a, {_MEANING.replace("(x,", "(ocr,")} AS b FROM p)
+SELECT doc_id, CASE WHEN a < 20 AND b > a THEN 'ocr' ELSE 'text' END AS method, length(CASE WHEN a < 20 AND b > a THEN ocr ELSE own END) AS n, greatest(a, CASE WHEN a < 20 AND b > a THEN b ELSE a END) AS meaningful_chars FROM m""")
 def page_text_choice(spark, sf_dir):
-    """Every document as a page whose OCR text is its upper half: never more meaningful characters than the text."""
-    pages = documents(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), "text", F.expr("left(text, length(text) div 2)").alias("ocr_text"))
-    return lines.page_text(pages).select("doc_id", "method", F.length("text").alias("n"))
+    """Every document as a page: a third of them nearly empty, half of them with an OCR text."""
+    own, ocr = F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(12))).otherwise(F.col("text")), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("?")
+    pages = documents(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), own.alias("text"), ocr.alias("ocr_text"))
+    return lines.page_text(pages).select("doc_id", "method", F.length("text").alias("n"), "meaningful_chars")
 
 
 @query("SELECT d.doc_id, CASE WHEN l.quality = 0 THEN 'withdrawn ' || d.doc_id ELSE d.text END AS text, length(CASE WHEN l.quality = 0 THEN 'withdrawn ' || d.doc_id ELSE d.text END) AS text_length, coalesce(l.quality = 0, false) AS text_manually_edited FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -146,9 +177,14 @@ def edited_texts(spark, sf_dir):
 _CLUE = " UNION ALL ".join([*(f"SELECT doc_id, pos, line, '{name}' AS category FROM lines WHERE {_found('line', patterns)}" for name, patterns in fixed.CLUES.items()), f"SELECT doc_id, pos, line, 'keyword_structure_lines' FROM lines WHERE length(line) <= 120 AND {_found('line', fixed.CLUE_WORDS)}"])
 
 
-@query(f"WITH {_LINES}, c AS ({_CLUE}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY pos) AS k FROM c) SELECT doc_id, category, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) FILTER (k <= 100) AS preview FROM r GROUP BY doc_id, category")
+_STRUCTURED = "(SELECT doc_id, '第' || (doc_id % 9 + 1) || '章 总论' || chr(10) || '1.' || (doc_id % 7) || ' heading of ' || source || chr(10) || '二、 内容' || chr(10) || text || chr(10) || '（三） 片段' || chr(10) || '案例 4-1 ' || lang || chr(10) || 'x 步骤 y' AS text FROM documents)"
+
+
+@query(f"WITH {_LINES.replace('FROM documents', f'FROM {_STRUCTURED}')}, c AS ({_CLUE}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY pos) AS k FROM c) SELECT doc_id, category, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) FILTER (k <= 100) AS preview FROM r GROUP BY doc_id, category")
 def structure_clues(spark, sf_dir):
-    return structure.structure_clues(documents(spark, sf_dir))
+    """Documents between lines of every category, as the tables' own have none."""
+    text = F.expr("concat('第', doc_id % 9 + 1, '章 总论\n1.', doc_id % 7, ' heading of ', source, '\n二、 内容\n', text, '\n（三） 片段\n案例 4-1 ', lang, '\nx 步骤 y')")
+    return structure.structure_clues(documents(spark, sf_dir).select("doc_id", text.alias("text")))
 
 
 @query("SELECT doc_id, length(coalesce(text, '')) AS total_chars, len(string_split(coalesce(text, ''), chr(10))) AS total_lines FROM documents")
@@ -168,30 +204,67 @@ h AS (SELECT doc_id, text, line, CAST(start AS BIGINT) AS start, row_number() OV
 c AS (SELECT doc_id, i, {_trim("line")} AS title, start AS start_char, CAST(coalesce(stop, length(text)) AS BIGINT) AS end_char, {_trim("substr(text, start + 1, CAST(coalesce(stop, length(text)) AS BIGINT) - start)")} AS content FROM h)"""
 
 
-@query(f"WITH {_OFFSETS} SELECT doc_id, title, start_char, end_char, length(content) AS char_count, md5(content) AS content_md5 FROM c WHERE content <> ''")
+def _slug(title: str) -> str:
+    return rf"left(regexp_replace(regexp_replace({title}, '[^\p{{L}}\p{{M}}\p{{Nd}}_-]+', '_', 'g'), '^_+|_+$', '', 'g'), 40)"
+
+
+@query(f"WITH {_OFFSETS} SELECT doc_id, printf('heading_regex_%04d_', i) || {_slug('title')} AS chunk_id, title, start_char, end_char, length(content) AS char_count, md5(content) AS content_md5 FROM c WHERE content <> ''")
 def heading_chunks(spark, sf_dir):
     """Headings: capitalised lines of at most 41 characters."""
     chunks = chunking.by_headings(documents(spark, sf_dir), [_HEADING])
-    return chunks.select("doc_id", "title", "start_char", "end_char", "char_count", F.md5("content").alias("content_md5"))
+    return chunks.select("doc_id", "chunk_id", "title", "start_char", "end_char", "char_count", F.md5("content").alias("content_md5"))
 
 
-@query()
+def _pieces_sql(patterns: dict[str, str]) -> str:
+    """CTEs l and o, and for each name its headings: doc_id, text, line, start, i, stop."""
+    base = _OFFSETS[: _OFFSETS.index(",\nh AS")]
+    each = [f"{name} AS (SELECT doc_id, text, trim_title AS title, CAST(start AS BIGINT) AS start, row_number() OVER w AS i, lead(start) OVER w AS stop FROM (SELECT *, {_trim('line')} AS trim_title FROM o) WHERE regexp_matches(line, '{p}') WINDOW w AS (PARTITION BY doc_id ORDER BY start))" for name, p in patterns.items()]
+    return ", ".join([base, *each])
+
+
+_FLAT = ["doc_id", "chunk_id", "split_type", "title", "parent_title", "start_char", "end_char", "char_count"]
+_TWO = (r"^[A-Z].{0,60}$", r"^\S{1,12} .{1,20}$")
+
+
+@query(rf"""WITH {_pieces_sql({"h": _TWO[0]})},
+p AS (SELECT doc_id, i, title, start, CAST(coalesce(stop, length(text)) AS BIGINT) AS stop, {_trim("substr(text, start + 1, CAST(coalesce(stop, length(text)) AS BIGINT) - start)")} AS content FROM h),
+q AS (SELECT *, string_split(content, chr(10)) AS cs FROM p WHERE content <> ''),
+r AS (SELECT doc_id, i AS p, title AS parent_title, start AS base, content, cs[k] AS line, coalesce(list_sum(list_transform(cs[1:k-1], lambda x: length(x) + 1)), 0) AS off FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS k FROM q)),
+s AS (SELECT *, row_number() OVER w AS j, coalesce(lead(off) OVER w, length(content)) AS until FROM r WHERE regexp_matches(line, '{_TWO[1]}') WINDOW w AS (PARTITION BY doc_id, p ORDER BY off)),
+t AS (SELECT doc_id, p, j, {_trim("line")} AS title, parent_title, CAST(base + off AS BIGINT) AS start_char, CAST(base + until AS BIGINT) AS end_char, {_trim("substr(content, CAST(off AS BIGINT) + 1, CAST(until - off AS BIGINT))")} AS c FROM s)
+SELECT doc_id, printf('two_level_%04d_%04d_', p, j) || {_slug("title")} AS chunk_id, 'two_level_regex' AS split_type, title, parent_title, start_char, end_char, length(c) AS char_count FROM t WHERE c <> ''
+UNION ALL SELECT doc_id, printf('two_level_%04d_', i) || {_slug("title")}, 'primary_only', title, NULL, start, stop, length(content) FROM q WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = q.doc_id AND s.p = q.i)""")
 def two_level_chunks(spark, sf_dir):
-    chunks = chunking.two_level(documents(spark, sf_dir), [r"^[A-Z].{0,60}$"], [r"^\S{1,12} .{1,20}$"])
-    return chunks.drop("content")
+    return chunking.two_level(documents(spark, sf_dir), [_TWO[0]], [_TWO[1]]).select(*_FLAT)
 
 
-@query()
+_THREE = (r"^[A-Z].{0,60}$", r"^.{1,12}$", r"^.{80,120}$")
+
+
+@query(rf"""WITH {_pieces_sql(dict(zip(("a", "b", "q"), _THREE, strict=True)))},
+u AS (SELECT doc_id, text, title, start, i, 'a' AS kind FROM a UNION ALL SELECT doc_id, text, title, start, i, 'b' FROM b UNION ALL SELECT doc_id, text, title, start, i, 'q' FROM q),
+v AS (SELECT *, last_value(CASE WHEN kind = 'a' THEN title END IGNORE NULLS) OVER w AS chapter, last_value(CASE WHEN kind = 'b' THEN title END IGNORE NULLS) OVER w AS section, min(start) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT *, CAST(coalesce(stop, length(text)) AS BIGINT) AS until, {_trim("substr(text, start + 1, CAST(coalesce(stop, length(text)) AS BIGINT) - start)")} AS content FROM v WHERE kind = 'q' AND chapter IS NOT NULL)
+SELECT doc_id, printf('question_%04d_', i) || {_slug("title")} AS chunk_id, 'chapter_section_question' AS split_type, title, coalesce(section, chapter) AS parent_title, start AS start_char, until AS end_char, length(content) AS char_count FROM c WHERE content <> ''""")
 def question_chunks(spark, sf_dir):
-    chunks = chunking.by_questions(documents(spark, sf_dir), [r"^[A-Z].{0,60}$"], [r"^.{1,12}$"], [r"^.{80,120}$"])
-    return chunks.drop("content")
+    """Capitalised lines as chapters, very short ones as sections, long ones as questions."""
+    return chunking.by_questions(documents(spark, sf_dir), *[[p] for p in _THREE]).select(*_FLAT)
 
 
-@query()
+_SHORT = r"^[A-Z].{0,30}$"
+
+
+@query(rf"""WITH {_pieces_sql({"h": _SHORT})},
+c AS (SELECT doc_id, i, title, start, CAST(coalesce(stop, length(text)) AS BIGINT) AS stop, {_trim("substr(text, start + 1, CAST(coalesce(stop, length(text)) AS BIGINT) - start)")} AS content FROM h),
+f AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = d.doc_id AND content <> '')),
+w AS (SELECT doc_id, text, n, unnest(generate_series(0, greatest(0, CAST(ceil((n - 1200) / 1140.0) AS BIGINT)))) AS k FROM f),
+x AS (SELECT doc_id, k, k * 1140 AS start, least(n, k * 1140 + 1200) AS stop, {_trim("substr(text, k * 1140 + 1, 1200)")} AS content FROM w)
+SELECT doc_id, printf('heading_regex_%04d_', i) || {_slug("title")} AS chunk_id, 'heading_regex' AS split_type, title, NULL AS parent_title, start AS start_char, stop AS end_char, length(content) AS char_count FROM c WHERE content <> ''
+UNION ALL SELECT doc_id, printf('fixed_%04d', k + 1), 'fixed_length', printf('fixed_chunk_%04d', k + 1), NULL, start, stop, length(content) FROM x WHERE content <> ''""")
 def configured_split(spark, sf_dir):
     """Headings where there are any, fixed windows for the documents without."""
-    config = chunking.SplitConfig("heading_regex", primary_patterns=[r"^[A-Z].{0,30}$"], fallback_method="fixed_length", max_chars=1200, overlap=60)
-    return chunking.split(documents(spark, sf_dir), config).drop("content")
+    config = chunking.SplitConfig("heading_regex", primary_patterns=[_SHORT], fallback_method="fixed_length", max_chars=1200, overlap=60)
+    return chunking.split(documents(spark, sf_dir), config).select(*_FLAT)
 
 
 # ---- chunks and their quality ----
@@ -389,7 +462,7 @@ def edge_constrain(spark, sf_dir):
     return graph.constrained(nodes, edges, ["customer", *kinds], ["orders", "accepts"], triples)[1].select("graph_id", "ord", "source", "target", "relation")
 
 
-@query(f"{_G} SELECT graph_id, 'tags' AS key, count(*) * 3 AS before, sum(len(list_distinct([type, name, type]))) AS after, count(*) * 3 - sum(len(list_distinct([type, name, type]))) AS removed FROM nodes GROUP BY graph_id")
+@query(f"{_G} SELECT graph_id, 'tags' AS key, 'tags' AS path, count(*) * 3 AS before, sum(len(list_distinct([type, name, type]))) AS after, count(*) * 3 - sum(len(list_distinct([type, name, type]))) AS removed FROM nodes GROUP BY graph_id")
 def exact_value_dedupe(spark, sf_dir):
     nodes, _ = star(spark, sf_dir)
     return graph.distinct_values(nodes.withColumn("tags", F.array("type", "name", "type")))[1]
@@ -416,12 +489,20 @@ def _groups(nodes: DataFrame) -> DataFrame:
     return graph.validated_groups(graph.proposed_merges(nodes), "node_ids", "canonical_name")
 
 
-@query(f"""{_G}, {_GROUPS} SELECT m.graph_id, m.rep AS id, m.canonical AS name, string_agg(n.id, ',' ORDER BY n.ord) AS merged_from, '' AS aliases,
-substr(array_to_string(list_filter(list_distinct(list(n.description ORDER BY n.ord)), lambda x: x <> ''), '；'), 1, 0) AS description FROM m JOIN nodes n ON m.graph_id = n.graph_id AND m.type = n.type AND m.k = lower(n.name) GROUP BY ALL""")
+_FIRSTS = "list_filter({0}, lambda x, i: x <> '' AND list_position({0}, x) = i)"
+_TWICE = "twice AS (SELECT graph_id, ord * 2 + k AS ord, id || CASE k WHEN 0 THEN '' ELSE 'b' END AS id, CASE k WHEN 0 THEN name ELSE upper(name) END AS name, type, CASE k WHEN 0 THEN description ELSE 'again:' || description END AS description FROM nodes, (SELECT unnest([0, 1]) AS k) t)"
+
+
+@query(f"""{_G}, {_TWICE}, {_GROUPS.replace("FROM nodes", "FROM twice")}, a AS (SELECT m.graph_id, m.rep AS id, m.canonical AS name, string_agg(n.id, ',' ORDER BY n.ord) AS merged_from, list(n.name ORDER BY n.ord) AS ns, list(n.description ORDER BY n.ord) AS ds
+FROM m JOIN twice n ON m.graph_id = n.graph_id AND m.type = n.type AND m.k = lower(n.name) GROUP BY 1, 2, 3, m.type), b AS (SELECT *, {_FIRSTS.format("ns")} AS fs FROM a)
+SELECT graph_id, id, name, merged_from, array_to_string(list_filter(fs, lambda y: y <> name), ',') AS aliases, left(array_to_string({_FIRSTS.format("ds")}, '；'), 240) AS description FROM b""")
 def node_merge(spark, sf_dir):
+    """Every node and a second one under its name in capitals, with a description of its own."""
     nodes, _ = star(spark, sf_dir)
+    again = nodes.select("graph_id", (F.col("ord") * 2 + 1).alias("ord"), F.concat("id", F.lit("b")).alias("id"), F.upper("name").alias("name"), "type", F.concat(F.lit("again:"), "description").alias("description"))
+    nodes = nodes.withColumn("ord", F.col("ord") * 2).unionByName(again)
     rows = graph.merged_nodes(nodes, _groups(nodes)).filter("merged_from_node_ids is not null")
-    return rows.select("graph_id", "id", "name", F.array_join("merged_from_node_ids", ",").alias("merged_from"), F.array_join(F.filter("aliases", lambda x: F.lower(x) != F.lower(F.col("name"))), ",").alias("aliases"), F.lit("").alias("description"))
+    return rows.select("graph_id", "id", "name", F.array_join("merged_from_node_ids", ",").alias("merged_from"), F.array_join("aliases", ",").alias("aliases"), "description")
 
 
 @query(f"{_G}, {_GROUPS} SELECT e.graph_id, e.ord, coalesce(a.rep, source) AS source, coalesce(b.rep, target) AS target, relation FROM edges e LEFT JOIN map a ON a.graph_id = e.graph_id AND a.id = source LEFT JOIN map b ON b.graph_id = e.graph_id AND b.id = target")
@@ -479,13 +560,14 @@ def relation_histogram(spark, sf_dir):
     return graph.histogram(edges, "relation", fixed.VAGUE_RELATION)
 
 
-@query(f"{_G} SELECT graph_id, 0 AS node_source_chunk_count, count(DISTINCT source_chunk_id) AS edge_source_chunk_count FROM edges GROUP BY 1")
+@query(f"{_G} SELECT * FROM (SELECT graph_id, count(DISTINCT ord % 100) FILTER (ord % 3 > 0) AS node_source_chunk_count FROM nodes GROUP BY 1) JOIN (SELECT graph_id, count(DISTINCT source_chunk_id) AS edge_source_chunk_count FROM edges GROUP BY 1) USING (graph_id)")
 def source_counts(spark, sf_dir):
     nodes, edges = star(spark, sf_dir)
-    return graph.source_counts(nodes.withColumn("source_chunk_id", F.lit("")), edges)
+    chunk = F.when(F.col("ord") % 3 > 0, F.concat(F.lit("o"), (F.col("ord") % 100).cast("string"))).otherwise(" ")
+    return graph.source_counts(nodes.withColumn("source_chunk_id", chunk), edges)
 
 
-@query(f"{_G} SELECT graph_id, name, type, count(*) AS n FROM nodes GROUP BY 1, 2, 3 HAVING count(*) > 1")
+@query(f"{_G}, d AS (SELECT graph_id, name, type, count(*) AS n, min(ord) AS o FROM nodes GROUP BY 1, 2, 3 HAVING count(*) > 1) SELECT graph_id, name, type, n, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY n DESC, o) AS INTEGER) AS place FROM d")
 def duplicate_names(spark, sf_dir):
     nodes, _ = _small(*star(spark, sf_dir))
     return graph.duplicate_names(nodes)
@@ -584,13 +666,6 @@ def normalized_names(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", normalize_name(F.concat(F.col("p_partkey").cast("string"), F.lit(". "), "p_name", F.lit("  "), "p_brand")).alias("name"))
 
 
-@query("SELECT c_mktsegment, list_aggregate(list_sort(list_distinct(list(DISTINCT c_nationkey % 20))), 'count') AS n FROM customer GROUP BY 1")
-def ontology_names(spark, sf_dir):
-    """Distinct names of each segment, before the cap on them."""
-    rows = read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.collect_set(F.concat(F.lit(" k  "), (F.col("c_nationkey") % 20).cast("string"))).alias("names"))
-    return rows.select("c_mktsegment", F.size(graph.ontology(F.col("names"), 1000)).cast("long").alias("n"))
-
-
 # ---- conversations and plans ----
 
 
@@ -631,12 +706,12 @@ def project_search(spark, sf_dir):
 
 
 def _stage_sql(column: str) -> str:
-    names = ["chunk", "chunking", "final", "no such step", *workflow.STAGES]
+    names = ["chunk", "Text-Chunking", " final ", "no such step", *workflow.STAGES]
     return f"[{', '.join(map(_lit, names))}][1 + {column} % {len(names)}]"
 
 
-_STAGE_IDS = ["chunk", "chunking", "final", "no such step", *workflow.STAGES]
-_PLACES = {**{s: i for i, s in enumerate(workflow.STAGES)}, "chunk": 3, "final": 9}
+_STAGE_IDS = ["chunk", "Text-Chunking", " final ", "no such step", *workflow.STAGES]
+_PLACES = {**{s: i for i, s in enumerate(workflow.STAGES)}, "chunk": 3, "Text-Chunking": 3, " final ": 9}
 
 
 @query(f"""WITH s AS (SELECT conv_id AS plan_id, turn, {_stage_sql("(length(text) // 7)")} AS id FROM conversations),
@@ -664,3 +739,5 @@ def document_graphs(spark, sf_dir):
 def event_windows(spark, sf_dir):
     return ingest.event_windows(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
+
+from . import report_queries as _reports  # noqa: E402,F401 - registers the queries on plans, ontologies and reports

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import uni_trim
-
 
 def read_texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """doc_id (the file's name without suffix), path, text: a row for each file."""
@@ -20,6 +18,33 @@ def read_uploads(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFr
     return files.select(F.md5("path").alias("doc_id"), "path", "length", "modificationTime", "content")
 
 
+def write_files(rows: DataFrame, folder: str, suffix: str = ".pdf") -> None:
+    """A file in folder for each row (name, content) with a name of the suffix and some content; others are refused.
+
+    Tasks write through pyarrow.fs, under a name of their own that becomes the file's when it is whole, so
+    a repeated task is harmless.
+    """
+    import uuid
+
+    import pandas as pd
+
+    def each(batches):
+        from pyarrow import fs
+
+        to, path = fs.FileSystem.from_uri(folder)
+        to.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                part = f"{path}/.{uuid.uuid4().hex}"
+                with to.open_output_stream(part) as out:
+                    out.write(bytes(content))
+                to.move(part, f"{path}/{name}")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    sound = F.lower("name").endswith(suffix) & ~F.col("name").contains("/") & (F.length("content") > 0)
+    rows.filter(sound).select("name", "content").mapInPandas(each, "n long").agg(F.sum("n")).collect()
+
+
 def read_pages(uploads: DataFrame) -> DataFrame:
     """doc_id, page, text, ocr_text of PDF uploads, where PyMuPDF is installed on the workers."""
     import pandas as pd
@@ -68,5 +93,8 @@ def stale_outputs(spark: SparkSession, paths: list[str], current: str) -> DataFr
     return files.select("path", run.alias("run_id"), "length").filter((F.col("run_id") != "") & (F.lower("run_id") != current.lower()))
 
 
-def preview(docs: DataFrame, most: int = 12000):
-    return docs.select("doc_id", F.substring(uni_trim(F.col("text")), 1, most).alias("preview"))
+def retention(spark: SparkSession, paths: list[str], current: str) -> DataFrame:
+    """stale, n, length: how many files of other runs there are, and how many are kept."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    run = F.regexp_extract("path", r"/([0-9a-fA-F]{32})[^/]*$", 1)
+    return files.groupBy(((run != "") & (F.lower(run) != current.lower())).alias("stale")).agg(F.count("*").alias("n"), F.sum("length").alias("length"))
