@@ -55,8 +55,36 @@ def test_model_beats_base_on_repeated_phrases(documents):
     assert got and all(r["score"] > r["base_score"] for r in got)
 
 
+def test_probabilities_of_all_next_words_sum_to_one(documents):
+    """Over all known words, the end, and one unseen word, after each of them."""
+    model, _ = lm.train(documents(["a b a c", "b a b", "a a d", "d"] * 5))
+    hashed = {w: lm.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0] for w in "abcdz"} | {None: lm.END}
+    for before in (*"abcd", None):
+        own = np.array([hashed[w] for w in hashed], np.uint64)
+        both = lm.mix(np.full(len(own), hashed[before], np.uint64) * lm._PAIR[0] + own * lm._PAIR[1])
+        h = float(model.counts(lm.WORD, np.array([hashed[before]], np.uint64))[0])
+        plain = (model.counts(lm.WORD, own) + 1) / (model.n_tokens + model.n_distinct + 1)
+        p = (np.minimum(model.counts(lm.PAIR, both), h) + lm.MU * plain) / (h + lm.MU)
+        assert abs(p.sum() - 1) < 0.125  # a level stands for counts up to an eighth off
+
+
+def test_score_against_exact_counts(documents):
+    """The model by dictionaries, with counts quantised as the filter's levels are."""
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 13}" for k in range(i % 20)), "en", "a") for i in range(80)] + [(200, None, "en", "a"), (201, "", "en", "a"), (202, "unseen words here", "en", "a")]
+    train = [tokens(t) for i, t, _, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two = collections.Counter(w for t in train for w in t), collections.Counter(p for t in train for p in zip([None, *t], t, strict=False))
+    n, v = sum(one.values()), len(one)
+    about = lambda c: float(lm.COUNT[lm.level(np.array([c]))[0]]) if c else 0.0
+    got = {r["doc_id"]: r["score"] for r in lm.score(documents(rows)).collect()}
+    for i, text, _, _ in rows:
+        want = sum(math.log10((min(about(two[a, b]), about(one[a])) + lm.MU * (about(one[b]) + 1) / (n + v + 1)) / (about(one[a]) + lm.MU)) for a, b in zip([None, *tokens(text)], tokens(text), strict=False))
+        assert abs(got[i] - want) < 0.01 * abs(want) + 0.02, i
+
+
 def test_odd(odd):
-    assert lm.score(odd).count() == 8 and lm.score(odd.limit(0)).count() == 0
+    got = lm.score(odd).collect()
+    assert len(got) == 8 and lm.score(odd.limit(0)).count() == 0
+    assert sorted(r["n_tokens"] for r in got) == [1, 1, 1, 2, 2, 2, 7, 40_001] and all(r["score"] < 0 for r in got)
 
 
 def test_all_pairs_are_stored(documents, monkeypatch):
