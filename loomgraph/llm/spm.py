@@ -249,31 +249,47 @@ class Model:
         """Whether normalising does no more than escape spaces, and each character has pieces of its own."""
         return self.map is None and not self.squeeze and self.escape and bool(self.bytes) and self.anchor is not None
 
-    def _learn(self, unit: bytes, prefix: bool) -> int:
-        """The row of the table of units for a unit that isn't in it: ids, their spans in its bytes, digits, decoded."""
+    def _told(self, unit: bytes, prefix: bool) -> tuple[list[int], list[int], list[int], bytes]:
+        """A unit's ids, their spans in its bytes, and its decoded bytes."""
         text = unit.decode("utf-8", "replace")
         normal = (MARK if prefix else "") + text.replace(" ", MARK)
+        if MARK not in text and normal.rfind(MARK) < len(normal) - 1:
+            ids, starts, ends, at = [], [], [], -1 if prefix else 0
+            for piece in self._merge(normal):
+                i = self.ids.get(piece)
+                if i is None:
+                    break
+                # A mark is one byte of the text, or none if it is the prefix.
+                to = at + (len(piece) if piece.isascii() else len(piece.encode()) - 2 * piece.count(MARK))
+                ids.append(i)
+                starts.append(max(at, 0))
+                ends.append(max(to, 0))
+                at = to
+            else:  # pieces with their marks as spaces are the text again
+                return ids, starts, ends, unit
         raw = np.frombuffer(text.encode(), np.uint8)
         at = np.repeat(np.arange(len(raw)), np.where(raw == 32, 3, 1))
         start = np.concatenate([np.zeros(3 * prefix, int), at])
         end = np.concatenate([np.zeros(3 * prefix, int), at + 1])
         # In front of a mark the prefix is a unit's first mark; other units start with their own.
         ids = [i for u in _UNITS.findall(normal) for i in self._known(u)]
-        found, n = (ids, *self.spans(ids, normal, start, end)), self.filled
-        while n + len(ids) > self.flat.shape[1]:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)], axis=1)
-        if self.rows == len(self.size):
-            self.size, self.at = np.append(self.size, np.zeros_like(self.size)), np.append(self.at, np.zeros_like(self.at))
-        for k in range(3):
-            self.flat[k, n : n + len(ids)] = found[k]
-        row = self.rows
-        self.size[row], self.at[row] = len(ids), n
-        self.rows, self.filled = row + 1, n + len(ids)
-        self.told.append("".join([f"{i}," for i in ids]).encode())
+        a, b = self.spans(ids, normal, start, end)
         # Behind another piece a unit's leading space stays, as it does in the decoded whole.
-        self.text.append((self.processor.decode(ids) if prefix else self.processor.decode([self.anchor, *ids])[1:]).encode())
-        self.known[prefix][unit] = row
-        return row
+        decoded = self.processor.decode(ids) if prefix else self.processor.decode([self.anchor, *ids])[1:]
+        return ids, a.tolist(), b.tolist(), decoded.encode()
+
+    def _learn(self, units: list[bytes], prefix: bool) -> None:
+        """Add units to the table: ids, their spans in the unit's bytes, digits, decoded."""
+        known, some = self.known[prefix], [self._told(u, prefix) for u in units]
+        for row, (u, (ids, _, _, decoded)) in enumerate(zip(units, some, strict=True), self.rows):
+            known[u] = row
+            self.told.append(",".join(map(str, ids)).encode() + b",")
+            self.text.append(decoded)
+        size = np.array([len(x[0]) for x in some], np.int64)
+        self.size = np.append(self.size, size)
+        self.at = np.append(self.at, self.filled + np.cumsum(size) - size)
+        self.flat = np.concatenate([self.flat, np.array([[i for x in some for i in x[k]] for k in range(3)], np.int64).reshape(3, -1)], axis=1)
+        self.rows, self.filled = self.rows + len(units), self.filled + int(size.sum())
 
     def encode_many(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.LargeBinaryArray, pa.LargeBinaryArray]:
         """(ids, starts, ends, bounds, digits, decoded) of texts that lie end to end; only for plain models.
@@ -304,12 +320,14 @@ class Model:
         names = _values(units.dictionary)
         rows = list(map(self.known[False].get, names))
         if None in rows:
-            rows = [self._learn(u, False) if row is None else row for u, row in zip(names, rows, strict=True)]
+            self._learn([u for u, row in zip(names, rows, strict=True) if row is None], False)
+            rows = list(map(self.known[False].get, names))
         if self.prefix:  # the first unit of a text has the dummy prefix
             at_head = np.searchsorted(cuts, heads)
             some, of = np.unique(kind[at_head], return_inverse=True)
-            known = self.known[True]
-            rows += [known[u] if u in known else self._learn(u, True) for u in [names[k] for k in some.tolist()]]
+            first = [names[k] for k in some.tolist()]
+            self._learn([u for u in first if u not in self.known[True]], True)
+            rows += [self.known[True][u] for u in first]
             kind[at_head] = len(names) + of
         pick = pa.array(kind)
         digits, decoded = (pa.array([x[row] for row in rows], pa.large_binary()).take(pick) for x in (self.told, self.text))
@@ -326,7 +344,7 @@ class Model:
 
     def _forget(self) -> None:
         self.rows = self.filled = 0
-        self.size, self.at, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros((3, 1 << 14), np.int64)
+        self.size, self.at, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((3, 0), np.int64)
         self.told, self.text, self.known = [], [], ({}, {})
 
 
