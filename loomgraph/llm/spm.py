@@ -34,7 +34,9 @@ from .tokens import chunks
 MARK = "▁"
 _MARK = MARK.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MAX_MEMO = 300_000
+#: Rows of a worker's table of units: some 300 bytes each.
+MAX_MEMO = 1_000_000
+_NONE = float("inf")
 
 
 class CharsMap:
@@ -98,6 +100,7 @@ class Model:
         self.width = np.array([len(p.piece.encode()) if k == NORMAL else 1 for p, k in zip(proto.pieces, kinds, strict=True)])
         self.memo: dict[str, tuple[int, ...]] = {}
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=blob)
+        self.widths = {p: (i, len(p.encode()) - 2 * p.count(MARK)) for p, i in self.ids.items()}
         # A piece that decodes to one character.
         self.anchor = next((i for p, i in self.ids.items() if len(p) == 1 and p != MARK), None)
         self._forget()
@@ -158,20 +161,17 @@ class Model:
         rank, parts = self.rank, list(unit)
         if len(parts) > 48:
             return self._merge_long(parts)
-        scores = [rank.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            best, at = None, -1
-            for i, s in enumerate(scores):
-                if s is not None and (best is None or s < best):
-                    best, at = s, i
-            if at < 0:
-                return parts
+        get = rank.get
+        scores = [get(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := min(scores)) != _NONE:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del scores[at]
             if at < len(scores):
-                scores[at] = rank.get(parts[at] + parts[at + 1])
+                scores[at] = get(parts[at] + parts[at + 1], _NONE)
             if at:
-                scores[at - 1] = rank.get(parts[at - 1] + parts[at])
+                scores[at - 1] = get(parts[at - 1] + parts[at], _NONE)
+        return parts
 
     def _merge_long(self, parts: list[str | None]) -> list[str]:
         """The same by a heap over a linked list: n log n, for units without a space of any length."""
@@ -256,16 +256,17 @@ class Model:
         if MARK not in text and normal.rfind(MARK) < len(normal) - 1:
             ids, starts, ends, at = [], [], [], -1 if prefix else 0
             for piece in self._merge(normal):
-                i = self.ids.get(piece)
-                if i is None:
-                    break
                 # A mark is one byte of the text, or none if it is the prefix.
-                to = at + (len(piece) if piece.isascii() else len(piece.encode()) - 2 * piece.count(MARK))
+                i, width = self.widths.get(piece, _NO_PIECE)
+                if i < 0:
+                    break
                 ids.append(i)
-                starts.append(max(at, 0))
-                ends.append(max(to, 0))
-                at = to
+                starts.append(at)
+                at += width
+                ends.append(at)
             else:  # pieces with their marks as spaces are the text again
+                if prefix:
+                    starts, ends = [max(x, 0) for x in starts], [max(x, 0) for x in ends]
                 return ids, starts, ends, unit
         raw = np.frombuffer(text.encode(), np.uint8)
         at = np.repeat(np.arange(len(raw)), np.where(raw == 32, 3, 1))
@@ -288,7 +289,7 @@ class Model:
         size = np.array([len(x[0]) for x in some], np.int64)
         self.size = np.append(self.size, size)
         self.at = np.append(self.at, self.filled + np.cumsum(size) - size)
-        self.flat = np.concatenate([self.flat, np.array([[i for x in some for i in x[k]] for k in range(3)], np.int64).reshape(3, -1)], axis=1)
+        self.flat = np.concatenate([self.flat, np.array([[i for x in some for i in x[k]] for k in range(3)], np.int32).reshape(3, -1)], axis=1)
         self.rows, self.filled = self.rows + len(units), self.filled + int(size.sum())
 
     def encode_many(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.LargeBinaryArray, pa.LargeBinaryArray]:
@@ -344,7 +345,7 @@ class Model:
 
     def _forget(self) -> None:
         self.rows = self.filled = 0
-        self.size, self.at, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((3, 0), np.int64)
+        self.size, self.at, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((3, 0), np.int32)
         self.told, self.text, self.known = [], [], ({}, {})
 
 
@@ -364,6 +365,9 @@ def _runs(values: pa.LargeBinaryArray, bounds: np.ndarray) -> pa.LargeBinaryArra
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+_NO_PIECE = (-1, 0)
+
+
 @lru_cache(2)
 def _loaded(blob: bytes) -> Model:
     return Model(blob)
