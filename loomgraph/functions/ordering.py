@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import written
 
-RANGES = 64
-
 
 def keep_first(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """The first row of each key by order; combined before the shuffle, so repeated keys cost little."""
@@ -17,18 +15,24 @@ def keep_first(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFram
     return first.select(*keys, *[F.col("_first")[c].alias(c) for c in rest]).select(*rows.columns)
 
 
-def numbered(rows: DataFrame, by: list[str], order: str = "ord", out: str = "n") -> DataFrame:
-    """rows with their number from 1 in each group, by order (a distinct number in each group).
+def numbered(rows: DataFrame, by: list[str], order: str | list[str] = "ord", out: str = "n", total: str | None = None) -> DataFrame:
+    """rows with their number from 1 in each group, by order (distinct in each group; a column or several).
+
+    total names a column for the number of rows in the group, if it is wanted.
 
-    Each group is cut at quantiles of order; a running sum over the pieces' sizes gives where each piece
-    starts, so the numbering of one large group is shared by up to RANGES tasks. The rows are read three
-    times, so they are written first.
+    The rows are dealt out once, by ranges of group and order, and written in that order with their place:
+    a large group spans many ranges, a range holds many small groups. What a group has in the ranges before
+    is a running sum over one row for each group and range. A null group is a group.
     """
-    rows = written(rows, "numbered")
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("_cuts"))
-    cut = rows.join(cuts, by).withColumn("_piece", F.size(F.filter("_cuts", lambda x: x <= F.col(order)))).drop("_cuts")
-    sizes = cut.groupBy(*by, "_piece").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*by, "_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(order))
-    return cut.join(starts, [*by, "_piece"]).withColumn(out, own + F.col("_start")).drop("_piece", "_start")
+    keys = [*by, *([order] if isinstance(order, str) else order)]
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = written(ranged.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    spans = ranged.groupBy("_range", *by).agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    add = (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1).alias("_add")
+    sums = [F.sum("_size").over(Window.partitionBy(*by)).alias(total)] if total else []
+    starts = spans.select(F.col("_range").alias("_in"), *[F.col(c).alias(f"_of_{c}") for c in by], add, *sums)
+    same = F.col("_range") == F.col("_in")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return ranged.join(starts, same).withColumn(out, F.col("_at") + F.col("_add")).select(*rows.columns, out, *([total] if total else []))
