@@ -90,4 +90,67 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
-ORACLE_SQL = {"op2_minhash": OP2, "op6_mix": OP6, "op8_warc": OP8, "op10_licenses": _op10()}
+OP11 = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+#: CRC-32 of ASCII and Latin texts, a byte at a time: the table from its rule, then a fold over the bytes.
+_CRC_TABLE = "crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i)))"
+
+
+def _crc(text: str) -> str:
+    """Of a text's UTF-8 bytes, with crc_table's t in reach."""
+    hexes = f"hex(encode({text}))"
+    each = f"list_transform(range(octet_length(encode({text}))), lambda k: CAST('0x' || substr({hexes}, 2 * k + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {each}), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+OP12 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+o AS (SELECT id, run, count(*) AS times FROM r WHERE length(run) >= 6 GROUP BY id, run),
+h AS (SELECT run, times, {_crc("id || ':' || run")} AS h FROM o, crc_table),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(times) AS BIGINT) AS n FROM h GROUP BY 1),
+w AS (SELECT word, n, length(word) AS l FROM v WHERE length(word) >= 6 AND n >= 5),
+gaps AS (SELECT word, n, l, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS same, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT *, unnest(range(1, l + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.same = b.same AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM gaps a JOIN w b ON a.less = b.word UNION SELECT b.word, a.word, a.n FROM gaps a JOIN w b ON a.less = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM w LEFT JOIN best USING (word)),
+chain(word, last) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.last AS root, f.n, f.n_near, f.form_n FROM f JOIN chain c ON c.word = f.word JOIN f e ON e.word = c.last AND e.form IS NULL
+"""
+
+
+def _leaf(n_chars: str = "n_chars") -> str:
+    each = [f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')" for x in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(each)})"
+
+
+def _levels(of: str, by: str) -> str:
+    """All nodes above those of a table ({by}, pos, h, n): the levels of every group, a parent for every two."""
+    pair = f"SELECT {by}, lvl, pos, h, n, lead(h) OVER (PARTITION BY {by} ORDER BY pos) AS h2 FROM {{0}} WHERE n > 1"
+    return f"SELECT {by}, 0 AS lvl, pos, h, n FROM {of} UNION ALL SELECT {by}, lvl + 1, pos // 2, sha256(h || coalesce(h2, '')), (n + 1) // 2 FROM ({pair}) WHERE pos % 2 = 0"
+
+
+OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf()} AS leaf, {_leaf(f"CASE WHEN {_crc('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN n_chars + 1 ELSE n_chars END")} AS changed FROM documents, crc_table),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM d),
+low(g, lvl, pos, h, n) AS ({_levels("l", "g").format("low")}),
+s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, 0 AS one FROM low WHERE n = 1),
+high(one, lvl, pos, h, n) AS ({_levels("s", "one").format("high")}),
+steps(g, doc_id, leaf, lvl, pos, n, f, proof) AS (
+    SELECT g, doc_id, leaf, 0, pos, n, changed, '' FROM l
+    UNION ALL SELECT t.g, doc_id, leaf, t.lvl + 1, t.pos // 2, (t.n + 1) // 2, sha256(CASE WHEN t.pos % 2 = 1 THEN coalesce(x.h, '') || f ELSE f || coalesce(x.h, '') END), proof || coalesce(x.h, '')
+    FROM steps t LEFT JOIN low x ON x.g = t.g AND x.lvl = t.lvl AND x.pos = xor(t.pos, 1) WHERE t.n > 1),
+more(g, doc_id, leaf, lvl, pos, n, f, proof) AS (
+    SELECT t.g, doc_id, leaf, 0, s.pos, s.n, f, proof FROM steps t JOIN s ON s.g = t.g WHERE t.n = 1
+    UNION ALL SELECT t.g, doc_id, leaf, t.lvl + 1, t.pos // 2, (t.n + 1) // 2, sha256(CASE WHEN t.pos % 2 = 1 THEN coalesce(x.h, '') || f ELSE f || coalesce(x.h, '') END), proof || coalesce(x.h, '')
+    FROM more t LEFT JOIN high x ON x.lvl = t.lvl AND x.pos = xor(t.pos, 1) WHERE t.n > 1)
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified
+FROM more JOIN s ON s.g = more.g, (SELECT h FROM high WHERE n = 1) r WHERE more.n = 1
+"""
+
+ORACLE_SQL = {"op2_minhash": OP2, "op6_mix": OP6, "op8_warc": OP8, "op10_licenses": _op10(), "op11_exact_dedup": OP11, "op12_spelling": OP12, "op13_merkle": OP13}

@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import neighbours
+from .exact import groups
 from .fingerprint import fingerprints
 from .langid import identify
 from .licenses import scan
 from .lm import score
+from .merkle import verification
 from .minhash import near_duplicates
 from .mixing import mix
 from .oracles import ORACLE_SQL
 from .runtime import table
 from .spm import DIGESTS, encode, read_model
+from .spelling import spelling
 from .suffix import removal
 from .warc import round_trip
 
@@ -69,6 +72,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("blocks", "runs")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(table(spark, sf_dir, "documents")).drop("uid")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_minhash": op2_minhash,
@@ -80,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_langid": op9_langid,
     "op10_licenses": op10_licenses,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_spelling": op12_spelling,
+    "op13_merkle": op13_merkle,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "tokenizer"]
