@@ -8,7 +8,6 @@ the columns that they name.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +15,8 @@ from pyspark.sql import types as T
 from ..functions import fixed
 from ..functions.ordering import keep_first, numbered
 from ..functions.text import collapse_space, nonblank_or, normalize_name, plain, truncated
+from ..sources.tables import written
+from .packing import IN_ONE, packed
 
 # ---- repair and constraints ----
 
@@ -175,34 +176,23 @@ def proposed_merges(nodes: DataFrame) -> DataFrame:
     return groups.select("graph_id", "group_ord", F.col("all")[0]["name"].alias("canonical_name"), F.transform("all", lambda x: x["id"]).alias("node_ids"), F.lit("same name").alias("reason"))
 
 
-def validated_groups(groups: DataFrame, members: str, names: str, single_differs: bool = False) -> DataFrame:
+def validated_groups(groups: DataFrame, members: str, names: str, single_differs: bool = False, in_one: int = IN_ONE) -> DataFrame:
     """Groups with members of earlier accepted groups dropped, if two or more are left.
 
-    Groups that share no member with another are judged one by one. A group that fails doesn't use its
-    members up, so for the others the outcome depends on all groups before: those of one graph run in order
-    in a task. single_differs: a group of one member stays if it differs from the group's name.
+    Groups that share no member with another are judged one by one, those that do by packing.packed(), where
+    no graph's groups are one task's. single_differs: a group of one member stays if it differs from the
+    group's name. Null members don't count.
     """
-
-    def each(graph: pd.DataFrame) -> pd.DataFrame:
-        graph = graph.sort_values("group_ord")
-        used, keep = set(), []
-        for at, name, some in zip(graph.index, graph[names], graph[members], strict=True):
-            left = [x for x in dict.fromkeys(some) if x not in used]
-            if name and (len(left) > 1 or (single_differs and len(left) == 1 and left[0] != name)):
-                used.update(left)
-                keep.append((at, left))
-        out = graph.loc[[at for at, _ in keep]].copy()
-        out[members] = [left for _, left in keep]
-        return out
-
-    rows = groups.withColumn(names, truncated(collapse_space(F.coalesce(names, F.lit(""))), fixed.NAME_TEXT))
-    each_one = rows.select("graph_id", "group_ord", F.explode(F.array_distinct(members)).alias("_member"))
-    shared = each_one.groupBy("graph_id", "_member").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    clash = each_one.join(shared, ["graph_id", "_member"], "left_semi").select("graph_id", "group_ord").distinct()
-    own = rows.join(clash, ["graph_id", "group_ord"], "left_anti").withColumn(members, F.array_distinct(members))
+    rows = groups.withColumns({names: truncated(collapse_space(F.coalesce(names, F.lit(""))), fixed.NAME_TEXT), members: F.array_compact(F.array_distinct(members))})
+    each_one = rows.select("graph_id", "group_ord", F.col(names).alias("name"), F.posexplode(members).alias("pos", "member"))
+    shared = each_one.groupBy("graph_id", "member").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    clash = written(each_one.join(shared, ["graph_id", "member"], "left_semi").select("graph_id", "group_ord").distinct(), "clashes")
+    own = rows.join(clash, ["graph_id", "group_ord"], "left_anti")
     size = F.size(members)
     sound = (F.col(names) != "") & ((size > 1) | ((size == 1) & (F.get(members, F.lit(0)) != F.col(names)) if single_differs else F.lit(False)))
-    return own.filter(sound).select(*rows.columns).unionByName(rows.join(clash, ["graph_id", "group_ord"], "left_semi").select(*rows.columns).groupBy("graph_id").applyInPandas(each, rows.schema))
+    left = packed(each_one.join(clash, ["graph_id", "group_ord"], "left_semi"), single_differs, in_one).withColumnRenamed("members", "_left")
+    late = rows.join(left, ["graph_id", "group_ord"]).withColumn(members, F.col("_left")).select(*rows.columns)
+    return own.filter(sound).select(*rows.columns).unionByName(late)
 
 
 def merge_map(groups: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions.json import json_candidate
+from .functions.ordering import numbered
 from .functions.text import meaningful_chars, normalize_characters, normalize_name
-from .operators import chunking, conversation, graph, lines, quality, rag, structure
+from .operators import blocks, chunking, conversation, graph, lines, quality, rag, structure
 from .plans import document_graph, workflow
 from .sources.star_graph import SQL as STAR
 from .sources.star_graph import graph as star
@@ -403,6 +404,12 @@ def vector_topk_batch(spark, sf_dir):
     return rag.top_k_batch(index, index.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
+@query(ORACLE_SQL["vector_topk_batch"])
+def vector_topk_pruned(spark, sf_dir):
+    index = read(spark, sf_dir, "embeddings")
+    return blocks.top_k_pruned(index, index.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), rag.clamp_k(None))
+
+
 @query(f"SELECT conv_id, turn, {_lit(fixed.QUERY_PREFIX)} || {_trim('text')} AS query FROM conversations WHERE role = 'user' AND {_trim('text')} <> ''")
 def query_texts(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").filter("role = 'user'")
@@ -741,3 +748,26 @@ def event_windows(spark, sf_dir):
 
 
 from . import report_queries as _reports  # noqa: E402,F401 - registers the queries on plans, ontologies and reports
+
+
+#: Groups of a nation's customers in chains: each shares its first member with the group before, every fifth has a member that many have, some have no name.
+_CHAINED = """SELECT CAST(c_nationkey AS STRING) AS graph_id, c_custkey AS group_ord, CASE WHEN c_custkey % 23 = 0 THEN '' ELSE c_name END AS canonical_name, c_custkey AS k FROM {customer}"""
+_PACKED = """
+WITH RECURSIVE c AS (SELECT CAST(c_nationkey AS VARCHAR) AS g, c_custkey AS k, CASE WHEN c_custkey % 23 = 0 THEN '' ELSE c_name END AS name, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS i FROM customer),
+m AS (SELECT g, k, name, i, list_concat(['m' || i, 'm' || (i + 1)], CASE WHEN i % 5 = 0 THEN ['hot', 'n' || k] ELSE [] END) AS members FROM c),
+run(g, i, used, k, members, ok) AS (
+    SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), false FROM m
+    UNION ALL SELECT g, i, CASE WHEN ok THEN list_concat(used, kept) ELSE used END, k, kept, ok
+    FROM (SELECT *, name <> '' AND len(kept) > 1 AS ok FROM (SELECT m.g, m.i, r.used, m.k, m.name, list_filter(m.members, lambda x: NOT list_contains(r.used, x)) AS kept FROM run r JOIN m ON m.g = r.g AND m.i = r.i + 1)))
+SELECT g AS graph_id, k AS group_ord, array_to_string(members, ',') AS members FROM run WHERE ok
+"""
+
+
+@query(_PACKED)
+def merge_group_packing(spark, sf_dir):
+    """The packing by rounds of joins alone, whatever the size."""
+    rows = numbered(spark.sql(_CHAINED, customer=read(spark, sf_dir, "customer")), ["graph_id"], "group_ord", "i")
+    name = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    more = F.when(F.col("i") % 5 == 0, F.array(F.lit("hot"), name("n", F.col("k")))).otherwise(F.array().cast("array<string>"))
+    groups = rows.withColumn("node_ids", F.concat(F.array(name("m", F.col("i")), name("m", F.col("i") + 1)), more)).drop("i", "k")
+    return graph.validated_groups(groups, "node_ids", "canonical_name", in_one=0).select("graph_id", "group_ord", F.array_join("node_ids", ",").alias("members"))
