@@ -89,7 +89,8 @@ class BlockIndex:
         rows = self._with_ring(placed).join(F.broadcast(self.rings.select("cell", "ring", "shares")), ["cell", "ring"])
         rows = rows.withColumn("block", F.concat_ws("-", "cell", "ring", F.pmod(F.xxhash64("key"), F.col("shares"))))
         packs = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "v"))).alias("rows"))
-        name, buckets = f"blocks_{uuid.uuid4().hex}", max(1, min(4096, -(-self.n // (ROWS * 8))))
+        # Fewer buckets than Spark's partitions would have it deal the index out anew for more tasks.
+        name, buckets = f"blocks_{uuid.uuid4().hex}", min(50_000, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.n // (ROWS * 8))))
         packs.write.bucketBy(buckets, "block").option("path", shared_path(self.spark, "blocks")).saveAsTable(name)
         return self.spark.table(name)
 
