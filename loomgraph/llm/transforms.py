@@ -1,14 +1,18 @@
 """Merging shards' Burrows-Wheeler transforms of byte strings, as far as a given depth.
 
 Strings are read in symbols of a few bytes that overlap: the symbol at a place is the bytes from there
-on, and the suffix at a place continues with the suffix one symbol further. transform() sorts the suffixes
-of each shard by themselves, by doubling the depth that their ranks stand for. merged() then finds the
-interleave of the shards' transforms: it starts with the shards one after another, all in one block, and
-each pass deals the rows out by the symbol in front of them, keeping their order, so that after h passes
-rows stand in the order of their first h symbols and a block holds the rows that share these. Where a
-block first splits is the common prefix of the rows on either side. A block with rows of one shard only is
-settled, as that shard's transform has its order and common prefixes already, and so is a single row: both
-are left out of later passes. Suffixes are never sorted across shards, and comparisons are of bytes.
+on, and the suffix at a place continues with the suffix one symbol further. A Transform holds one shard's
+suffixes in order, as far as the depth, with the symbol that each begins with and the row that it continues in
+(the inverse of the transform's last-to-first mapping).
+
+merge() finds the interleave of the shards' transforms. First the columns of first symbols meet, each sorted
+already. Each pass then takes a row's block so far together with the block of the row that it continues in:
+after h passes rows stand in the order of their first h symbols, and a block holds the rows that share these.
+Along a shard's own order these pairs never fall, so a pass is a merge of sorted columns, by counting how many
+rows of each other shard come before: no pass sorts, and a shard whose rows are out of order gives wrong blocks.
+Where a block splits is the common prefix of the rows on either side. A block with rows of one shard only is
+settled, as that shard's transform has the order and common prefixes in it: later passes leave it out, and its
+place in the interleave stands for it.
 """
 
 from __future__ import annotations
@@ -18,98 +22,141 @@ import numpy as np
 SYMBOL = 8
 
 
-def _dense(values: np.ndarray) -> np.ndarray:
-    """Ranks from 0, equal ones for equal values."""
-    order = np.argsort(values)
-    some = values[order]
-    rank = np.empty(len(values), np.int64)
-    rank[order] = np.cumsum(np.append(0, some[1:] != some[:-1])) if len(some) else 0
-    return rank
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal neighbours begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
 
 
-class Shards:
-    """Byte strings, each of one shard, with the symbols at all their places.
+class Transform:
+    """The sorted suffixes of one shard's strings."""
 
-    Places count through all strings, which lie end to end in the order given.
-    """
+    def __init__(self, strings: list[bytes], step: int, depth: int):
+        sizes = np.array([len(x) for x in strings], np.int64)
+        ends = np.cumsum(sizes)
+        self.which = np.repeat(np.arange(len(strings)), sizes)
+        self.n = n = int(sizes.sum())
+        self.place = np.arange(n) - np.repeat(ends - sizes, sizes)
+        data = np.frombuffer(b"".join(strings) + bytes(step), np.uint8).astype(np.uint64)
+        words = np.zeros(n, np.uint64)
+        for k in range(step):
+            words = words << np.uint64(8) | data[k : n + k]
+        after = np.arange(n) + step
+        limit = ends[self.which] if n else ends[:0]
+        # What is left at a string's end is shorter than a symbol: it is like nothing else, and sorted last.
+        tail = after > limit
+        self.order, tied = self._sorted(words, tail, after, limit, step, depth)
+        row = np.empty(n, np.int64)
+        row[self.order] = np.arange(n)
+        self.whole = n - int(tail.sum())
+        self.first = words[self.order][: self.whole]
+        there = after[self.order]
+        self.follow = np.where(there < limit[self.order], row[np.minimum(there, max(0, n - 1))], -1)
+        #: Whether a row shares the whole depth with the one before or behind it.
+        self.tied = tied
 
-    def __init__(self, strings: list[bytes], shard: np.ndarray, length: int):
-        self.step = next(s for s in range(SYMBOL, 0, -1) if length % s == 0)
-        self.depth = length // self.step
-        self.sizes = np.array([len(x) for x in strings], np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.starts = self.ends - self.sizes
-        self.n = int(self.sizes.sum())
-        self.which = np.repeat(np.arange(len(strings)), self.sizes)
-        self.shard = np.asarray(shard, np.int64)[self.which]
-        self.windows = np.maximum(self.sizes - length + 1, 0)
-        data = np.frombuffer(b"".join(strings) + bytes(self.step), np.uint8).astype(np.uint64)
-        words = np.zeros(self.n, np.uint64)
-        for k in range(self.step):
-            words = words << np.uint64(8) | data[k : self.n + k]
-        self.symbol = _dense(words)
-        # What is left at a string's end is shorter than a symbol and like nothing else.
-        cut = np.arange(self.n) + self.step > self.ends[self.which]
-        self.symbol[cut] = self.n + np.flatnonzero(cut)
-
-    def transform(self) -> np.ndarray:
-        """Of each place: the rank of its suffix in its shard, as far as the depth; equal ones share a rank."""
-        rank = _dense(self.shard * (2 * self.n + 1) + self.symbol)
-        rank = (np.cumsum(np.bincount(rank, minlength=self.n)) - np.bincount(rank, minlength=self.n))[rank]
-        depth, left = 1, np.arange(self.n)
-        while depth < self.depth:
-            far = min(depth, self.depth - depth)
-            count = np.bincount(rank, minlength=self.n)
-            left = left[count[rank[left]] > 1]
+    @staticmethod
+    def _sorted(words: np.ndarray, tail: np.ndarray, after: np.ndarray, limit: np.ndarray, step: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the order of their suffixes, whether each is alike with a neighbour), by doubling the depth that ranks stand for."""
+        n = len(words)
+        order = np.lexsort((words, tail))
+        some = words[order]
+        rank = np.empty(n, np.int64)
+        new = np.append(True, (some[1:] != some[:-1]) | tail[order][1:])[:n]
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        known = 1
+        left = np.arange(n)
+        while known < depth:
+            far = min(known, depth - known)
+            left = left[np.bincount(rank, minlength=n)[rank[left]] > 1]
             if not len(left):
                 break
-            # Equal at this depth, so none ends before it: the rank further on tells them apart. Where a
-            # string ends just there, nothing follows; such a row is like no other.
-            after = left + far * self.step
-            inside = after < self.ends[self.which[left]]
-            second = np.where(inside, rank[np.minimum(after, self.n - 1)], self.n + left)
-            order = np.argsort(rank[left] * (2 * self.n + 1) + second)
-            first, then = rank[left][order], second[order]
-            new = np.append(True, (first[1:] != first[:-1]) | (then[1:] != then[:-1]))
-            head = np.append(True, first[1:] != first[:-1])
-            # A rank is where its rows start in the shard's order: those in front of the old rank, and of this block.
-            at = np.arange(len(left)) - np.maximum.accumulate(np.where(head, np.arange(len(left)), 0))
-            place = np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))
-            fresh = rank.copy()
-            fresh[left[order]] = first + at[place]
-            rank, depth = fresh, depth + far
-        return rank
-
-    def merged(self) -> np.ndarray:
-        """Of each place: how many symbols its suffix shares with one of another shard, counted up to the depth; for places where a window starts."""
-        common = np.zeros(self.n, np.int64)
-        length = self.depth * self.step
-        # Only rows a window's length behind a string's start can grow to a whole window.
-        row = np.concatenate([np.arange(a + length, a + length + w) for a, w in zip(self.starts, self.windows, strict=True) if w] or [np.zeros(0, np.int64)])
-        shard = self.shard[row - length]
-        order = np.argsort(shard, kind="stable")
-        row, shard, block = row[order], shard[order], np.zeros(len(row), np.int64)
-        for depth in range(1, self.depth + 1):
-            if not len(row):
-                break
-            front = self.symbol[row - self.step]
-            order = np.sort(front << 32 | np.arange(len(row))) & 0xFFFFFFFF
-            row, shard, block, front = row[order] - self.step, shard[order], block[order], front[order]
-            new = np.append(True, (front[1:] != front[:-1]) | (block[1:] != block[:-1]))
-            block = np.cumsum(new) - 1
-            first = np.flatnonzero(new)
-            mixed = np.minimum.reduceat(shard, first) != np.maximum.reduceat(shard, first)
-            open_ = mixed[block]
-            common[row[~open_] - (self.depth - depth) * self.step] = depth - 1
-            row, shard, block = row[open_], shard[open_], block[open_]
-        common[row] = self.depth
-        return common
+            # Equal so far, so none ends before: the rank further on tells them apart, or that a string ends just there.
+            there = after[left] + (far - 1) * step
+            second = np.where(there < limit[left], rank[np.minimum(there, n - 1)], n + left)
+            by = np.argsort(rank[left] * (2 * n + 1) + second)
+            one, two = rank[left][by], second[by]
+            head = np.maximum.accumulate(np.where(np.append(True, one[1:] != one[:-1]), np.arange(len(left)), 0))
+            split = np.maximum.accumulate(np.where(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])), np.arange(len(left)), 0))
+            # A rank is where its rows start in the shard's order.
+            rank[left[by]] = one + split - head
+            known += far
+        order = np.argsort(rank, kind="stable")
+        return order, np.bincount(rank, minlength=n)[rank[order]] > 1 if n else np.zeros(0, bool)
+
+
+def _meet(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of every row of sorted columns: (how many rows of all columns have a smaller value, whether another column has its value)."""
+    first = [_starts(c) for c in columns]
+    values = [c[f] for c, f in zip(columns, first, strict=True)]
+    bounds = [np.append(f, len(c)) for c, f in zip(columns, first, strict=True)]
+    before, shared = [], []
+    for s, mine in enumerate(values):
+        count, met = first[s].copy(), np.zeros(len(mine), bool)
+        for t, other in enumerate(values):
+            if t != s and len(other) and len(mine):
+                at = np.searchsorted(other, mine)
+                count += bounds[t][at]
+                met |= other[np.minimum(at, len(other) - 1)] == mine
+        size = np.diff(bounds[s])
+        before.append(np.repeat(count, size))
+        shared.append(np.repeat(met, size))
+    return before, shared
+
+
+def merge(shards: list[Transform], depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(the place of each row's block in the interleave, how many symbols the row shares with one of another shard, up to depth), by shard."""
+    n = sum(x.n for x in shards)
+    base = np.cumsum([0, *[x.n for x in shards]])
+    blocks, shared = _meet([x.first for x in shards])
+    # Behind all whole symbols: what is left at strings' ends, each a block.
+    behind = sum(x.whole for x in shards)
+    for s, x in enumerate(shards):
+        blocks[s] = np.append(blocks[s], behind + np.arange(x.n - x.whole))
+        behind += x.n - x.whole
+    rows = [np.flatnonzero(x) for x in shared]
+    common = [np.zeros(x.n, np.int64) for x in shards]
+    for some, at in zip(common, rows, strict=True):
+        some[at] = 1
+    for h in range(1, depth):
+        if not any(map(len, rows)):
+            break
+        was = [b[r] for b, r in zip(blocks, rows, strict=True)]
+        # A suffix that ends here is like no other, and behind those that go on.
+        then = [np.where(x.follow[r] >= 0, b[x.follow[r]], n + base[s] + r) for s, (x, b, r) in enumerate(zip(shards, blocks, rows, strict=True))]
+        before, shared = _meet([a * (2 * n + 1) + c for a, c in zip(was, then, strict=True)])
+        start, _ = _meet(was)
+        for s, r in enumerate(rows):
+            blocks[s][r] = was[s] + before[s] - start[s]
+            common[s][r[shared[s]]] = h + 1
+        rows = [r[m] for r, m in zip(rows, shared, strict=True)]
+    return blocks, common
+
+
+class Shards:
+    """Byte strings, each of one shard, and the windows of `length` bytes in them."""
+
+    def __init__(self, strings: list[bytes], shard: np.ndarray, length: int):
+        step = next(s for s in range(SYMBOL, 0, -1) if length % s == 0)
+        self.depth, self.length = length // step, length
+        shard = np.asarray(shard)
+        self.of = [np.flatnonzero(shard == s) for s in np.unique(shard)]
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self.transforms = [Transform([strings[i] for i in some], step, self.depth) for some in self.of]
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the string, place in it) of the windows that also start elsewhere, in order."""
-        rank, common = self.transform(), self.merged()
-        at = np.arange(self.n) - self.starts[self.which]
-        window = at < self.windows[self.which]
-        alike = np.bincount(rank, minlength=self.n)[rank] > 1
-        hit = np.flatnonzero(window & (alike | (common == self.depth)))
-        return self.which[hit], at[hit]
+        """(number of the string, place in it) of the windows that also start elsewhere, in order.
+
+        These are the rows whose prefix in common with a neighbour in the interleave reaches the depth: with
+        a row of another shard by the merge, or with one of the same shard by its transform.
+        """
+        _, common = merge(self.transforms, self.depth)
+        which, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, some, shared in zip(self.transforms, self.of, common, strict=True):
+            at = x.order[(shared == self.depth) | x.tied]
+            string = some[x.which[at]]
+            inside = x.place[at] + self.length <= self.sizes[string]
+            which.append(string[inside])
+            place.append(x.place[at][inside])
+        which, place = np.concatenate(which), np.concatenate(place)
+        by = np.lexsort((place, which))
+        return which[by], place[by]

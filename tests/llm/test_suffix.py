@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import suffix
-from loomgraph.llm.transforms import Shards
+from loomgraph.llm.transforms import Shards, merge
 
 
 def brute(texts, length):
@@ -87,12 +87,60 @@ def test_merged_transforms_against_all_pairs():
                 seen.setdefault(x[k : k + length], []).append((i, k))
         which, place = shards.repeated()
         assert list(zip(which.tolist(), place.tolist(), strict=True)) == sorted(w for v in seen.values() if len(v) > 1 for w in v)
-        rank = shards.transform()
-        for b in set(shards.shard.tolist()):  # each shard's ranks are those of its own suffixes, as far as the length
-            at = np.flatnonzero(shards.shard == b)
-            whole = [strings[shards.which[q]][q - shards.starts[shards.which[q]] :][:length] for q in at if q + length <= shards.ends[shards.which[q]]]
-            ranks = [rank[q] for q in at if q + length <= shards.ends[shards.which[q]]]
-            assert [x for _, x in sorted(zip(ranks, whole, strict=True))] == sorted(whole)
+        for some, x in zip(shards.of, shards.transforms, strict=True):  # each shard's rows are its own suffixes in order
+            whole = [strings[some[x.which[q]]][x.place[q] :][:length] for q in x.order if x.place[q] + length <= shards.sizes[some[x.which[q]]]]
+            assert whole == sorted(whole)
+
+
+def shared_by_bytes(strings, shard, length, step):
+    """Of each (string, place): the most whole symbols in common with a place of another shard, as far as length."""
+    found = {}
+    for i, x in enumerate(strings):
+        for k in range(len(x)):
+            best = 0
+            for j, y in enumerate(strings):
+                for m in range(len(y)) if shard[i] != shard[j] else ():
+                    n = 0
+                    while n < length // step and k + (n + 1) * step <= len(x) and m + (n + 1) * step <= len(y) and x[k + n * step : k + (n + 1) * step] == y[m + n * step : m + (n + 1) * step]:
+                        n += 1
+                    best = max(best, n)
+            found[i, k] = best
+    return found
+
+
+def some_shards(dice, length):
+    base = bytes(dice.choice(b"ab") for _ in range(60))
+    strings = [base[at : at + dice.randrange(length, 40)] + bytes(dice.choice(b"abc") for _ in range(5)) for at in (dice.randrange(30) for _ in range(6))]
+    return strings, [0, 1, 2, 0, 1, 2]
+
+
+def test_common_prefixes_and_order_of_the_interleave():
+    dice = random.Random(8)
+    for length in (6, 16):
+        strings, shard = some_shards(dice, length)
+        shards = Shards(strings, np.array(shard), length)
+        step = length // shards.depth
+        blocks, common = merge(shards.transforms, shards.depth)
+        want, placed = shared_by_bytes(strings, shard, length, step), []
+        for x, some, c, b in zip(shards.transforms, shards.of, common, blocks, strict=True):
+            for row, place in enumerate(x.order):
+                string = some[x.which[place]]
+                assert c[row] == want[string, x.place[place]]
+                rest = strings[string][x.place[place] :]
+                if len(rest) >= length and c[row] == shards.depth:
+                    placed.append((b[row], rest[:length]))
+        assert [x for _, x in sorted(placed)] == sorted(x for _, x in placed)
+
+
+def test_merge_reads_the_transforms_order():
+    """With a shard's rows out of order, the merge goes wrong: nothing else sorts them."""
+    dice = random.Random(8)
+    strings, shard = some_shards(dice, 16)
+    shards = Shards(strings, np.array(shard), 16)
+    right = [x.tolist() for x in merge(shards.transforms, shards.depth)[1]]
+    x = shards.transforms[0]
+    x.first, x.follow = x.first[::-1].copy(), x.follow[::-1].copy()
+    assert [c.tolist() for c in merge(shards.transforms, shards.depth)[1]] != right
 
 
 def test_columns_with_clashing_names(spark, documents):
