@@ -35,7 +35,7 @@ from .runtime import forget, maybe_in, small_batches, unused, written
 from .tokens import chunks
 from .transforms import Shards
 
-LENGTH, CROWD, GROUP_BYTES, SHARDS = 200, 2000, 1 << 20, 4
+LENGTH, CROWD, GROUP_BYTES, SHARDS = 200, 2000, 1 << 20, 2
 _NO_ID = -(2**63)
 
 

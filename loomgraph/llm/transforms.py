@@ -96,7 +96,8 @@ def _meet(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]
             if t != s and len(other) and len(mine):
                 at = np.searchsorted(other, mine)
                 count += bounds[t][at]
-                met |= other[np.minimum(at, len(other) - 1)] == mine
+                at[at == len(other)] = 0
+                met |= other[at] == mine
         size = np.diff(bounds[s])
         before.append(np.repeat(count, size))
         shared.append(np.repeat(met, size))
