@@ -4,8 +4,9 @@ A text's words are lower-cased (A-Z) runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7
 wherever their words stand one after another, over the whole text.
 
 The join: a template matches a run of words, whatever line ends stand in it, of at most SPREAD times the
-template's own words, that holds at least `threshold` of the template's distinct words. All runs of that
-length are covered; labels and score follow from them. Besides, each line of a text is a block, the set
+template's own words, that holds at least `threshold` of the template's distinct words and, word for word, each
+phrase that tells the template from its kin (its name and version, or how one clause follows the other: TELLING).
+So a notice of one license never counts for another, however many words they share. All runs of that length are covered; labels and score follow from them. Besides, each line of a text is a block, the set
 of its words, and `blocks` lists the templates met by single lines of any length. Words are ordered by
 how many lines of the whole corpus hold them, rarest first. Of a template with t words and need n = ceil(threshold*t), one of the
 first t-n+1 must be in every matching run or block (prefix filter), so that only words around those are
@@ -35,6 +36,23 @@ from pyspark.sql import functions as F
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Templates by label: the bodies and usual notices of public licenses, from the files beside this module.
 TEMPLATES = {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+#: What a text must say word for word to be meant by a template, in words as words() splits them.
+TELLING = {
+    "apache-2.0": ["apache license version 2 0", "in compliance with the license"],
+    "bsd-2-clause": ["provided with the distribution this software is provided by"],
+    "bsd-3-clause": ["neither the name of", "endorse or promote products"],
+    "cc-by-4.0": ["creative commons attribution 4 0"],
+    "gpl-2.0-or-later": ["either version 2 of the license"],
+    "gpl-3.0-or-later": ["either version 3 of the license"],
+    "isc": ["permission to use copy modify and or distribute"],
+    "mit": ["permission is hereby granted free of charge"],
+    "mpl-2.0": ["mozilla public license v 2 0"],
+    "short-apache-2.0": ["apache license version 2 0"],
+    "short-gpl-3.0": ["general public license version 3"],
+    "short-mit": ["the mit license"],
+    "spdx-apache-2.0": ["license identifier apache 2 0"],
+    "spdx-mit": ["license identifier mit"],
+}
 THRESHOLD = 0.8
 #: The longest run that may match, as a multiple of the template's words.
 SPREAD = 2
@@ -79,8 +97,9 @@ def document_frequency(docs: DataFrame, templates: dict[str, str]) -> dict[bytes
 class Join:
     """The templates' side of the join, in the corpus's order of words."""
 
-    def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float):
+    def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float, telling: dict[str, list[str]] | None = None):
         self.threshold, self.ordered, self.prefix = threshold, {}, {}
+        self.telling = {label: [words(x) for x in some] for label, some in (telling or {}).items()}
         for label, some in template_words(templates).items():
             line = sorted(some, key=lambda w: (frequency.get(w, 0), w))
             need = math.ceil(threshold * len(line) - 1e-9)
@@ -90,8 +109,9 @@ class Join:
         self.rare = frozenset(self.prefix)
         self.span = {label: SPREAD * len(words(templates[label])) for label in self.ordered}
 
-    def matches(self, block: frozenset[bytes] | set[bytes]) -> dict[str, float]:
-        """label: containment, for each template that the block meets."""
+    def matches(self, line_: list[bytes]) -> dict[str, float]:
+        """label: containment, for each template that the block of these words meets."""
+        block, joined = frozenset(line_), b" " + b" ".join(line_) + b" "
         first: dict[str, int] = {}
         for word in self.rare & block:
             for label, place in self.prefix[word]:
@@ -106,11 +126,10 @@ class Join:
                 if have + len(line) - at < need:
                     break
                 have += line[at] in block
-            if have >= need:
+            if have >= need and all(b" " + b" ".join(x) + b" " in joined for x in self.telling.get(label, ())):
                 found[label] = have / len(line)
         return found
 
-
     def runs(self, split: list[bytes]) -> list[tuple[int, int, str, float]]:
         """(first word, last word, label, containment) of the runs that templates match; of overlapping runs the fullest, then the shortest."""
         at: dict[bytes, list[int]] = {}
@@ -127,6 +146,10 @@ class Join:
                 continue
             span, hits = self.span[label], sorted((n, word) for word in line for n in at[word])
             places = [n for n, _ in hits]
+            told = [[n for n in at[x[0]] if split[n : n + len(x)] == x] for x in self.telling.get(label, ())]
+            ends = [len(x) for x in self.telling.get(label, ())]
+            if not all(told):
+                continue
             areas: list[list[int]] = []
             for n in rare:
                 if areas and n - span < areas[-1][1]:
@@ -140,16 +163,24 @@ class Join:
                 for last in range(first, bisect_left(places, end)):
                     n, word = hits[last]
                     inside[word] += 1
-                    # From the left: words out of reach, and words that come again.
-                    while places[first] <= n - span or inside[hits[first][1]] > 1:
+                    while places[first] <= n - span:
                         inside[hits[first][1]] -= 1
                         if not inside[hits[first][1]]:
                             del inside[hits[first][1]]
                         first += 1
-                    if len(inside) < need:
+                    if len(inside) < need or best and len(inside) < best[0] and places[first] <= until:
+                        continue
+                    # The last place of each telling phrase in reach; the run must begin before them all.
+                    lasts = [some[k - 1] if (k := bisect_right(some, n - size + 1)) else -1 for some, size in zip(told, ends, strict=True)]
+                    if lasts and min(lasts) < places[first]:
                         continue
-                    this = (len(inside), places[first] - n, places[first], n)
-                    if best and places[first] > until:
+                    # From the left, words that come again aren't needed.
+                    more, head = Counter(inside), first
+                    while more[hits[head][1]] > 1 and not (lasts and places[head] >= min(lasts)):
+                        more[hits[head][1]] -= 1
+                        head += 1
+                    this = (len(inside), places[head] - n, places[head], n)
+                    if best and places[head] > until:
                         found.append((best[2], best[3], label, best[0] / len(line)))
                         best = None
                     best, until = max(best or this, this, key=lambda x: x[:2]), n
@@ -169,15 +200,19 @@ def _places(joined: bytes, phrase: bytes) -> list[int]:
     return found
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD, telling: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks, runs.
 
     runs: the matching runs as (first word, last word, label, containment). score: the largest
     containment of a run, or 1 if a phrase was found, else 0. blocks: the lines that match by themselves,
     as (line, label, containment).
     """
-    templates, phrases = templates or TEMPLATES, phrases or PHRASES
-    join = docs.sparkSession.sparkContext.broadcast(Join(templates, document_frequency(docs, templates), threshold))
+    if templates is None:
+        templates, telling = TEMPLATES, telling or TELLING
+        if not templates:
+            raise FileNotFoundError("no license texts beside the module")
+    phrases = phrases or PHRASES
+    join = docs.sparkSession.sparkContext.broadcast(Join(templates, document_frequency(docs, templates), threshold, telling))
     sought = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
     block = pa.struct([("line", pa.int32()), ("label", pa.string()), ("containment", pa.float64())])
     run = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("label", pa.string()), ("containment", pa.float64())])
@@ -197,7 +232,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
             runs = [{"first": a, "last": b, "label": label, "containment": c} for a, b, label, c in index.runs(split)]
             for n, line in enumerate(lines.split(b"\n")):
                 if not index.rare.isdisjoint(some := line.split()):
-                    blocks += [{"line": n, "label": label, "containment": c} for label, c in sorted(index.matches(frozenset(some)).items())]
+                    blocks += [{"line": n, "label": label, "containment": c} for label, c in sorted(index.matches(some).items())]
         labels = base | {r["label"] for r in runs}
         score = max([1.0 if base else 0.0, *(r["containment"] for r in runs)])
         return doc_id, len(split), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks, runs

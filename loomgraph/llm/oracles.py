@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .licenses import PHRASES, SPREAD, TEMPLATES, THRESHOLD, template_words, words
+from .licenses import PHRASES, SPREAD, TELLING, TEMPLATES, THRESHOLD, template_words, words
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
@@ -65,14 +65,16 @@ def _op10() -> str:
     for phrase, label in PHRASES.items():
         test = " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split()))
         found.append(f"SELECT doc_id, i, '{label}' AS label FROM p WHERE {test}")
-    sides = ", ".join("('{}', [{}], {}, {})".format(label, ", ".join(f"'{w.decode()}'" for w in sorted(some)), math.ceil(THRESHOLD * len(some) - 1e-9), SPREAD * len(words(TEMPLATES[label]))) for label, some in template_words(TEMPLATES).items())
+    listed = lambda some: "[" + ", ".join(f"'{x}'" for x in some) + "]"
+    sides = ", ".join("('{}', {}, {}, {}, {})".format(label, listed(w.decode() for w in sorted(some)), math.ceil(THRESHOLD * len(some) - 1e-9), SPREAD * len(words(TEMPLATES[label])), listed(f" {x} " for x in TELLING[label])) for label, some in template_words(TEMPLATES).items())
     return rf"""
 WITH w AS (SELECT doc_id, {_LICENSE_WORDS.format(_LOWER)} AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM w),
 base AS ({" UNION ALL ".join(found)}),
 b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY doc_id),
-c AS (SELECT doc_id, ws, label, side, need, span FROM w, (VALUES {sides}) AS t(label, side, need, span) WHERE list_has_any(ws, side) AND len(list_intersect(ws, side)) >= need),
-m AS (SELECT doc_id, label, max(len(list_intersect(ws[i:i + span - 1], side))) AS n, any_value(need) AS need, any_value(len(side)) AS size FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM c) WHERE list_contains(side, ws[i]) GROUP BY doc_id, label),
+c AS (SELECT doc_id, ws, label, side, need, span, telling FROM w, (VALUES {sides}) AS t(label, side, need, span, telling) WHERE list_has_any(ws, side) AND len(list_intersect(ws, side)) >= need),
+r AS (SELECT *, ' ' || array_to_string(ws[i:i + span - 1], ' ') || ' ' AS run FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM c) WHERE list_contains(side, ws[i])),
+m AS (SELECT doc_id, label, max(len(list_intersect(ws[i:i + span - 1], side))) AS n, any_value(need) AS need, any_value(len(side)) AS size FROM r WHERE len(list_filter(telling, lambda x: contains(run, x))) = len(telling) GROUP BY doc_id, label),
 f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / size) AS c FROM m WHERE n >= need GROUP BY doc_id)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ',') AS labels, CAST(greatest(CASE WHEN n_base > 0 THEN 1 ELSE 0 END, coalesce(f.c, 0)) AS DOUBLE) AS score

@@ -44,10 +44,11 @@ def test_whole_bodies_wrapped_and_changed(documents):
     dice = random.Random(3)
     filler = " ".join(f"filler{i}" for i in range(80))
     texts, want = [], []
-    for label in ("mit", "isc", "bsd-2-clause", "apache-2.0", "gpl-3.0-or-later", "mpl-2.0", "cc-by-4.0"):
+    for label in ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2.0", "gpl-2.0-or-later", "gpl-3.0-or-later", "mpl-2.0", "cc-by-4.0"):
         words = licenses.TEMPLATES[label].split()
-        changed = [w for w in words if dice.random() > 0.04]
-        changed.insert(5, "Acme")
+        told = {w for x in licenses.TELLING[label] for w in x.split()}
+        changed = [w for w in words if dice.random() > 0.04 or told & {x.decode() for x in licenses.words(w)}]
+        changed.insert(len(changed) - 3, "Acme")
         texts.append(filler + "\n" + "\n".join("# " + " ".join(changed[i : i + 7]) for i in range(0, len(changed), 7)) + "\n" + filler)
         want.append(label)
     texts.append(" ".join(f"{w} {x}" for w, x in zip(licenses.TEMPLATES["mit"].split(), itertools.cycle("a b c d".split()))) * 1 + filler)  # spread over twice the length and more
@@ -95,3 +96,52 @@ def test_runs_equal_trying_every_window(documents):
                     want[k] = most / len(side)
             assert r["labels"] == ",".join(sorted(want)) and r["score"] == max(want.values(), default=0)
             assert all(x["last"] - x["first"] < sides[x["label"]][1] for x in r["runs"])
+
+
+def test_each_template_is_meant_by_itself_alone(documents):
+    """Whole notices, wrapped anew: the label is that of the notice, and of the short notice that stands in it."""
+    labels = list(licenses.TEMPLATES)
+    got = licenses.scan(documents(["a b\n" + " ".join(licenses.TEMPLATES[x].split()) + " c d" for x in labels])).orderBy("doc_id").collect()
+    inside = {"apache-2.0": {"short-apache-2.0"}}
+    base = {"general public license": "gpl", "cc by": "cc-by"}
+    for label, r in zip(labels, got, strict=True):
+        assert set(r["labels"].split(",")) - set(base.values()) == {label} | inside.get(label, set())
+
+
+def test_near_misses_are_not_labelled(documents):
+    texts = {
+        "Licensed under the Apache License, Version 2.0.": "short-apache-2.0",
+        "Released under the MIT License.": "short-mit",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,short-gpl-3.0",
+        "Licensed under the GNU General Public License, version 2": "gpl",
+        "Licensed under the Apache License, Version 2.1": "",
+        "Licensed under the Apache License, Version 1.1": "",
+        "This is licensed under the license of the museum": "",
+        "This work is licensed under the terms of the license, version 3": "",
+        "Released under the XYZ License.": "",
+        "SPDX-License-Identifier: BSD-3-Clause": "",
+        "SPDX-License-Identifier: MIT": "spdx-mit",
+    }
+    got = licenses.scan(documents(list(texts))).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == list(texts.values())
+
+
+def test_telling_phrases_in_runs_equal_trying_every_window(documents):
+    pool = "licensed under the apache license version mit released x1 x2 x3 2 0".split()
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(70))) for _ in range(120)]
+    templates = {"a": SHORT["apache-2.0"], "m": SHORT["mit"]}
+    telling = {"a": ["apache license", "2 0"], "m": ["the mit"]}
+    for threshold in (0.6, 0.8):
+        for r, text in zip(licenses.scan(documents(texts), templates, {"no such": "no"}, threshold, telling).orderBy("doc_id").collect(), texts, strict=True):
+            some, want = licenses.words(text), {}
+            for k, v in templates.items():
+                side, span = set(licenses.words(v)), licenses.SPREAD * len(licenses.words(v))
+                fits = lambda i, k=k, span=span, some=some: all(b" " + x.encode() + b" " in b" " + b" ".join(some[i : i + span]) + b" " for x in telling[k])
+                most = max((len(side & set(some[i : i + span])) for i in range(len(some)) if fits(i)), default=0)
+                if most >= math.ceil(threshold * len(side) - 1e-9):
+                    want[k] = most / len(side)
+            assert r["labels"] == ",".join(sorted(want)) and abs(r["score"] - max(want.values(), default=0)) < 1e-12
+            for x in r["runs"]:
+                run = b" " + b" ".join(some[x["first"] : x["last"] + 1]) + b" "
+                assert all(b" " + t.encode() + b" " in run for t in telling[x["label"]])
