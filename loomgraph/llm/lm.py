@@ -1,16 +1,17 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Texts become groups of about GROUP tokens, kept as numbers into the group's own list of words. A group
-sends its distinct words and distinct pairs of neighbouring words, with their counts in training texts,
-to buckets by hash; the number of buckets follows the tokens, so a bucket stays small. A bucket sums the
-counts and quantises them to levels (1, 2, 3, then steps of 25 %); an n-gram of level q puts its entries
-1..q into the bucket's segment of a Bloom filter, and probing 1, 2, 3, ... until an entry is missing
-gives the level back, never too low and seldom too high.
-
-All n-grams are stored, those seen once too: a segment has the bits that its own entries need. So the
-filter grows with the n-grams and no machine holds all of it; each segment is probed where it was made
-and answers every group with a level for each n-gram that the group sent, and for words with the exact
-count besides, which base_score needs. The groups then sum the answers per text.
+Texts become groups of about GROUP tokens, kept as numbers into the group's own list of words.
+
+Training: a group sends the distinct words and pairs of neighbouring words of its training texts, with their
+counts, to buckets by hash; the number of buckets follows the tokens, so a bucket stays small. A bucket sums the
+counts and quantises them to levels (1, 2, 3, then steps of 25 %); an n-gram of level q puts its entries 1..q into
+the bucket's segment of a Bloom filter. All n-grams are stored, those seen once too: a segment has the bits that
+its own entries need. segments() writes the filter as a table, which is the model.
+
+Scoring: a group sends the hashes of its n-grams, without counts, to the written segments: probing entry 1, 2, 3,
+... until one is missing gives a level, never too low and seldom too high. The group has the answers back, in its
+own order, and sums them per text. The filter grows with the n-grams, and no machine holds all of it. base_score
+is about exact counts of words, so a bucket's words are kept beside its segment; the model's score doesn't use them.
 The model is a Dirichlet-smoothed bigram over an add-one unigram, all counts from the filter:
 p(w|h) = (c(h,w) + MU*p(w)) / (c(h) + MU), p(w) = (c(w)+1) / (N+V+1).
 
@@ -38,8 +39,6 @@ from .tokens import chunks, keys, mix, words
 MU = 1000.0
 #: Tokens of a group of texts, and of a bucket.
 GROUP, BUCKET = 2_000_000, 2_000_000
-#: Without effect since all counts come from the buckets; callers may still set it.
-FREQUENT = 3
 PROBES, FILL, STEP = 4, 0.3, 1.25
 END = np.uint64(0x0123456789ABCDEF)
 WORD, PAIR = 1, 2
@@ -153,8 +152,16 @@ def _tokens_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return kinds, ids, ends, *np.unique(pairs(kinds[ids], ends), return_inverse=True)
 
 
+def _dealt(kind: int, hashes: np.ndarray, buckets: int, pack) -> pa.RecordBatch:
+    """kind, bucket, data: hashes by bucket, as pack(their places) makes them."""
+    order, cut = _cut(hashes, buckets)
+    some = np.flatnonzero(cut[:-1] < cut[1:]).tolist()
+    columns = [pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([pack(order[cut[b] : cut[b + 1]]) for b in some], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "data"])
+
+
 def count_ngrams(parts: DataFrame, buckets: int) -> DataFrame:
-    """kind, bucket, g, data: the distinct n-grams of each group, with their counts in its training texts (0 too)."""
+    """kind, bucket, data: the distinct n-grams of each group's training texts, with their counts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,21 +171,33 @@ def count_ngrams(parts: DataFrame, buckets: int) -> DataFrame:
                 train = ~np.repeat(np.array(row["held_out"], bool), row["n_tokens"])
                 for kind, hashes, number in ((WORD, kinds, ids), (PAIR, both, of)):
                     counts = np.bincount(number[train], minlength=len(hashes))
-                    order, cut = _cut(hashes, buckets)
-                    some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                    packed = [_pack(hashes[order[cut[b] : cut[b + 1]]], counts[order[cut[b] : cut[b + 1]]]) for b in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([row["g"]] * len(some)), pa.array(packed, pa.binary())], names=["kind", "bucket", "g", "data"])
+                    hashes, counts = hashes[counts > 0], counts[counts > 0]
+                    yield _dealt(kind, hashes, buckets, lambda some, h=hashes, c=counts: _pack(h[some], c[some]))
 
-    return parts.mapInArrow(each, "kind int, bucket int, g long, data binary")
+    return parts.mapInArrow(each, "kind int, bucket int, data binary")
 
 
-def _bucket_sums(data: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket's packed n-grams: the distinct ones, their counts, each one's number among those, and the bounds of the packs."""
+def questions(parts: DataFrame, buckets: int) -> DataFrame:
+    """kind, bucket, g, data: the hashes of each group's distinct n-grams."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                kinds, _, _, both, _ = _tokens_of(row)
+                for kind, hashes in ((WORD, kinds), (PAIR, both)):
+                    out = _dealt(kind, hashes, buckets, lambda some, h=hashes: h[some].tobytes())
+                    yield out.append_column("g", pa.array([row["g"]] * len(out), pa.int64()))
+
+    return parts.mapInArrow(each, "kind int, bucket int, data binary, g long")
+
+
+def _bucket_sums(data: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket's packed n-grams: the distinct ones in order, and their counts."""
     packs = [_unpack(bytes(x)) for x in data]
     hashes, of = np.unique(np.concatenate([h for h, _ in packs]), return_inverse=True)
     # Sums of whole numbers below 2**53 are exact.
-    counts = np.bincount(of, weights=np.concatenate([c for _, c in packs]), minlength=len(hashes)).astype(np.int64)
-    return hashes, counts, of, np.append(0, np.cumsum([len(h) for h, _ in packs]))
+    return hashes, np.bincount(of, weights=np.concatenate([c for _, c in packs]), minlength=len(hashes)).astype(np.int64)
 
 
 class Filter:
@@ -188,6 +207,13 @@ class Filter:
         self.buckets, self.bits = buckets, max(64, -(-bits // buckets + 7) // 8 * 8)
         self.data = np.zeros(0, np.uint8)
 
+    @classmethod
+    def read(cls, bits: int, data: bytes) -> Filter:
+        """One segment."""
+        made = cls(1, 0)
+        made.bits, made.data = bits, np.frombuffer(data, np.uint8)
+        return made
+
     @staticmethod
     def _at(hashes: np.ndarray, q: int, probe: int, bits: int) -> np.ndarray:
         a = mix(hashes + _LEVEL[q])
@@ -259,46 +285,60 @@ def _n_buckets(parts: DataFrame) -> int:
     return max(16, math.ceil((parts.agg(F.sum("size")).first()[0] or 0) / BUCKET))
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """A model of all texts of docs on the driver, for tables whose model fits there (score needs no such model); and its segments."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = written(groups(rows), "lm-groups")
-    buckets = _n_buckets(parts)
+def segments(parts: DataFrame, buckets: int) -> DataFrame:
+    """kind, bucket, n_tokens, n_distinct, n_bits, bits, words: the filter, written; words are a bucket's words with their exact counts."""
 
     def segment(group: pd.DataFrame) -> pd.DataFrame:
-        hashes, counts, _, _ = _bucket_sums(group["data"])
+        kind = int(group["kind"].iloc[0])
+        hashes, counts = _bucket_sums(group["data"])
         made = build_filter(hashes, counts)
-        return pd.DataFrame([{"kind": int(group["kind"].iloc[0]), "bucket": int(group["bucket"].iloc[0]), "n_tokens": int(counts.sum()), "n_distinct": int((counts > 0).sum()), "n_bits": made.bits, "bits": made.data.tobytes()}])
-
-    segments = written(count_ngrams(parts, buckets).groupBy("kind", "bucket").applyInPandas(segment, "kind int, bucket int, n_tokens long, n_distinct long, n_bits long, bits binary"), "lm-filter")
-    filters, size = {WORD: {}, PAIR: {}}, [0, 0]
-    for row in segments.collect():
-        made = filters[row["kind"]][row["bucket"]] = Filter(1, row["n_bits"])
-        made.bits, made.data = row["n_bits"], np.frombuffer(bytes(row["bits"]), np.uint8)
-        if row["kind"] == WORD:
-            size = [size[0] + row["n_tokens"], size[1] + row["n_distinct"]]
-    forget(docs.sparkSession, parts)
-    return Model(*size, filters, buckets), segments
+        exact = _pack(hashes, counts) if kind == WORD else b""
+        return pd.DataFrame([{"kind": kind, "bucket": int(group["bucket"].iloc[0]), "n_tokens": int(counts.sum()), "n_distinct": len(hashes), "n_bits": made.bits, "bits": made.data.tobytes(), "words": exact}])
 
+    schema = "kind int, bucket int, n_tokens long, n_distinct long, n_bits long, bits binary, words binary"
+    return written(count_ngrams(parts, buckets).groupBy("kind", "bucket").applyInPandas(segment, schema), "lm-filter")
 
-def answers(parts: DataFrame, buckets: int) -> DataFrame:
-    """kind, bucket, g, levels, counts (of words), n_tokens, n_distinct: what each bucket's segment answers to each group.
 
-    n_tokens and n_distinct are the bucket's, on the first of its rows, and 0 on the others.
-    """
+def _sizes(filter_: DataFrame) -> tuple[int, int]:
+    """The tokens of the training texts, and the distinct ones."""
+    return tuple(x or 0 for x in filter_.filter(F.col("kind") == WORD).agg(F.sum("n_tokens"), F.sum("n_distinct")).first())
 
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        kind = int(group["kind"].iloc[0])
-        hashes, counts, of, cut = _bucket_sums(group["data"])
-        found = build_filter(hashes, counts).levels(hashes).astype(np.uint8)
-        out = group[["kind", "bucket", "g"]].copy()
-        out["levels"] = [found[of[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        out["counts"] = [counts[of[a:b]].tobytes() if kind == WORD else b"" for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        first = np.arange(len(out)) == 0
-        out["n_tokens"], out["n_distinct"] = first * int(counts.sum()), first * int((counts > 0).sum())
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """A model of all texts of docs on the driver, for tables whose model fits there (score needs no such model); and its segments."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = written(groups(rows), "lm-groups")
+    buckets = _n_buckets(parts)
+    made = segments(parts, buckets)
+    filters = {WORD: {}, PAIR: {}}
+    for row in made.collect():
+        filters[row["kind"]][row["bucket"]] = Filter.read(row["n_bits"], bytes(row["bits"]))
+    model = Model(*_sizes(made), filters, buckets)
+    forget(docs.sparkSession, parts)
+    return model, made
+
+
+def answers(asked: DataFrame, filter_: DataFrame) -> DataFrame:
+    """kind, bucket, g, levels, counts (of words): what each written segment answers to each group's questions."""
+
+    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        packs = [np.frombuffer(bytes(x), np.uint64) for x in left["data"]]
+        cut = np.append(0, np.cumsum([len(x) for x in packs])).astype(int)
+        some, of = np.unique(np.concatenate(packs), return_inverse=True) if packs else (np.zeros(0, np.uint64), np.zeros(0, int))
+        levels, counts = np.zeros(len(some), np.uint8), np.zeros(len(some), np.int64)
+        if len(right):
+            levels = Filter.read(int(right["n_bits"].iloc[0]), bytes(right["bits"].iloc[0])).levels(some).astype(np.uint8)
+            if exact := bytes(right["words"].iloc[0]):
+                known, n = _unpack(exact)
+                at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+                counts = np.where(known[at] == some, n[at], 0)
+        out = left[["kind", "bucket", "g"]].copy()
+        out["levels"] = [levels[of[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        out["counts"] = [counts[of[a:b]].tobytes() if kind == WORD else b"" for kind, a, b in zip(left["kind"], cut[:-1], cut[1:], strict=True)]
         return out
 
-    return count_ngrams(parts, buckets).groupBy("kind", "bucket").applyInPandas(answer, "kind int, bucket int, g long, levels binary, counts binary, n_tokens long, n_distinct long")
+    few = filter_.select("kind", "bucket", "n_bits", "bits", "words")
+    return asked.groupBy("kind", "bucket").cogroup(few.groupBy("kind", "bucket")).applyInPandas(answer, "kind int, bucket int, g long, levels binary, counts binary")
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -307,8 +347,9 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     parts = written(groups(rows), "lm-groups")
     buckets = _n_buckets(parts)
-    told = written(answers(parts, buckets), "lm-answers")
-    n_tokens, n_distinct = (x or 0 for x in told.filter(F.col("kind") == WORD).agg(F.sum("n_tokens"), F.sum("n_distinct")).first())
+    model = segments(parts, buckets)
+    n_tokens, n_distinct = _sizes(model)
+    told = written(answers(questions(parts, buckets), model), "lm-answers")
     floor = math.log10(n_tokens + n_distinct + 1)
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -332,5 +373,5 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     told_few = told.select("g", "kind", "bucket", "levels", "counts")
     out = parts.groupBy("g").cogroup(told_few.groupBy("g")).applyInArrow(each, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     done = written(out, "lm-scores")
-    forget(spark, parts, told)
+    forget(spark, parts, model, told)
     return done

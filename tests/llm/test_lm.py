@@ -17,8 +17,7 @@ def expect(rows):
     return n, {i: (len(tokens(t)), sum(train[w] > 0 for w in tokens(t)), sum(math.log10((train[w] + 1) / (n + v + 1)) for w in tokens(t))) for i, t in rows}
 
 
-def test_base_score(documents, monkeypatch):
-    monkeypatch.setattr(lm, "FREQUENT", 3)
+def test_base_score(documents):
     rows = [(i, " ".join(f"W{(i * k) % 17}" for k in range(i % 9))) for i in range(60)]
     n, want = expect(rows)
     got = {r["doc_id"]: r for r in lm.score(documents([(i, t, "en", "a") for i, t in rows])).collect()}
@@ -100,3 +99,19 @@ def test_all_pairs_are_stored(documents, monkeypatch):
         monkeypatch.setattr(lm, "BUCKET", bucket)
         got = {r["doc_id"]: r["score"] for r in lm.score(documents(rows)).collect()}
         assert all(abs(got[i] - want[i]) < 0.02 * abs(want[i]) for i in want)
+
+
+def test_those_who_probe_have_no_counts(documents):
+    """Questions hold hashes alone, also of n-grams that training hasn't seen; all else comes from the written segments."""
+    rows = documents([(i, f"a b c{i} d a b", "en", "a") for i in range(30)])
+    parts = lm.written(lm.groups(rows.select("doc_id", lm.held_out(rows["doc_id"], 7, 2).alias("held_out"), "text")), "lm-groups")
+    asked, model = lm.questions(parts, 16), lm.segments(parts, 16)
+    assert asked.columns == ["kind", "bucket", "data", "g"]
+    sent = sum(len(r["data"]) // 8 for r in asked.filter("kind = 1").collect())
+    distinct = {w for i in range(30) for w in ("a", "b", "d", f"c{i}", None)}
+    assert sent >= len(distinct)
+    told = {r["bucket"]: r for r in model.filter("kind = 1").collect()}
+    assert sum(r["n_distinct"] for r in told.values()) < len(distinct) and sum(r["n_tokens"] for r in told.values()) == 7 * sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(30))
+    # Without the segments no group learns anything.
+    none = lm.answers(asked, model.limit(0)).collect()
+    assert none and all(set(r["levels"]) <= {0} for r in none)
