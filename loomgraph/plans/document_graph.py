@@ -27,7 +27,7 @@ def from_chunks(checked: DataFrame, provider: providers.Provider) -> tuple[DataF
     decided = providers.decide(asked, provider, "extract", "content", shared_path(checked.sparkSession, "replies"))
     nodes, edges = providers.extracted(decided, ["graph_id", "part_id"])
     # Order over a graph: by chunk, then by place in the reply.
-    order = F.coalesce(F.nullif(F.regexp_extract("part_id", r"_(\d{4})(?:_|$)", 1), F.lit("")).cast("long"), F.lit(0)) * 100_000 + F.col("ord")
+    order = F.coalesce(F.nullif(F.regexp_extract("part_id", r"_(\d{4,})(?:_|$)", 1), F.lit("")).cast("long"), F.lit(0)) * 100_000 + F.col("ord")
     return nodes.withColumn("ord", order), edges.withColumn("ord", order)
 
 

@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import fixed
+from .functions import fixed, tables
 from .functions.json import json_candidate
 from .functions.ordering import numbered
 from .functions.text import meaningful_chars, normalize_characters, normalize_name
 from .operators import blocks, chunking, conversation, graph, lines, quality, rag, structure
 from .plans import document_graph, workflow
+from .sources import matrix
 from .sources.star_graph import SQL as STAR
 from .sources.star_graph import graph as star
-from .streaming import ingest
+from .sources.tables import shared_path
+from .streaming import conversations, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -363,6 +365,29 @@ def sentence_split(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(rag.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
+@query(ORACLE_SQL["sentence_split"])
+def sql_sentences(spark, sf_dir):
+    """The same through the table function that SQL callers have."""
+    tables.register(spark)
+    return spark.sql("SELECT doc_id, pos, sentence FROM sentence_rows(TABLE(SELECT doc_id, text FROM {docs}) PARTITION BY (doc_id))", docs=documents(spark, sf_dir))
+
+
+@query("SELECT doc_id, k + 1 AS i, k * 900 AS start_char, least(length(text), k * 900 + 1000) AS end_char, length(substr(text, k * 900 + 1, 1000)) AS n FROM (SELECT doc_id, text, unnest(range(CAST(1 + ceil(greatest(0, length(text) - 1000) / 900.0) AS BIGINT))) AS k FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))")
+def sql_windows(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql("SELECT doc_id, i, start_char, end_char, length(content) AS n FROM window_rows(TABLE(SELECT doc_id, text FROM {docs}) PARTITION BY (doc_id), 1000, 100)", docs=documents(spark, sf_dir))
+
+
+@query("SELECT vec_id, len(embedding) AS size, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[-1] AS DOUBLE), 6) AS last FROM embeddings")
+def vector_matrix_files(spark, sf_dir):
+    """The vectors as matrix files with JSON metadata, written and read back."""
+    folder = shared_path(spark, "matrix")
+    matrix.write_index(read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")), folder)
+    index = matrix.read_index(spark, f"{folder}/vectors", f"{folder}/metadata", "vec_id long")
+    end = lambda i: F.round(F.element_at("embedding", i).cast("double"), 6)
+    return index.select("vec_id", F.size("embedding").alias("size"), end(1).alias("first"), end(-1).alias("last"))
+
+
 @query()
 def rag_windows(spark, sf_dir):
     chunks = chunking.fixed_length(documents(spark, sf_dir), 3000, 0)
@@ -771,3 +796,12 @@ def merge_group_packing(spark, sf_dir):
     more = F.when(F.col("i") % 5 == 0, F.array(F.lit("hot"), name("n", F.col("k")))).otherwise(F.array().cast("array<string>"))
     groups = rows.withColumn("node_ids", F.concat(F.array(name("m", F.col("i")), name("m", F.col("i") + 1)), more)).drop("i", "k")
     return graph.validated_groups(groups, "node_ids", "canonical_name", in_one=0).select("graph_id", "group_ord", F.array_join("node_ids", ",").alias("members"))
+
+
+@query(ORACLE_SQL["confirmed_replies"])
+def conversation_stream(spark, sf_dir):
+    """The messages as a stream of files, through the conversations' state."""
+    table, folder = read(spark, sf_dir, "conversations"), shared_path(spark, "messages")
+    table.write.parquet(folder)
+    stream = _planted(spark.readStream.schema(table.schema).parquet(folder))
+    return conversations.run_to_end(conversations.conversation_states(stream)).select("conv_id", "turn", "confirmed")
