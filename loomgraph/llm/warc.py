@@ -2,8 +2,12 @@
 
 write_monolithic() gives each task's pages to archives that are one gzip stream each. normalise() takes
 such a file, inflates its stream once in small pieces, writes every record as a gzip member of its own
-and a sidecar index with each record's offset and length; memory holds one record. read_records() uses
-the index to read members by byte range, in evenly dealt groups, and checks each response's SHA-1.
+and a sidecar index with each record's offset and length; memory holds one record and a piece, however
+far the stream is compressed, and a stream that is cut is refused. read_records() uses the index to read
+members by byte range, in evenly dealt groups, and checks each response's SHA-1.
+
+Records are WARC/1.1: a date, an HTTP head before the payload (alone in a revisit), and ids that differ,
+also those of equal rows. A revisit names its response by id and URL.
 
 Archives lie in the folder that the caller names, as a URI that pyarrow can open (file, hdfs, s3, gs).
 Tasks write under a name of their own and move the file into place, so a repeated task is harmless.
@@ -24,13 +28,14 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import shared_path, written
+from .runtime import maybe_in, shared_path, written
 
 REVISIT_FROM = 1000
 PIECE = 1 << 20
@@ -41,18 +46,31 @@ _END = b"\r\n\r\n"
 # ---- records ----
 
 
-def record(kind: str, page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, payload: bytes) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload but says the full payload's digest and size."""
-    name = "null" if page_id is None else str(page_id)
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}>"]
+def record_id(page_id: int | None, url: str | None, digest: str, place: str = "") -> str:
+    """The id of a record; place tells apart those that no other record refers to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([page_id, url, digest, place]))}>"
+
+
+def _uri(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(kind: str, name: str, date: str, page_id: int | None, url: str | None, digest: str, size: int, payload: bytes, refers_to: int | None = None, refers_url: str | None = None) -> bytes:
+    """One record with this id; a revisit has no payload but says the full payload's digest and size."""
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append(f"WARC-Target-URI: {_uri(url)}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{'null' if refers_to is None else refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [] if refers_url is None else [f"WARC-Refers-To-Target-URI: {_uri(refers_url)}"]
+        head += [] if refers_to is None else [f"X-Refers-To-Page-ID: {refers_to}"]
         payload = b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + _END + payload + _END
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}".encode() + _END + payload
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + _END + block + _END
 
 
 def parse_head(head: bytes) -> dict[str, str]:
@@ -60,11 +78,6 @@ def parse_head(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
 
 
-def _page(urn: str | None) -> int | None:
-    name = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(name) if name.lstrip("-").isdigit() else None
-
-
 # ---- files ----
 
 
@@ -94,14 +107,18 @@ class _Out:
 
 
 def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """The inflated bytes of a gzip file of one or more members, piece by piece."""
-    unzip = zlib.decompressobj(31)
+    """The inflated bytes of a gzip file of one or more members, at most PIECE at a time."""
+    unzip = None
     for piece in pieces:
-        while piece:
-            yield unzip.decompress(piece)
-            piece = unzip.unused_data if unzip.eof else b""
-            if unzip.eof:
-                unzip = zlib.decompressobj(31)
+        full = False
+        while piece or full:
+            unzip = unzip or zlib.decompressobj(31)
+            data = unzip.decompress(piece, PIECE)
+            yield data
+            full = len(data) == PIECE and not unzip.eof
+            piece, unzip = (unzip.unused_data, None) if unzip.eof else (unzip.unconsumed_tail, unzip)
+    if unzip is not None:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, dict[str, str]]]:
@@ -144,14 +161,12 @@ def normalise(source: str, target: str) -> int:
 # ---- Spark jobs ----
 
 
-SALTS = 16
-
-
 def with_revisits(pages: DataFrame, at_least: int = REVISIT_FROM) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
+    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, refers_url, named (others may refer to it).
 
-    Which page is the response of equal payloads is found among rows without payloads. These meet their
-    response's name in SALTS shares, so that a payload of a third of all pages isn't one task.
+    Which page is the response of equal payloads is found among rows without payloads. Only the payloads
+    that a bitmap of the repeated ones lets through are shuffled, to meet their response's name: in as many
+    shares as there are tasks, so that a payload of a third of all pages isn't one task.
     """
     payload = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     sized = payload.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
@@ -159,30 +174,42 @@ def with_revisits(pages: DataFrame, at_least: int = REVISIT_FROM) -> DataFrame:
     kinds = sized.filter(F.col("payload_bytes") >= at_least).groupBy(*by, *names).agg(F.count("*").alias("n"))
     # A null counts as smaller than any value.
     first = kinds.groupBy(*by).agg(F.max(F.struct(*names, "n")).alias("keep"), F.sum("n").alias("all")).filter(F.col("all") > 1)
-    first = written(first.select(*by, F.col("keep.page_id").alias("keep"), F.col("keep.url").alias("keep_url"), F.col("keep.n").alias("alike")), "warc-first")
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = sized.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, [*by, "salt"], "left").drop("salt")
+    first = written(first.select(*by, F.col("keep.page_id").alias("keep"), F.col("keep.url").alias("keep_url"), F.col("keep.n").alias("alike"), "all"), "warc-first")
+    # A payload gets a salt for each share of the pages that a task would hold of it.
+    most = max(1, (first.agg(F.sum("all")).first()[0] or 0) // int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = F.ceil(F.col("all") / most).cast("int")
+    split = sized.withColumn("salt", F.xxhash64("page_id", "url", F.spark_partition_id()))
+    told = maybe_in(split, first, *by, flag="met")
+    hot = first.filter(F.col("all") > most).select(*by, shares.alias("shares"))
+    salted = told.filter("met").join(F.broadcast(hot), by, "left").withColumn("salt", F.pmod("salt", F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+    targets = first.withColumn("salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("all")
+    met = salted.join(targets, [*by, "salt"], "left").drop("salt", "met")
+    alone = told.filter("not met").drop("salt", "met").withColumns({"keep": F.lit(None).cast("long"), "keep_url": F.lit(None).cast("string"), "alike": F.lit(None).cast("long")})
     response = F.col("alike").isNull() | (F.col("page_id").eqNullSafe(F.col("keep")) & F.col("url").eqNullSafe(F.col("keep_url")))
-    told = joined.withColumn("record_type", F.when(response, "response").otherwise("revisit"))
+    told = met.unionByName(alone).withColumn("record_type", F.when(response, "response").otherwise("revisit"))
     if first.filter("alike > 1").take(1):  # rows alike in all: one is the response, the others revisit it
         alike = (F.col("record_type") == "response") & (F.coalesce("alike", F.lit(1)) > 1)
         each = told.filter(alike).groupBy(*[c for c in told.columns if c not in ("payload", "record_type")]).agg(F.min("payload").alias("payload"), F.count("*").alias("times"))
         each = each.withColumn("record_type", F.explode(F.concat(F.array(F.lit("response")), F.array_repeat(F.lit("revisit"), F.col("times").cast("int") - 1)))).drop("times")
         told = told.filter(~alike).unionByName(each)
-    return told.select("page_id", "url", "payload", *by[::-1], "record_type", F.when(F.col("record_type") == "revisit", F.col("keep")).alias("refers_to"))
+    again = F.col("record_type") == "revisit"
+    return told.select("page_id", "url", "payload", *by[::-1], "record_type", F.when(again, F.col("keep")).alias("refers_to"), F.when(again, F.col("keep_url")).alias("refers_url"), (F.col("alike").isNotNull() & ~again).alias("named"))
 
 
 def write_monolithic(rows: DataFrame, folder: str, roll_at: int = ROLL_AT) -> DataFrame:
     """Write the rows of with_revisits() as archives of one gzip stream each; their names and sizes."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq, out, zipper, inside, n, made = TaskContext.get().partitionId(), 0, None, None, 0, 0, []
         for batch in batches:
-            for page_id, url, payload, size, digest, kind, refers in zip(*(batch[c] for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")), strict=True):
+            for page_id, url, payload, size, digest, kind, refers, refers_url, named in zip(*(batch[c] for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_url", "named")), strict=True):
                 if out is None:
                     name = f"{folder}/part-{part:05d}-{seq:04d}.warc.gz"
                     out, zipper, inside, n = _Out(name), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
-                data = record(kind, None if pd.isna(page_id) else int(page_id), url, digest, int(size), None if pd.isna(refers) else int(refers), bytes(payload))
+                page = None if pd.isna(page_id) else int(page_id)
+                own = record_id(page, url, digest, "" if named else f"{name} {n}")
+                data = record(kind, own, date, page, url, digest, int(size), bytes(payload), None if pd.isna(refers) else int(refers), refers_url)
                 out.write(zipper.compress(data))
                 inside, n = inside + len(data), n + 1
                 if inside >= roll_at:
@@ -245,12 +272,12 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
                     for offset, length in zip(some["offset"], some["length"], strict=True):
                         f.seek(int(offset))
                         whole, fields = next(records(_members(iter([f.read(int(length))]))))
-                        payload = whole[whole.index(_END) + 4 : -4]
+                        block = whole[whole.index(_END) + 4 : -4]
+                        payload = block[block.index(_END) + 4 :]
                         kind, digest, size = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
                         if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
                             raise ValueError(f"{name} at {offset}: the payload doesn't match its digest")
-                        page, refers = _page(fields["warc-record-id"]), _page(fields.get("warc-refers-to"))
-                        rows.append((None if page is None else str(page), fields.get("warc-target-uri"), size, digest, kind, None if refers is None else str(refers), *([payload] if with_payload else [])))
+                        rows.append((fields.get("x-page-id"), fields.get("warc-target-uri"), size, digest, kind, fields.get("x-refers-to-page-id"), *([payload] if with_payload else [])))
             yield pd.DataFrame(rows, columns=columns)
 
     columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if with_payload else [])]

@@ -35,7 +35,7 @@ def test_empty(spark):
 
 
 def test_normalise(tmp_path):
-    parts = [warc.record("response", i, f"http://x/{i}", hashlib.sha1(b"p" * i).hexdigest(), i, None, b"p" * i) for i in (0, 5, 3_000_000)]
+    parts = [warc.record("response", f"<urn:x:{i}>", "2026-01-01T00:00:00Z", i, f"http://x/{i}", hashlib.sha1(b"p" * i).hexdigest(), i, b"p" * i) for i in (0, 5, 3_000_000)]
     with gzip.open(tmp_path / "in.warc.gz", "wb") as f:
         f.write(b"".join(parts[:2]))
     with open(tmp_path / "in.warc.gz", "ab") as f:  # a second member, cut inside the stream of records
@@ -47,3 +47,32 @@ def test_normalise(tmp_path):
     (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(parts[1][:-6]))
     with pytest.raises(ValueError):
         warc.normalise(f"file://{tmp_path}/cut.warc.gz", f"file://{tmp_path}/bad.warc.gz")
+    whole = gzip.compress(b"".join(parts[:2]))
+    (tmp_path / "trailer.warc.gz").write_bytes(whole[:-8])  # cut behind the last record's bytes
+    with pytest.raises(ValueError):
+        warc.normalise(f"file://{tmp_path}/trailer.warc.gz", f"file://{tmp_path}/bad.warc.gz")
+
+
+def test_pieces_are_bounded():
+    data = b"\0" * 50_000_000 + b"end"
+    pieces = list(warc._members(iter([gzip.compress(data), gzip.compress(b""), gzip.compress(b"x")])))
+    assert b"".join(pieces) == data + b"x" and max(map(len, pieces)) <= warc.PIECE
+
+
+def test_fields(spark, tmp_path):
+    rows = [(1, "http://a", "z" * 1000, ""), (2, "http://b", "z" * 1000, ""), (2, "http://b", "z" * 1000, ""), (3, "c", "w", ""), (3, "c", "w", ""), (None, None, None, "")]
+    files = warc.archive(spark, spark.createDataFrame(rows, ROWS), f"file://{tmp_path}/w").collect()
+    found = [fields for f in files for _, fields in warc.records(warc._members(iter([open(f["file"].removeprefix("file://"), "rb").read()])))]
+    assert len(found) == len(rows) and len({f["warc-record-id"] for f in found}) == len(rows)
+    assert all(f["warc-date"].endswith("Z") and f["content-type"] == "application/http; msgtype=response" for f in found)
+    named = {f["warc-record-id"]: f for f in found if f["warc-type"] == "response"}
+    again = [f for f in found if f["warc-type"] == "revisit"]
+    assert len(again) == 2 and all(named[f["warc-refers-to"]]["x-page-id"] == "2" and f["warc-refers-to-target-uri"] == "http://b" for f in again)
+
+
+def test_a_payload_of_most_pages_is_shared_out(spark):
+    rows = [(i, "u", "z" * 1000 if i % 3 else f"{i} " + "y" * 1000, "") for i in range(300)]
+    df = spark.createDataFrame(rows, ROWS)
+    told = warc.with_revisits(df).collect()
+    assert len(told) == 300 and {r["refers_to"] for r in told if r["record_type"] == "revisit"} == {299}
+    assert sum(r["record_type"] == "revisit" for r in told) == 199 and [r["page_id"] for r in told if r["named"]] == [299]
