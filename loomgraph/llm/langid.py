@@ -6,7 +6,7 @@ its smoothed log frequency in each language; an unseen word falls back to the lo
 n-grams that are known (4, then 3, 2, 1 letters), each position for itself.
 
 The sample: at most MAX_ROWS labelled rows and MAX_CHARS bytes of their texts, in expectation, chosen by a
-hash of doc_id (all rows, if there are no more). All words and n-grams of the sample are in the model, so
+hash of doc_id and text (all rows, if there are no more). All words and n-grams of the sample are in the model, so
 its size is bounded by the sample's, at every size of the input, and it can be broadcast. Prediction
 covers all rows and whole texts.
 
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     n, size, languages = sum(r["n"] for r in share.values()), sum(r["size"] for r in share.values()), sorted(share)
     part = min(1.0, max_rows / max(1, n), max_chars / max(1, size))
     if part < 1:
-        labelled = labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 30)) < int(part * (1 << 30)))
+        labelled = labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), "key", "text"), F.lit(1 << 30)) < int(part * (1 << 30)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
