@@ -409,7 +409,7 @@ def title_chains(spark, sf_dir):
 def embedding_records(spark, sf_dir):
     chunks = chunking.fixed_length(documents(spark, sf_dir), 6000, 0)
     records = rag.embedding_records(rag.rag_chunks(chunks, 6000, 0))
-    return records.select("id", F.col("metadata.doc_id").alias("doc_id"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length"))
+    return records.select("id", F.col("metadata.doc_id").alias("doc_id"), "metadata.start_char", "metadata.end_char", "text", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length"))
 
 
 _DOT = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
