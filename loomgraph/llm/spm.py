@@ -16,6 +16,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import heapq
 import re
@@ -34,8 +35,10 @@ from .tokens import chunks
 MARK = "▁"
 _MARK = MARK.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Rows of a worker's table of units: some 300 bytes each.
+#: Units that encode() keeps one by one.
 MAX_MEMO = 1_000_000
+#: Rows of a worker's table of units, at about 250 bytes each, and their pieces; beyond them it starts anew.
+MAX_UNITS, MAX_PIECES = 400_000, 6_400_000
 _NONE = float("inf")
 
 
@@ -303,7 +306,7 @@ class Model:
         none = pa.array([b""] * n_texts, pa.large_binary())
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n_texts + 1, np.int64), none, none
-        if self.rows > MAX_MEMO or self.filled > 16 * MAX_MEMO:
+        if self.rows > MAX_UNITS or self.filled > MAX_PIECES:
             self._forget()
         mark = data == 32
         if len(data) > 2:
@@ -362,6 +365,13 @@ def _runs(values: pa.LargeBinaryArray, bounds: np.ndarray) -> pa.LargeBinaryArra
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), values.buffers()[2]])
 
 
+def _give_back() -> None:
+    """Return what Arrow and the C library hold unused: the stages behind run in the same workers."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -442,10 +452,13 @@ def encode(docs: DataFrame, model: bytes, fields: tuple[str, ...] = ("n_tokens",
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(shared.value)
-        for batch in batches:
-            # A batch's tokens take many times the memory of its texts: about PIECE bytes at a time.
-            for a, b, data, offsets in chunks(batch, "text", PIECE):
-                found = columns(model, data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(found[f] for f in fields)], names=["doc_id", *fields])
+        try:
+            for batch in batches:
+                # A batch's tokens take many times the memory of its texts: about PIECE bytes at a time.
+                for a, b, data, offsets in chunks(batch, "text", PIECE):
+                    found = columns(model, data, offsets)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(found[f] for f in fields)], names=["doc_id", *fields])
+        finally:
+            _give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, ", ".join(["doc_id long", *(f"{f} {FIELDS[f]}" for f in fields)]))
