@@ -38,7 +38,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units that encode() keeps one by one.
 MAX_MEMO = 1_000_000
 #: Rows of a worker's table of units, at about 250 bytes each, and their pieces; beyond them it starts anew.
-MAX_UNITS, MAX_PIECES = 400_000, 6_400_000
+MAX_UNITS, MAX_PIECES = 1_000_000, 16_000_000
 _NONE = float("inf")
 
 
