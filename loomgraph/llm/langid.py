@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import forget, small_batches, unused, written
+from .runtime import alone, forget, give_back, small_batches, unused, written
 from .tokens import chunks, keys, mix
 
 MAX_ROWS, MAX_CHARS, LONGEST = 20_000, 96 << 20, 4
@@ -200,6 +200,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         labelled = labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), "key", "text"), F.lit(1 << 30)) < int(part * (1 << 30)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("langid")
         for batch in batches:
             for a, b, data, offsets in chunks(batch, "text", 2 << 20):
                 names, lang = np.unique(batch.column("lang").slice(a, b - a).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
@@ -210,6 +211,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                 short = [(h, of[word], n[word]) for h, word, _ in (grams(codes, starts, lengths, k) for k in range(1, LONGEST + 1))]
                 for kind, (some, where, times) in enumerate([(unit, of, n), _sums(*(np.concatenate(x) for x in zip(*short, strict=True)))[:3]]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some.view(np.int64)), pa.array(names[where].tolist(), pa.string()), pa.array(times)], names=["kind", "unit", "lang", "n"])
+        give_back()
 
     counts = written(labelled.select("text", "lang").mapInArrow(count, "kind int, unit long, lang string, n long").groupBy("kind", "unit", "lang").agg(F.sum("n").alias("n")), "langid-units")
     prior = np.log(np.array([(share[x]["n"] + 1) / (n + len(languages)) for x in languages])) if languages else np.zeros(0)
@@ -228,6 +230,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
     most = max(1, (4 << 20) // max(1, len(model.languages)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("langid")
         model = shared.value
         for whole in batches:
             for k in range(0, whole.num_rows, most):
@@ -238,6 +241,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
                     found += some
                     chance.append(sure)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(np.concatenate(chance))], names=schema.names)
+        give_back()
 
     return plain.mapInArrow(each, schema).withColumnsRenamed(dict(zip(own, (pred, score), strict=True)))
 

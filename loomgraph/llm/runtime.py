@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..sources.tables import shared_dir, shared_path, written
 
 FILTER_BITS = 1 << 24
 BATCH_ROWS = 1000
-__all__ = ["FILTER_BITS", "WORD", "forget", "maybe_in", "shared_dir", "shared_path", "small_batches", "table", "unused", "written"]
+__all__ = ["FILTER_BITS", "WORD", "alone", "forget", "give_back", "maybe_in", "shared_dir", "shared_path", "small_batches", "table", "unused", "written"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -68,3 +70,24 @@ def small_batches(df: DataFrame) -> DataFrame:
     if int(conf.get(key)) > BATCH_ROWS or int(conf.get(key)) <= 0:
         conf.set(key, str(BATCH_ROWS))
     return df
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    """Return what Arrow and the C library of this worker hold unused: other operators run in the same workers."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def alone(name: str, drop: Callable[[], None] | None = None) -> None:
+    """Drop what other operators have kept in this worker between tasks; drop does the same for this one, later."""
+    others = [x for x in _HELD if x != name]
+    for x in others:
+        _HELD.pop(x)()
+    if others:
+        give_back()
+    if drop:
+        _HELD[name] = drop

@@ -16,7 +16,6 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import heapq
 import re
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches
+from .runtime import alone, give_back, small_batches
 from .tokens import chunks
 
 MARK = "▁"
@@ -365,13 +364,6 @@ def _runs(values: pa.LargeBinaryArray, bounds: np.ndarray) -> pa.LargeBinaryArra
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), values.buffers()[2]])
 
 
-def _give_back() -> None:
-    """Return what Arrow and the C library hold unused: the stages behind run in the same workers."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -451,6 +443,7 @@ def encode(docs: DataFrame, model: bytes, fields: tuple[str, ...] = ("n_tokens",
         return out
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("sentencepiece", _loaded.cache_clear)
         model = _loaded(shared.value)
         try:
             for batch in batches:
@@ -459,6 +452,6 @@ def encode(docs: DataFrame, model: bytes, fields: tuple[str, ...] = ("n_tokens",
                     found = columns(model, data, offsets)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(found[f] for f in fields)], names=["doc_id", *fields])
         finally:
-            _give_back()
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, ", ".join(["doc_id long", *(f"{f} {FIELDS[f]}" for f in fields)]))

@@ -1,0 +1,17 @@
+"""What operators keep in a worker goes when another one starts there."""
+
+from loomgraph.llm import runtime
+
+
+def test_alone(monkeypatch):
+    monkeypatch.setattr(runtime, "_HELD", {})
+    dropped = []
+    runtime.alone("a", lambda: dropped.append("a"))
+    runtime.alone("a", lambda: dropped.append("a"))
+    assert dropped == []
+    runtime.alone("b")
+    assert dropped == ["a"]
+    runtime.alone("b", lambda: dropped.append("b"))
+    runtime.alone("a", lambda: dropped.append("a"))
+    runtime.alone("c")
+    assert dropped == ["a", "b", "a"]
