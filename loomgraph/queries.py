@@ -11,7 +11,7 @@ from .functions import fixed, tables
 from .functions.json import json_candidate
 from .functions.ordering import numbered
 from .functions.text import meaningful_chars, normalize_characters, normalize_name
-from .operators import blocks, chunking, conversation, graph, lines, quality, rag, structure
+from .operators import blocks, chunking, conversation, graph, json_values, lines, quality, rag, structure
 from .plans import document_graph, workflow
 from .sources import matrix
 from .sources.star_graph import SQL as STAR
@@ -451,6 +451,37 @@ def json_recovery(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", json_candidate(reply).alias("candidate"))
 
 
+#: Four shapes by turns: lists of objects whose inner lists repeat, a list as the whole, lists in a list, and JSON cut short.
+_SHAPES = [
+    ('{"tags": ["%s", "%s", {"b": 1, "a": [1, 1, 2]}, {"a": [1, 2], "b": 1}, "%s"], "props": ', "}"),
+    ('["%s", "%s", {"%s": [3, 3]}, ', "]"),
+    ('{"m": {"list": [[1, 1], [1, 1], "%s", ["%s"], ["%s"]], "p": [', "]}}"),
+    ('{"%s": ["%s", "%s"], "p": ', ""),
+]
+
+
+def _shaped(i: int, event_type: str) -> list[str]:
+    """The pieces of shape i with the names of three columns put in; event_type stands for a column in SQL."""
+    head, tail = _SHAPES[i]
+    pieces = head.split("%s")
+    return [_lit(pieces[0]), *[x for p in pieces[1:] for x in (event_type, _lit(p))], "props", _lit(tail)]
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 4 AS shape, event_type AS t, replace(props, ' ', '') AS p FROM events)
+SELECT event_id, CASE shape WHEN 0 THEN '{"props":' || p || ',"tags":["' || t || '",{"a":[1,2],"b":1}]}' WHEN 1 THEN '["' || t || '","' || t || '",{"' || t || '":[3]},' || p || ']'
+WHEN 2 THEN '{"m":{"list":[[1,1],"' || t || '",["' || t || '"]],"p":[' || p || ']}}' END AS cleaned,
+CAST(CASE shape WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS removed,
+CASE shape WHEN 0 THEN 'tags[2].a:3>2,tags:5>2' WHEN 1 THEN '$[2].' || t || ':2>1' WHEN 2 THEN 'm.list:5>3' ELSE '' END AS fields FROM e""")
+def json_value_dedupe(spark, sf_dir):
+    """Repeated values in JSON of differing shapes around each event's properties."""
+    text = F.expr("CASE event_id % 4 " + " ".join(f"WHEN {i} THEN concat({', '.join(_shaped(i, 'event_type'))})" for i in range(len(_SHAPES))) + " END")
+    rows, report = json_values.distinct_json(read(spark, sf_dir, "events").select("event_id", text.alias("json")))
+    told = F.array_sort(F.collect_list(F.struct(F.format_string("%s:%d>%d", "path", "before", "after").alias("field"))))
+    lost = report.groupBy("_row").agg(F.sum("removed").alias("removed"), F.array_join(F.transform(F.reverse(told), lambda x: x["field"]), ",").alias("fields"))
+    out = rows.join(lost, "_row", "left")
+    return out.select("event_id", F.col("_clean").alias("cleaned"), F.coalesce("removed", F.lit(0).cast("long")).alias("removed"), F.coalesce("fields", F.lit("")).alias("fields"))
+
+
 # ---- graphs ----
 
 _G = f"WITH edges AS ({STAR['edges']}), nodes AS ({STAR['nodes']})"
