@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from .functions import fixed, tables
 from .functions.json import json_candidate
 from .functions.ordering import numbered
 from .functions.text import meaningful_chars, normalize_characters, normalize_name
-from .operators import blocks, chunking, conversation, graph, json_values, lines, quality, rag, structure
+from .operators import blocks, chunking, conversation, graph, json_values, lines, quality, rag, structure, substrings
 from .plans import document_graph, workflow
 from .sources import matrix
 from .sources.star_graph import SQL as STAR
@@ -768,6 +769,17 @@ def project_search(spark, sf_dir):
     return conversation.search(documents(spark, sf_dir), " TION ", "source", "text").select("doc_id")
 
 
+_PHRASES = [" TION ", "Apache License", "on", "absent phrase"]
+
+
+@query("SELECT p AS phrase, doc_id FROM documents, (SELECT unnest([" + ", ".join(_lit(p.strip().lower()) for p in _PHRASES) + "]) AS p) WHERE contains(lower(concat_ws(' ', source, text)), p)")
+def project_search_indexed(spark, sf_dir):
+    """The same search through one index of trigrams, for several phrases; one is too short for it."""
+    index = substrings.build(documents(spark, sf_dir).select("doc_id", "source", "text"), "source", "text")
+    found = [substrings.search(index, p).select(F.lit(p.strip().lower()).alias("phrase"), "doc_id") for p in _PHRASES]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _stage_sql(column: str) -> str:
     names = ["chunk", "Text-Chunking", " final ", "no such step", *workflow.STAGES]
     return f"[{', '.join(map(_lit, names))}][1 + {column} % {len(names)}]"
