@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import any_of, meaningful_chars, normalize_characters, uni_trim
+from ..sources.tables import written
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_blank: bool = False) -> DataFrame:
@@ -55,36 +55,36 @@ def without_toc(rows: DataFrame, key: str = "doc_id", dotted: bool = True) -> Da
     """Lines outside tables of contents.
 
     A title line opens a block; up to TOC_BLOCK entries an ordinary line closes it, after that only a
-    chapter line does. Inside a block the state depends on all lines before, so it runs through each
-    document's lines in order, in Arrow batches of one document; what a line is, is decided before.
+    chapter line does. A line's state is told by three things before it: the last title line, the entries since
+    then, and whether a line that closes came since then. Each is a running sum or maximum, so a document's lines
+    are dealt out by ranges and a long document is several tasks; what ranges owe each other is a row for each
+    range and document. pos tells the order and is distinct in a document.
     """
     line = F.col("line")
     marked = rows.withColumns({"title": any_of(line, [fixed.TOC_TITLE], whole=True), "entry": is_toc_line(line, dotted), "chapter": any_of(line, [fixed.CHAPTER_START])})
-
-    names = list(rows.columns)
-
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        inside, seen, keep = False, 0, []
-        for title, entry, chapter in zip(group["title"], group["entry"], group["chapter"], strict=True):
-            if title:
-                inside, seen = True, 0
-            elif inside and entry:
-                seen += 1
-            elif inside and seen >= fixed.TOC_BLOCK and not chapter:
-                pass
-            else:
-                inside = False
-                keep.append(not entry)
-                continue
-            keep.append(False)
-        return group.loc[keep, names]
-
     # Only documents with a title line have blocks; the others need no order.
     titled = marked.groupBy(key).agg(F.max("title").alias("titled"))
     both = marked.join(titled, key)
     plain = both.filter("not titled and not entry").select(*rows.columns)
-    return plain.unionByName(both.filter("titled").drop("titled").groupBy(key).applyInPandas(each, rows.schema))
+
+    ranged = written(both.filter("titled").drop("titled").repartitionByRange(key, "pos").withColumn("_range", F.spark_partition_id()), "toc-lines")
+    part = ["_range", key]
+    here = Window.partitionBy(*part).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    last_title = F.max(F.when(F.col("title"), F.struct("pos", "_entries")))
+    counted = ranged.withColumn("_entries", F.count_if(F.col("entry") & ~F.col("title")).over(here))
+    sums = counted.groupBy(*part).agg(F.max("_entries").alias("_n"), last_title.alias("_last"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    whole = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c)["pos"].alias("pos"), (F.col(c)["_entries"] + F.col("_before")).alias("entries")))
+    starts = sums.select(*part, "_before", F.max(whole("_last")).over(earlier).alias("_head_before"))
+    state = counted.withColumn("_last", last_title.over(here)).join(starts, part).withColumn("_head", F.coalesce(whole("_last"), F.col("_head_before")))
+    few = F.col("_entries") + F.col("_before") - F.col("_head")["entries"] < fixed.TOC_BLOCK
+    state = state.withColumn("_closes", F.when(~F.col("title") & ~F.col("entry") & F.col("_head").isNotNull() & (F.col("chapter") | few), F.col("pos")))
+    closed = state.groupBy(*part).agg(F.max("_closes").alias("_last_closed"))
+    closed = closed.select(*part, F.max("_last_closed").over(earlier).alias("_closed_before"))
+    state = state.withColumn("_closed", F.max("_closes").over(here)).join(closed, part)
+    outside = F.col("_head").isNull() | F.coalesce(F.greatest("_closed", "_closed_before") > F.col("_head")["pos"], F.lit(False))
+    return plain.unionByName(state.filter(~F.col("title") & ~F.col("entry") & outside).select(*rows.columns))
 
 
 def repeated_lines(rows: DataFrame, key: str = "doc_id") -> DataFrame:
