@@ -60,7 +60,10 @@ def with_quality(chunks: DataFrame) -> DataFrame:
         .when(F.col("level").isin("excellent", "good"), "keep")
         .otherwise("review")
     )
-    return rows.withColumn("suggestion", suggestion).drop("_text", "_title", "_density")
+    # A filter on these columns must not be pushed below them: it would hold each column's whole expression for
+    # every mention of it, thousands of patterns a row. Nothing is pushed through a generator's own columns.
+    found = ["quality_chars", "issues", "content_density", "score", "level", "suggestion"]
+    return rows.withColumn("suggestion", suggestion).select(*(F.col(c) for c in chunks.columns if c not in found), F.inline(F.array(F.struct(*found))))
 
 
 def problems(checked: DataFrame) -> DataFrame:
