@@ -20,7 +20,7 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_blank:
 def joined(rows: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
     """The lines of each key in order as one text."""
     by = [key] if isinstance(key, str) else key
-    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("all")).select(*by, F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("text"))
+    return rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("all")).select(*by, F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("text"))
 
 
 def is_page_furniture(line: Column) -> Column:
@@ -37,9 +37,10 @@ def is_noise(line: Column) -> Column:
 def is_toc_line(line: Column, dotted: bool = False) -> Column:
     """A line of a table of contents; dotted: also short lines of many dots."""
     dots = F.translate(line, "…·", "..")
-    found = any_of(dots, [fixed.TOC_TITLE], whole=True) | (any_of(dots, [fixed.TOC_PAGE_AT_END]) & any_of(dots, [fixed.TOC_LEADER]))
+    # What few lines hold is asked first.
+    found = any_of(dots, [fixed.TOC_TITLE], whole=True) | (any_of(dots, [fixed.TOC_LEADER]) & any_of(dots, [fixed.TOC_PAGE_AT_END]))
     if dotted:
-        found = found | ((F.regexp_count(dots, F.lit(r"\.")) >= fixed.TOC_DOTS) & (F.length(dots) <= fixed.TOC_DOTTED_LENGTH))
+        found = found | ((F.length(dots) <= fixed.TOC_DOTTED_LENGTH) & (F.length(dots) - F.length(F.replace(dots, F.lit("."))) >= fixed.TOC_DOTS))
     return (line != "") & found
 
 
@@ -58,16 +59,17 @@ def without_toc(rows: DataFrame, key: str = "doc_id", dotted: bool = True) -> Da
     chapter line does. A line's state is told by three things before it: the last title line, the entries since
     then, and whether a line that closes came since then. Each is a running sum or maximum, so a document's lines
     are dealt out by ranges and a long document is several tasks; what ranges owe each other is a row for each
-    range and document. pos tells the order and is distinct in a document.
+    range and document. pos tells the order and is distinct in a document. Lines are written once with what they
+    match: they are read by each of these steps, and rows may be costly to make.
     """
     line = F.col("line")
     marked = rows.withColumns({"title": any_of(line, [fixed.TOC_TITLE], whole=True), "entry": is_toc_line(line, dotted), "chapter": any_of(line, [fixed.CHAPTER_START])})
-    # Only documents with a title line have blocks; the others need no order.
-    titled = marked.groupBy(key).agg(F.max("title").alias("titled"))
-    both = marked.join(titled, key)
-    plain = both.filter("not titled and not entry").select(*rows.columns)
+    marked = written(marked, "marked-lines")
+    # Only documents with a title line have blocks; the others need no order, and no shuffle while those are few.
+    titled = written(marked.filter("title").select(key).distinct(), "titled")
+    plain = marked.join(titled, key, "left_anti").filter("not entry").select(*rows.columns)
 
-    ranged = written(both.filter("titled").drop("titled").repartitionByRange(key, "pos").withColumn("_range", F.spark_partition_id()), "toc-lines")
+    ranged = written(marked.join(titled, key, "left_semi").repartitionByRange(key, "pos").withColumn("_range", F.spark_partition_id()), "toc-lines")
     part = ["_range", key]
     here = Window.partitionBy(*part).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,7 +116,7 @@ def merged_lines(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     ended = before.rlike(f"[{fixed.SENTENCE_ENDS}]\\z")
     starts = before.isNull() | is_standalone(F.col("line")) | is_standalone(before) | ended
     grouped = rows.withColumn("start", starts.cast("int")).withColumn("g", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = grouped.groupBy(key, "g").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("all"))
+    parts = grouped.groupBy(key, "g").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("all"))
     return parts.select(key, (F.col("g") - 1).cast("int").alias("pos"), F.array_join(F.transform("all", lambda x: x["line"]), "").alias("line"), F.size("all").alias("n_lines"))
 
 
@@ -122,9 +124,13 @@ def cleaned_for_chunking(docs: DataFrame, key: str = "doc_id", text: str = "text
     """key, text: unix line ends, plain dashes, at most one blank line, trimmed lines, no table of contents."""
     body = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "－—–", "---")
     folded = docs.select(key, F.regexp_replace(body, "\n{3,}", "\n\n").alias("text"))
-    rows = without_toc(lines(folded, key, keep_blank=True), key)
-    out = joined(rows, key).withColumn("text", uni_trim(F.col("text")))
-    return folded.select(key).join(out, key, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    each = F.transform(F.split("text", "\n", -1), uni_trim)
+    titled = F.exists(each, lambda x: any_of(x, [fixed.TOC_TITLE], whole=True))
+    # A document without a title line loses single lines only: it stays a row.
+    plain = folded.filter(~titled).select(key, uni_trim(F.array_join(F.filter(each, lambda x: ~is_toc_line(x, dotted=True)), "\n")).alias("text"))
+    some = written(folded.filter(titled), "titled-documents")
+    out = joined(without_toc(lines(some, key, keep_blank=True), key), key).withColumn("text", uni_trim(F.col("text")))
+    return plain.unionByName(some.select(key).join(out, key, "left").withColumn("text", F.coalesce("text", F.lit(""))))
 
 
 def page_text(pages: DataFrame) -> DataFrame:
@@ -142,8 +148,9 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     """pages (doc_id, page, text) to one clean text per document: furniture, repeated lines, contents, wraps, noise."""
     rows = pages.select("doc_id", "page", normalize_characters(F.coalesce("text", F.lit(""))).alias("text"))
     rows = rows.select("doc_id", "page", F.posexplode(F.split("text", "\r\n?|\n", -1)).alias("at", "line")).withColumn("line", uni_trim(F.col("line"))).filter("line <> ''")
-    rows = without_repeated(page_filter(rows))
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "at"))).select("doc_id", "page", "pos", "line")
+    # Read three times by the next step. Page and place in it tell the order, so lines need no numbers.
+    rows = without_repeated(written(page_filter(rows), "page-lines"))
+    rows = rows.select("doc_id", "page", F.struct("page", "at").alias("pos"), "line")
     rows = merged_lines(without_toc(rows, dotted=False))
     return joined(noise_filter(rows.select("doc_id", "pos", "line")))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import uni_trim
-from loomgraph.operators import quality
+from loomgraph.operators import lines, quality
 
 
 def optimized(df) -> str:
@@ -25,3 +25,37 @@ def test_trim_is_what_the_pattern_trims(spark):
     old = F.regexp_replace("x", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
     assert rows.filter(~uni_trim(F.col("x")).eqNullSafe(old)).count() == 0
     assert "regexp" not in optimized(rows.select(uni_trim(F.col("x"))))
+
+
+def counted(rows):
+    """rows, and an accumulator of how many of them were made."""
+    made = rows.sparkSession.sparkContext.accumulator(0)
+
+    def each(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    return rows.mapInPandas(each, rows.schema), made
+
+
+def test_lines_are_made_once_for_removing_contents(spark):
+    texts = ["目录", "某章 ........ 1", "第一章 起", "正文", "某章 ........ 2"]
+    rows = spark.createDataFrame([(d, i, x) for d in (1, 2) for i, x in enumerate(texts[d - 1 :])], "doc_id int, pos int, line string")
+    rows, made = counted(rows)
+    kept = {tuple(r) for r in lines.without_toc(rows).collect()}
+    assert kept == {(1, 2, "第一章 起"), (1, 3, "正文"), (2, 1, "第一章 起"), (2, 2, "正文")}
+    assert made.value == 9
+
+
+def test_documents_without_contents_stay_rows(spark):
+    docs = spark.createDataFrame([(1, " a \r\n\r\n\r\n\r\nb ..... 3\r c "), (2, None), (3, "目录\na ..... 1\n第一章 x\ny"), (4, "目 录")], "doc_id int, text string")
+    out = lines.cleaned_for_chunking(docs)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "a\n\nc", 2: "", 3: "第一章 x\ny", 4: ""}
+    assert "Union" in optimized(out)
+
+
+def test_pages_are_made_once_for_cleaning(spark):
+    rows, made = counted(spark.createDataFrame([(1, p, f"页眉\n正文{p}。\n12") for p in range(4)] + [(2, 1, "a"), (2, 0, "c\nb")], "doc_id int, page int, text string"))
+    assert {r.doc_id: r.text for r in lines.clean_pages(rows).collect()} == {1: "正文0。\n正文1。\n正文2。\n正文3。", 2: "cba"}
+    assert made.value == 6
