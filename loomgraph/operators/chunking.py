@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.batches import small_batches
 from ..functions.text import slug, uni_trim
 from .structure import boundaries, last_before, spans
 
@@ -52,7 +53,7 @@ def _any(patterns: Patterns | None) -> bool:
 
 def _pieces(docs: DataFrame, patterns: Patterns, parents: Patterns | None = None) -> DataFrame:
     """doc_id, i, title, start, stop, raw (and parent_title): the text from each boundary to the next."""
-    found = docs.select("doc_id", "text", boundaries(F.col("text"), patterns).alias("bounds"))
+    found = small_batches(docs).select("doc_id", "text", boundaries(F.col("text"), patterns).alias("bounds"))
     rows = spans(found).join(docs.select("doc_id", "text"), "doc_id")
     rows = rows.withColumn("stop", F.coalesce("stop", F.length("text"))).withColumn("raw", F.expr("substr(text, start + 1, stop - start)")).drop("text")
     if _any(parents):
@@ -113,7 +114,7 @@ def by_questions(docs: DataFrame, chapters: Patterns | None = None, sections: Pa
     given = {"chapter": (chapters, fixed.CHAPTERS), "section": (sections, fixed.SECTIONS), "question": (questions, fixed.QUESTIONS)}
     usual = lambda p, d: F.when(F.size(p) > 0, p).otherwise(F.array(*map(F.lit, d))) if isinstance(p, Column) else p or d
     kinds = {k: usual(p, d) for k, (p, d) in given.items()}
-    parts = [spans(docs.select("doc_id", boundaries(F.col("text"), p).alias("bounds"))).select("doc_id", "i", "title", "start", F.lit(k).alias("kind")) for k, p in kinds.items()]
+    parts = [spans(small_batches(docs).select("doc_id", boundaries(F.col("text"), p).alias("bounds"))).select("doc_id", "i", "title", "start", F.lit(k).alias("kind")) for k, p in kinds.items()]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     after = F.expr("min(start) over (partition by doc_id order by start range between 1 following and unbounded following)")
     rows = rows.withColumns({"stop": after, "chapter_title": last_before("chapter", "title"), "section_title": last_before("section", "title")})

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches
+
 
 class Provider(Protocol):
     def reply(self, task: str, request: str) -> str: ...
@@ -74,7 +76,7 @@ def decide(rows: DataFrame, provider: Provider, task: str, request: str, path: s
             yield batch.assign(reply=pd.Series(replies, dtype=object, index=batch.index), error=pd.Series(errors, dtype=object, index=batch.index))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "reply string", "error string"])
-    out = rows.mapInPandas(each, schema)
+    out = small_batches(rows).mapInPandas(each, schema)
     if path is None:
         return out
     out.write.mode("overwrite").parquet(path)

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from loomgraph.functions import batches
 from loomgraph.functions.text import uni_trim
-from loomgraph.operators import lines, quality
+from loomgraph.operators import chunking, lines, quality, rag
+from loomgraph.plans import providers
 
 
 def optimized(df) -> str:
@@ -59,3 +61,21 @@ def test_pages_are_made_once_for_cleaning(spark):
     rows, made = counted(spark.createDataFrame([(1, p, f"页眉\n正文{p}。\n12") for p in range(4)] + [(2, 1, "a"), (2, 0, "c\nb")], "doc_id int, page int, text string"))
     assert {r.doc_id: r.text for r in lines.clean_pages(rows).collect()} == {1: "正文0。\n正文1。\n正文2。\n正文3。", 2: "cba"}
     assert made.value == 6
+
+
+def test_texts_come_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(1, "第一章 起\n文。")], "doc_id int, text string")
+    chunks = chunking.fixed_length(docs)
+    for use in (lambda: rag.rag_chunks(chunks), lambda: chunking.by_headings(docs, ["^第.*$"]), lambda: chunking.by_questions(docs), lambda: providers.decide(docs, providers.Offline(), "strategy", "text")):
+        spark.conf.set(key, "10000")
+        assert use().count() >= 0
+        assert int(spark.conf.get(key)) <= batches.BATCH_ROWS
+
+
+def test_scores_of_a_block_are_held_in_slices(spark, monkeypatch):
+    index = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    asked = index.select(F.col("vec_id").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, rag.top_k_batch(index, asked, 4, block=16).collect()))
+    monkeypatch.setattr(rag, "SCORES", 40)
+    assert sorted(map(tuple, rag.top_k_batch(index, asked, 4, block=16).collect())) == whole and len(whole) == 240
