@@ -11,6 +11,8 @@ from ..sources.tables import written
 def keep_first(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """The first row of each key by order; combined before the shuffle, so repeated keys cost little."""
     rest = [c for c in rows.columns if c not in keys]
+    if rest == [order]:  # a number a key is combined in a hash table; what holds texts must be sorted
+        return rows.groupBy(*keys).agg(F.min(order).alias(order)).select(*rows.columns)
     first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
     return first.select(*keys, *[F.col("_first")[c].alias(c) for c in rest]).select(*rows.columns)
 
