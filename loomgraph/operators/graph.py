@@ -317,43 +317,87 @@ def duplicate_name_nodes(nodes: DataFrame, most: int | None = None) -> DataFrame
     return _named(nodes).join(found, ["graph_id", "name", "type"]).select("graph_id", "name", "type", "n", "place", "ord", "id")
 
 
-def edge_flags(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """edges with missing_relation, invalid, self_loop, duplicate: later tests only where earlier ones let pass."""
-    rows = edges.withColumns({c: plain(F.col(c)) for c in ("source", "target", "relation")})
-    ids = nodes.select("graph_id", "id").distinct()
+KEY = ["graph_id", "source", "target", "relation"]
+
+
+def _ends_told(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """edges with invalid and self_loop; ids: graph_id, id, each once."""
+    rows = edges
     for end in ("source", "target"):
         rows = rows.join(ids.withColumnsRenamed({"id": end}).withColumn(f"_{end}", F.lit(True)), ["graph_id", end], "left")
-    rows = rows.withColumns({"missing_relation": F.col("relation") == "", "invalid": F.col("_source").isNull() | F.col("_target").isNull()})
-    rows = rows.withColumn("self_loop", ~F.col("invalid") & (F.col("source") == F.col("target")))
-    sound = rows.filter("not invalid and not self_loop")
-    first = sound.groupBy("graph_id", "source", "target", "relation").agg(F.min("ord").alias("_first"))
-    rows = rows.join(first, ["graph_id", "source", "target", "relation"], "left")
-    return rows.withColumn("duplicate", ~F.col("invalid") & ~F.col("self_loop") & (F.col("ord") > F.col("_first"))).drop("_source", "_target", "_first")
+    rows = rows.withColumn("invalid", F.col("_source").isNull() | F.col("_target").isNull()).drop("_source", "_target")
+    return rows.withColumn("self_loop", ~F.col("invalid") & (F.col("source") == F.col("target")))
+
+
+def edge_flags(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with missing_relation, invalid, self_loop, duplicate: later tests only where earlier ones let pass."""
+    plain_edges = edges.withColumns({c: plain(F.col(c)) for c in KEY[1:]})
+    # Whether an edge repeats another doesn't depend on the nodes: nodes are joined once, to the edges, and not to what counts them.
+    twice = plain_edges.filter("source <> target").groupBy(*KEY).agg(F.min("ord").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    rows = _ends_told(plain_edges, nodes.select("graph_id", "id").distinct()).withColumn("missing_relation", F.col("relation") == "").join(twice, KEY, "left")
+    again = ~F.col("invalid") & ~F.col("self_loop") & F.coalesce(F.col("ord") > F.col("_first"), F.lit(False))
+    return rows.select(*edges.columns, "missing_relation", "invalid", "self_loop", again.alias("duplicate"))
+
+
+def edge_groups(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """graph_id, source, target, relation, n, invalid, self_loop: equal edges as one row, counted before anything is joined."""
+    rows = edges.select("graph_id", *[plain(F.col(c)).alias(c) for c in KEY[1:]])
+    return _ends_told(rows.groupBy(*KEY).agg(F.count("*").alias("n")), ids)
 
 
 def isolated_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes that no edge with two known ends touches (a self-loop touches its node)."""
-    sound = edge_flags(edges, nodes).filter("not invalid")
-    touched = sound.select("graph_id", F.col("source").alias("id")).union(sound.select("graph_id", "target")).distinct()
-    return nodes.select("graph_id", "id").distinct().join(touched, ["graph_id", "id"], "left_anti")
+    ids = nodes.select("graph_id", "id").distinct()
+    sound = edge_groups(edges, ids).filter("not invalid")
+    touched = sound.select("graph_id", F.explode(F.array("source", "target")).alias("id")).distinct()
+    return ids.join(touched, ["graph_id", "id"], "left_anti")
+
+
+#: Kinds of the rows that edge_counts() counts: a node that a sound edge touches, and edges by what they are.
+_TOUCHED, _SOUND, _INVALID, _LOOP = range(4)
+
+
+def edge_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edge_analysis with vague_edge_count and relation_types, in one pass over the edges.
+
+    An edge is counted under its relation, and its ends under their ids; both are combined before the shuffle.
+    """
+    ids = nodes.select("graph_id", "id").distinct()
+    kind = F.when(F.col("invalid"), _INVALID).when(F.col("self_loop"), _LOOP).otherwise(_SOUND)
+    item = lambda kind, name, n: F.struct(kind.alias("kind"), F.col(name).alias("name"), n.alias("n"))
+    own, ends = item(kind, "relation", F.col("n")), [item(F.lit(_TOUCHED), end, F.lit(0).cast("long")) for end in ("source", "target")]
+    each = edge_groups(edges, ids).select("graph_id", F.inline(F.when(F.col("invalid"), F.array(own)).otherwise(F.array(own, *ends))))
+    each = each.groupBy("graph_id", "kind", "name").agg(F.sum("n").alias("n"), F.count("*").alias("groups"))
+    of = lambda test, what="n": F.sum(F.when(test, F.col(what)).otherwise(0))
+    edge, sound = F.col("kind") != _TOUCHED, F.col("kind") == _SOUND
+    counted = each.groupBy("graph_id").agg(
+        F.sum("n").alias("edge_count"), of(edge & (F.col("name") == "")).alias("missing_relation_edge_count"), of(F.col("kind") == _INVALID).alias("invalid_edge_count"),
+        of(F.col("kind") == _LOOP).alias("self_loop_edge_count"), (of(sound) - of(sound, "groups")).alias("duplicate_edge_count"), F.count_if(~edge).alias("_touched"),
+        of(edge & F.col("name").isin(*fixed.VAGUE_WORDS)).alias("vague_edge_count"), F.count_distinct(F.when(edge, nonblank_or(F.col("name"), fixed.VAGUE_RELATION))).alias("relation_types"),
+    )
+    size = ids.groupBy("graph_id").agg(F.count("id").alias("node_count"), F.count("*").alias("_ids"))
+    rows = size.join(counted, "graph_id", "left").fillna(0)
+    alone = F.when(F.col("graph_id").isNull(), 0).otherwise(F.col("_ids") - F.col("_touched"))
+    return rows.select("graph_id", "node_count", *counted.columns[1:6], alone.alias("isolated_node_count"), "vague_edge_count", "relation_types")
 
 
 def edge_analysis(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per graph: edges, missing relations, invalid ends, self-loops, duplicates, isolated nodes."""
-    counted = edge_flags(edges, nodes).groupBy("graph_id").agg(F.count("*").alias("edge_count"), *[F.count_if(c).alias(f"{c}_edge_count") for c in ("missing_relation", "invalid", "self_loop", "duplicate")])
-    alone = isolated_nodes(edges, nodes).groupBy("graph_id").agg(F.count("*").alias("isolated_node_count"))
-    size = nodes.groupBy("graph_id").agg(F.count_distinct("id").alias("node_count"))
-    return size.join(counted, "graph_id", "left").join(alone, "graph_id", "left").fillna(0)
+    return edge_counts(edges, nodes).drop("vague_edge_count", "relation_types")
 
 
-def sparse_items(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per graph: vague nodes and edges, nodes without description or evidence."""
+def _sparse_nodes(nodes: DataFrame) -> DataFrame:
+    """Per graph: vague nodes, nodes without description or evidence."""
     have = set(nodes.columns)
     blank = lambda c: plain(F.col(c)) == "" if c in have else F.lit(True)
     vague = plain(F.col("name")).isin(*fixed.VAGUE_WORDS) | plain(F.col("type")).isin(*fixed.VAGUE_WORDS)
-    n = nodes.groupBy("graph_id").agg(F.count_if(blank("description")).alias("missing_description_node_count"), F.count_if(blank("evidence")).alias("missing_evidence_node_count"), F.count_if(vague).alias("vague_node_count"))
+    return nodes.groupBy("graph_id").agg(F.count_if(blank("description")).alias("missing_description_node_count"), F.count_if(blank("evidence")).alias("missing_evidence_node_count"), F.count_if(vague).alias("vague_node_count"))
+
+
+def sparse_items(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per graph: vague nodes and edges, nodes without description or evidence."""
     e = edges.groupBy("graph_id").agg(F.count_if(plain(F.col("relation")).isin(*fixed.VAGUE_WORDS)).alias("vague_edge_count"))
-    return n.join(e, "graph_id", "left").fillna(0)
+    return _sparse_nodes(nodes).join(e, "graph_id", "left").fillna(0)
 
 
 #: What lowers the score, the points an item (or the share of isolated nodes), the most, and the reason given.
@@ -400,9 +444,7 @@ def recommendations(report: DataFrame) -> DataFrame:
 
 def graph_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row a graph: sizes, issues, score, level, recommendations."""
-    kinds = edges.groupBy("graph_id").agg(F.count_distinct(nonblank_or(F.col("relation"), fixed.VAGUE_RELATION)).alias("relation_types"))
-    rows = edge_analysis(edges, nodes).join(sparse_items(nodes, edges), "graph_id").join(kinds, "graph_id", "left").fillna(0)
-    return recommendations(quality_score(rows))
+    return recommendations(quality_score(edge_counts(edges, nodes).join(_sparse_nodes(nodes), "graph_id")))
 
 
 # ---- the final graph ----
@@ -414,17 +456,34 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("graph_id", "id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("total"))
 
 
+def _related(edges: DataFrame) -> DataFrame:
+    """edges with a bounded relation, the vague one for none."""
+    return edges.withColumn("relation", nonblank_or(truncated(plain(F.col("relation")), fixed.NAME_TEXT), fixed.VAGUE_RELATION))
+
+
 def split_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges with reason: null for those to keep, else why they are skipped."""
-    rows = edges.withColumn("relation", nonblank_or(truncated(plain(F.col("relation")), fixed.NAME_TEXT), fixed.VAGUE_RELATION))
-    flagged = edge_flags(rows, nodes)
+    flagged = edge_flags(_related(edges), nodes)
     reason = F.when(F.col("invalid") | F.col("self_loop"), "invalid_endpoint_or_self_loop").when(F.col("duplicate"), "duplicate_edge")
     return flagged.withColumn("reason", reason).drop("missing_relation", "invalid", "self_loop", "duplicate")
 
 
+def kept_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges that split_edges keeps: equal ones are made one before nodes are joined."""
+    rows = _related(edges).withColumns({c: plain(F.col(c)) for c in ("source", "target")}).filter("source <> target")
+    return with_both_ends(keep_first(rows, KEY), nodes, ["graph_id"])
+
+
+def final_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """graph_id, edge_count, skipped_edge_count: how many edges split_edges keeps and skips."""
+    sound = ~F.col("invalid") & ~F.col("self_loop")
+    rows = edge_groups(_related(edges), nodes.select("graph_id", "id").distinct()).groupBy("graph_id").agg(F.count_if(sound).alias("edge_count"), F.sum("n").alias("_all"))
+    return rows.select("graph_id", "edge_count", (F.col("_all") - F.col("edge_count")).alias("skipped_edge_count"))
+
+
 def final_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Kept edges as fe1, fe2, ... in their order: graph_id, id, from, to, label, relation, title."""
-    kept = renumbered(split_edges(edges, nodes).filter("reason is null"), "fe")
+    kept = renumbered(kept_edges(edges, nodes), "fe")
     title = nonblank_or(F.col("description"), F.col("relation")) if "description" in kept.columns else F.col("relation")
     return kept.select("graph_id", "id", F.col("source").alias("from"), F.col("target").alias("to"), F.col("relation").alias("label"), "relation", title.alias("title"))
 
@@ -435,7 +494,7 @@ def final_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows = keep_first(nodes.withColumn("id", plain(F.col("id"))).filter("id <> ''"), ["graph_id", "id"])
     label = truncated(nonblank_or(F.col("name"), nonblank_or(F.col("canonical_name"), F.col("id")) if "canonical_name" in have else F.col("id")), 120)
     rows = rows.select("graph_id", "id", label.alias("label"), truncated(nonblank_or(F.col("type"), fixed.OTHER_TYPE), fixed.TYPE_TEXT).alias("type"), (truncated(nonblank_or(F.col("description"), label), 240) if "description" in have else label).alias("title"))
-    kept = split_edges(edges, nodes).filter("reason is null")
+    kept = kept_edges(edges.select("ord", *KEY), nodes)
     return rows.join(degrees(kept), ["graph_id", "id"], "left").fillna(0, ["in_degree", "out_degree", "total"])
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .graph import final_edges, final_nodes, graph_report, split_edges
+from ..functions.text import plain
+from .graph import final_counts, graph_report
 
 SKIPPED_CHUNKS, SKIPPED_EDGES = 20, 50
 
@@ -70,7 +71,7 @@ def cleaning_summary(values: DataFrame, groups: DataFrame, relation_groups: Data
 
 def final_report(nodes: DataFrame, edges: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """graph_id, node_count, edge_count, skipped_edge_count of the final graph, with score and level of the report on it if there is one."""
-    skipped = split_edges(edges, nodes).filter("reason is not null")
-    rows = _together(_counts(final_nodes(nodes, edges), node_count=F.count("*")), _counts(final_edges(edges, nodes), edge_count=F.count("*")), _counts(skipped, skipped_edge_count=F.count("*")))
+    ids = nodes.select("graph_id", plain(F.col("id")).alias("id")).filter("id <> ''").distinct()
+    rows = _together(_counts(ids, node_count=F.count("*")), final_counts(edges, nodes))
     report = graph_report(nodes, edges) if source is None else source
     return rows.join(report.select("graph_id", "score", "level"), "graph_id", "left")
