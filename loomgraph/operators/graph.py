@@ -172,8 +172,8 @@ def merge_batches(nodes: DataFrame, size: int = fixed.MERGE_BATCH) -> DataFrame:
 def proposed_merges(nodes: DataFrame) -> DataFrame:
     """The offline provider's groups: nodes with equal folded canonical name and type."""
     name = F.lower(collapse_space(F.coalesce(F.nullif(plain(F.col("canonical_name")), F.lit("")), F.col("name")) if "canonical_name" in nodes.columns else F.col("name")))
-    groups = nodes.groupBy("graph_id", "type", name.alias("_name")).agg(F.min("ord").alias("group_ord"), F.array_sort(F.collect_list(F.struct("ord", "id", "name"))).alias("all")).filter(F.size("all") > 1)
-    return groups.select("graph_id", "group_ord", F.col("all")[0]["name"].alias("canonical_name"), F.transform("all", lambda x: x["id"]).alias("node_ids"), F.lit("same name").alias("reason"))
+    groups = nodes.groupBy("graph_id", "type", name.alias("_name")).agg(F.min("ord").alias("group_ord"), F.min_by("name", "ord").alias("canonical_name"), F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("all")).filter(F.size("all") > 1)
+    return groups.select("graph_id", "group_ord", "canonical_name", F.transform("all", lambda x: x["id"]).alias("node_ids"), F.lit("same name").alias("reason"))
 
 
 def validated_groups(groups: DataFrame, members: str, names: str, single_differs: bool = False, in_one: int = IN_ONE) -> DataFrame:
@@ -183,13 +183,15 @@ def validated_groups(groups: DataFrame, members: str, names: str, single_differs
     no graph's groups are one task's. single_differs: a group of one member stays if it differs from the
     group's name. Null members don't count.
     """
-    rows = groups.withColumns({names: truncated(collapse_space(F.coalesce(names, F.lit(""))), fixed.NAME_TEXT), members: F.array_compact(F.array_distinct(members))})
+    rows = written(groups.withColumns({names: truncated(collapse_space(F.coalesce(names, F.lit(""))), fixed.NAME_TEXT), members: F.array_compact(F.array_distinct(members))}), "groups")
     each_one = rows.select("graph_id", "group_ord", F.col(names).alias("name"), F.posexplode(members).alias("pos", "member"))
     shared = each_one.groupBy("graph_id", "member").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     clash = written(each_one.join(shared, ["graph_id", "member"], "left_semi").select("graph_id", "group_ord").distinct(), "clashes")
     own = rows.join(clash, ["graph_id", "group_ord"], "left_anti")
     size = F.size(members)
     sound = (F.col(names) != "") & ((size > 1) | ((size == 1) & (F.get(members, F.lit(0)) != F.col(names)) if single_differs else F.lit(False)))
+    if not clash.head(1):
+        return own.filter(sound).select(*rows.columns)
     left = packed(each_one.join(clash, ["graph_id", "group_ord"], "left_semi"), single_differs, in_one).withColumnRenamed("members", "_left")
     late = rows.join(left, ["graph_id", "group_ord"]).withColumn(members, F.col("_left")).select(*rows.columns)
     return own.filter(sound).select(*rows.columns).unionByName(late)
@@ -238,11 +240,16 @@ def remapped_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.select(*edges.columns)
 
 
-def deduplicated_edges(edges: DataFrame, prefix: str = "me") -> DataFrame:
-    """The first edge of each (source, target, relation), without blank ends and self-loops, renumbered."""
+def first_edges(edges: DataFrame) -> DataFrame:
+    """The first edge of each (source, target, relation), without blank ends and self-loops."""
     rows = edges.withColumns({"source": plain(F.col("source")), "target": plain(F.col("target")), "relation": nonblank_or(truncated(plain(F.col("relation")), fixed.NAME_TEXT), fixed.VAGUE_RELATION)})
     rows = rows.filter("source <> '' and target <> '' and source <> target")
-    return renumbered(keep_first(rows, ["graph_id", "source", "target", "relation"]), prefix)
+    return keep_first(rows, ["graph_id", "source", "target", "relation"])
+
+
+def deduplicated_edges(edges: DataFrame, prefix: str = "me") -> DataFrame:
+    """first_edges, renumbered."""
+    return renumbered(first_edges(edges), prefix)
 
 
 # ---- relations ----
@@ -278,13 +285,16 @@ def relation_map(groups: DataFrame) -> DataFrame:
     return rows.groupBy("graph_id", "old_relation").agg(F.max_by("canonical_relation", "group_ord").alias("new_relation"))
 
 
-def cleaned_relations(edges: DataFrame, renames: DataFrame | None, prefix: str = "rce") -> DataFrame:
-    """Edges renamed through a map, then deduplicated; without a map (ontology mode) only the latter."""
-    if renames is None:
-        return deduplicated_edges(edges, prefix)
+def renamed_edges(edges: DataFrame, renames: DataFrame) -> DataFrame:
+    """Edges with their relation renamed through a map."""
     names = renames.select("graph_id", F.col("old_relation").alias("relation"), "new_relation")
     rows = edges.join(names, ["graph_id", "relation"], "left").withColumn("relation", F.coalesce("new_relation", "relation"))
-    return deduplicated_edges(rows.select(*edges.columns), prefix)
+    return rows.select(*edges.columns)
+
+
+def cleaned_relations(edges: DataFrame, renames: DataFrame | None, prefix: str = "rce") -> DataFrame:
+    """Edges renamed through a map, then deduplicated; without a map (ontology mode) only the latter."""
+    return deduplicated_edges(edges if renames is None else renamed_edges(edges, renames), prefix)
 
 
 # ---- reports ----
@@ -481,6 +491,13 @@ def final_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("graph_id", "edge_count", (F.col("_all") - F.col("edge_count")).alias("skipped_edge_count"))
 
 
+def skipped_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """graph_id, source, target, relation, reason, n: how many equal edges split_edges skips, and why."""
+    bad = F.col("invalid") | F.col("self_loop")
+    rows = edge_groups(_related(edges), nodes.select("graph_id", "id").distinct()).filter(bad | (F.col("n") > 1))
+    return rows.select(*KEY, F.when(bad, "invalid_endpoint_or_self_loop").otherwise("duplicate_edge").alias("reason"), F.when(bad, F.col("n")).otherwise(F.col("n") - 1).alias("n"))
+
+
 def final_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Kept edges as fe1, fe2, ... in their order: graph_id, id, from, to, label, relation, title."""
     kept = renumbered(kept_edges(edges, nodes), "fe")
