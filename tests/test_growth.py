@@ -7,6 +7,7 @@ from loomgraph.functions.ordering import keep_first
 from loomgraph.functions.text import uni_trim
 from loomgraph.operators import chunking, graph, lines, quality, rag, reports
 from loomgraph.plans import providers
+from loomgraph.sources import star_graph
 
 
 def optimized(df) -> str:
@@ -117,3 +118,27 @@ def test_edges_are_made_once_for_the_final_counts(spark):
     got = {r["graph_id"]: tuple(r)[1:4] for r in reports.final_report(nodes, rows, nodes.select("graph_id", F.lit(1).alias("score"), F.lit("good").alias("level")).distinct()).collect() if r["graph_id"]}
     assert made.value == len(EDGES)
     assert got == {"g": (3, 2, 5), "h": (1, 0, 1)}
+
+
+def test_edges_are_made_once_for_final_nodes_and_skipped_edges(spark):
+    nodes, edges = star(spark)
+    rows, made = counted(edges)
+    assert {(r["id"], r["total"]) for r in graph.final_nodes(nodes, rows).collect() if r["graph_id"] == "g"} == {("a", 2), ("b", 2), ("c", 0)}
+    assert made.value == len(EDGES)
+    rows, made = counted(edges)
+    skipped = {(r["source"], r["target"], r["relation"], r["reason"]): r["n"] for r in graph.skipped_counts(rows, nodes).collect() if r["graph_id"] == "g"}
+    bad = "invalid_endpoint_or_self_loop"
+    assert skipped == {("a", "b", "r", "duplicate_edge"): 2, ("a", "a", "相关", bad): 1, ("a", "z", "相关", bad): 1, ("", "b", "相关", bad): 1}
+    assert made.value == len(EDGES)
+
+
+def test_groups_are_made_once_for_validation(spark):
+    made_of = [("g", 1, "x", ["a", "b"]), ("g", 2, "y", ["c", "d"]), ("g", 3, "z", ["e"])]
+    rows, made = counted(spark.createDataFrame(made_of, "graph_id string, group_ord long, canonical_name string, node_ids array<string>"))
+    assert sorted(r["group_ord"] for r in graph.validated_groups(rows, "node_ids", "canonical_name").collect()) == [1, 2]
+    assert made.value == len(made_of)
+
+
+def test_parts_are_dealt_out_before_they_become_nodes(spark):
+    nodes, _ = star_graph.graph(spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression" in optimized(nodes)
