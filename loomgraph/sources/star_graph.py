@@ -26,13 +26,17 @@ SELECT s.graph_id, 1000000000 + p_partkey, concat('p', cast(p_partkey AS string)
 FROM {part} CROSS JOIN (SELECT DISTINCT c_mktsegment AS graph_id FROM {customer}) s WHERE p_partkey % 97 <> 0
 """
 NAMES = ("lineitem", "orders", "customer", "part")
+#: Parts that a task turns into nodes of every segment.
+PARTS_A_TASK = 20_000
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges)."""
     tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in NAMES}
-    # A small file of parts is one task's, and each part becomes a node of every segment: parts are dealt out before that.
-    tables["part"] = tables["part"].repartition("p_partkey")
+    # A small file of parts is one task's, and each part becomes a node of every segment: parts are dealt out before that,
+    # in a number of tasks that follows theirs (the footers tell it), as small shuffles are joined again where it is left open.
+    tasks = max(1, -(-tables["part"].count() // PARTS_A_TASK))
+    tables["part"] = tables["part"].repartition(tasks, "p_partkey")
     return spark.sql(NODES, **{n: tables[n] for n in ("customer", "part")}), spark.sql(EDGES, **{n: tables[n] for n in ("lineitem", "orders", "customer")})
 
 

@@ -1,5 +1,7 @@
 """What makes work grow faster than the input: plans and pieces that must stay small."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from loomgraph.functions import batches
@@ -142,3 +144,10 @@ def test_groups_are_made_once_for_validation(spark):
 def test_parts_are_dealt_out_before_they_become_nodes(spark):
     nodes, _ = star_graph.graph(spark, "/root/testdata/sf0.001")
     assert "RepartitionByExpression" in optimized(nodes)
+
+
+def test_tasks_that_make_nodes_follow_the_parts(spark, monkeypatch):
+    monkeypatch.setattr(star_graph, "PARTS_A_TASK", 20)
+    nodes, _ = star_graph.graph(spark, "/root/testdata/sf0.001")
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert parts > 20 and re.search(rf"RepartitionByExpression \[p_partkey#\d+L?\], {-(-parts // 20)}\b", optimized(nodes))
