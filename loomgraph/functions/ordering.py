@@ -24,12 +24,13 @@ def numbered(rows: DataFrame, by: list[str], order: str | list[str] = "ord", out
 
     The rows are dealt out once, by ranges of group and order, and written in that order with their place:
     a large group spans many ranges, a range holds many small groups. What a group has in the ranges before
-    is a running sum over one row for each group and range. A null group is a group.
+    is a running sum over one row for each group and range, a table of its own: Spark sees its size and sends it
+    to the rows where it is small, which then aren't shuffled again. A null group is a group.
     """
     keys = [*by, *([order] if isinstance(order, str) else order)]
     ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ranged = written(ranged.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
-    spans = ranged.groupBy("_range", *by).agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+    spans = written(ranged.groupBy("_range", *by).agg(F.min("_at").alias("_first"), F.count("*").alias("_size")), "spans")
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     add = (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1).alias("_add")
     sums = [F.sum("_size").over(Window.partitionBy(*by)).alias(total)] if total else []

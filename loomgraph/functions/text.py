@@ -23,6 +23,13 @@ def uni_trim(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def trimmed(name: str) -> Column:
+    """uni_trim of a column (by name, as it is read several times): first and last character tell most texts that need none."""
+    text = F.col(name)
+    ordinary = lambda end: F.ascii(end).between(0x21, 0x7E) | (F.ascii(end) > 0x3000)
+    return F.when(ordinary(text) & ordinary(F.substring(text, -1, 1)), text).otherwise(uni_trim(text))
+
+
 def collapse_space(text: Column) -> Column:
     return uni_trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
+from ..functions.joins import hashed_joins
 from ..functions.ordering import keep_first, numbered
-from ..functions.text import collapse_space, nonblank_or, normalize_name, plain, truncated
+from ..functions.text import collapse_space, nonblank_or, normalize_name, plain, trimmed, truncated, uni_trim
 from ..sources.tables import written
 from .packing import IN_ONE, packed
 
@@ -41,10 +42,11 @@ def repaired_edges(edges: DataFrame, nodes: DataFrame, part: str = "part_id") ->
 
 
 def with_both_ends(edges: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
-    ids = nodes.select(*by, F.col("id")).distinct()
+    # Ids stand before by in keys: what is sorted for the joins is then told apart by its first bytes, which few graphs aren't.
+    columns, ids = edges.columns, nodes.select("id", *by).distinct()
     for end in ("source", "target"):
-        edges = edges.join(ids.withColumnRenamed("id", end), [*by, end], "left_semi")
-    return edges
+        edges = edges.join(ids.withColumnRenamed("id", end), [end, *by], "left_semi")
+    return edges.select(*columns)
 
 
 def constrained(nodes: DataFrame, edges: DataFrame, types: list[str] = (), relations: list[str] = (), triples: list[tuple[str, str, str]] = (), by: list[str] = ("graph_id",)) -> tuple[DataFrame, DataFrame]:
@@ -467,8 +469,15 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def _related(edges: DataFrame) -> DataFrame:
-    """edges with a bounded relation, the vague one for none."""
-    return edges.withColumn("relation", nonblank_or(truncated(plain(F.col("relation")), fixed.NAME_TEXT), fixed.VAGUE_RELATION))
+    """edges with plain ends and a bounded relation, the vague one for none.
+
+    They stand behind a generator: a filter on them, or a join, would trim them again.
+    """
+    rows = edges.withColumns({c: trimmed(c) for c in KEY[1:]})
+    bounded = F.when(F.length("relation") > fixed.NAME_TEXT, uni_trim(truncated(F.col("relation"), fixed.NAME_TEXT))).otherwise(F.col("relation"))
+    relation = F.coalesce(F.nullif(bounded, F.lit("")), F.lit(fixed.VAGUE_RELATION))
+    told = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("source", "target")], relation.alias("relation"))
+    return rows.select(*[c for c in edges.columns if c not in KEY[1:]], F.inline(F.array(told))).select(*edges.columns)
 
 
 def split_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -480,8 +489,7 @@ def split_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def kept_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges that split_edges keeps: equal ones are made one before nodes are joined."""
-    rows = _related(edges).withColumns({c: plain(F.col(c)) for c in ("source", "target")}).filter("source <> target")
-    return with_both_ends(keep_first(rows, KEY), nodes, ["graph_id"])
+    return with_both_ends(keep_first(_related(edges).filter("source <> target"), KEY), nodes, ["graph_id"])
 
 
 def final_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -500,7 +508,8 @@ def skipped_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def final_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Kept edges as fe1, fe2, ... in their order: graph_id, id, from, to, label, relation, title."""
-    kept = renumbered(kept_edges(edges, nodes), "fe")
+    with hashed_joins(edges.sparkSession):
+        kept = renumbered(kept_edges(edges, nodes), "fe")
     title = nonblank_or(F.col("description"), F.col("relation")) if "description" in kept.columns else F.col("relation")
     return kept.select("graph_id", "id", F.col("source").alias("from"), F.col("target").alias("to"), F.col("relation").alias("label"), "relation", title.alias("title"))
 

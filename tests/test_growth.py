@@ -5,8 +5,9 @@ import re
 from pyspark.sql import functions as F
 
 from loomgraph.functions import batches
-from loomgraph.functions.ordering import keep_first
-from loomgraph.functions.text import uni_trim
+from loomgraph.functions.joins import hashed_joins
+from loomgraph.functions.ordering import keep_first, numbered
+from loomgraph.functions.text import nonblank_or, plain, trimmed, truncated, uni_trim
 from loomgraph.operators import chunking, graph, lines, quality, rag, reports
 from loomgraph.plans import providers
 from loomgraph.sources import star_graph
@@ -151,3 +152,47 @@ def test_tasks_that_make_nodes_follow_the_parts(spark, monkeypatch):
     nodes, _ = star_graph.graph(spark, "/root/testdata/sf0.001")
     parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
     assert parts > 20 and re.search(rf"RepartitionByExpression \[p_partkey#\d+L?\], {-(-parts // 20)}\b", optimized(nodes))
+
+
+def test_ends_are_trimmed_once_for_the_final_graph(spark):
+    nodes, edges = star(spark)
+    long = spark.createDataFrame([("g", 10, "\u3000a", "b\xa0", " " + "x" * 119 + "  y "), ("g", 11, "a", None, "   ")], edges.schema)
+    edges = edges.union(long)
+    old = edges.select("graph_id", "ord", *[plain(F.col(c)).alias(c) for c in ("source", "target")], nonblank_or(truncated(plain(F.col("relation")), 120), "相关").alias("relation"))
+    assert sorted(map(str, graph._related(edges).collect())) == sorted(map(str, old.collect()))
+    plan = optimized(graph.kept_edges(edges, nodes))
+    assert not [line for line in plan.splitlines() if re.match(r"[\s:+-]*(Filter|Join)", line) and "trim(" in line]
+
+
+def test_trimmed_by_its_ends_is_what_is_trimmed(spark):
+    codes = spark.range(0x110000).filter("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    rows = codes.select(F.explode(F.array("c", F.concat("c", F.lit("a")), F.concat(F.lit("a"), "c"), F.lit(""), F.lit(None))).alias("x"))
+    assert rows.filter(~trimmed("x").eqNullSafe(uni_trim(F.col("x")))).count() == 0
+
+
+def test_numbers_reach_rows_without_a_shuffle_where_few_ranges_are(spark):
+    rows = spark.range(50_000).select((F.col("id") % 2).alias("g"), F.xxhash64("id").alias("ord"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")
+    try:
+        plan = numbered(rows, ["g"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_customers_meet_orders_before_their_lines(spark):
+    _, edges = star_graph.graph(spark, "/root/testdata/sf0.001")
+    joins = [line for line in optimized(edges).splitlines() if "Join" in line]
+    assert "l_orderkey" in joins[0] and "o_custkey" in joins[1]
+    same = spark.sql(star_graph.EDGES, **{n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("lineitem", "orders", "customer")})
+    assert edges.exceptAll(same).count() == same.exceptAll(edges).count() == 0
+
+
+def test_joins_are_hashed_only_while_it_is_asked_for(spark):
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(key)
+    with hashed_joins(spark):
+        assert spark.conf.get(key) == spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") != before
+    assert spark.conf.get(key) == before
