@@ -48,10 +48,15 @@ def history_window(messages: DataFrame, last: int = fixed.HISTORY_MESSAGES, char
     return rows.select("conv_id", "turn", "role", truncated(collapse_space(F.coalesce("text", F.lit(""))), chars).alias("text")).filter("text <> ''")
 
 
+def section(label: str, text: Column, length: int | None = None) -> Column:
+    """A labelled section, the text as it is or its first characters; null for null."""
+    return F.concat(F.lit(f"{label}: "), text if length is None else truncated(text, length))
+
+
 def prompt_context(title: Column, summary: Column, text: Column, goal: Column) -> Column:
     """Labelled sections of bounded length; blank ones are left out."""
     parts = [("title", title, 200), ("summary", summary, 1200), ("text", text, fixed.CONTEXT_CHARS), ("goal", goal, 800)]
-    return F.concat_ws("\n", *[F.when(plain(c) != "", F.concat(F.lit(f"{label}: "), truncated(plain(c), n))) for label, c, n in parts])
+    return F.concat_ws("\n", *[F.when(plain(c) != "", section(label, plain(c), n)) for label, c, n in parts])
 
 
 def search(projects: DataFrame, query: str, *columns: str) -> DataFrame:
